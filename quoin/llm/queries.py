@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import wavelet
+from . import packing, wavelet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_shards": wavelet.op8_token_shards,
+    "op3_best_fit_packing": packing.op3_best_fit_packing,
 }
 ORACLE: dict[str, str] = {}
