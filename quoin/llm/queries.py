@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, wavelet
+from . import packing, pieces, wavelet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_shards": wavelet.op8_token_shards,
     "op3_best_fit_packing": packing.op3_best_fit_packing,
+    "op10_piece_encoding": pieces.op10_piece_encoding,
 }
 ORACLE: dict[str, str] = {}
