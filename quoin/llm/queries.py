@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, pieces, wavelet
+from . import classifier, packing, pieces, rules, wavelet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_shards": wavelet.op8_token_shards,
     "op3_best_fit_packing": packing.op3_best_fit_packing,
     "op10_piece_encoding": pieces.op10_piece_encoding,
+    "op1_quality_rules": rules.op1_quality_rules,
+    "op7_quality_classifier": classifier.op7_quality_classifier,
 }
 ORACLE: dict[str, str] = {}
