@@ -32,6 +32,7 @@ class Settings:
     buckets: int = 1 << 16
     dim: int = 8
     epochs: int = 6
+    steps: int = 1500  # at least so many batches, however few the rows
     rate: float = 40.0
     batch: int = 16
     seed: int = 7
@@ -75,8 +76,10 @@ def train(texts: list[str], labels: np.ndarray, s: Settings) -> tuple[np.ndarray
             ids = np.concatenate([x[at[k] : at[k + 1]] for x, at in kinds])
             uniq, n = np.unique(ids, return_counts=True)
             bags.append((uniq.astype(np.int32), (n / max(1, len(ids))).astype(np.float32)))
-    steps, done = s.epochs * -(-len(bags) // s.batch), 0
-    for _ in range(s.epochs):
+    per_epoch = -(-len(bags) // s.batch)
+    epochs = max(s.epochs, -(-s.steps // per_epoch))
+    steps, done = epochs * per_epoch, 0
+    for _ in range(epochs):
         order = rng.permutation(len(bags))
         for b in range(0, len(order), s.batch):
             pick = order[b : b + s.batch]

@@ -11,10 +11,10 @@ def _at(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def write_file(folder: str, stem: str, data) -> str:
+def write_file(folder: str, stem: str, data, suffix: str = "") -> str:
     """Write bytes under a name no other task attempt uses; the URI goes into a manifest, so what a
     lost attempt left behind is never read."""
-    name = f"{stem}-{uuid.uuid4().hex}"
+    name = f"{stem}-{uuid.uuid4().hex}{suffix}"
     system, path = _at(folder)
     system.create_dir(path, recursive=True)
     with system.open_output_stream(f"{path}/{name}.part") as f:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import classifier, packing, pieces, rules, wavelet
+from . import classifier, packing, pieces, rules, warc, wavelet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_shards": wavelet.op8_token_shards,
@@ -14,5 +14,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_piece_encoding": pieces.op10_piece_encoding,
     "op1_quality_rules": rules.op1_quality_rules,
     "op7_quality_classifier": classifier.op7_quality_classifier,
+    "op5_warc_bundles": warc.op5_warc_bundles,
+}
+ORACLE: dict[str, str] = {
+    "op5_warc_bundles": warc.OP5_SQL,
 }
-ORACLE: dict[str, str] = {}
