@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import classifier, packing, pieces, rules, warc, wavelet
+from . import classifier, licenses, packing, pieces, rules, warc, wavelet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_shards": wavelet.op8_token_shards,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": rules.op1_quality_rules,
     "op7_quality_classifier": classifier.op7_quality_classifier,
     "op5_warc_bundles": warc.op5_warc_bundles,
+    "op6_license_scan": licenses.op6_license_scan,
 }
 ORACLE: dict[str, str] = {
     "op5_warc_bundles": warc.OP5_SQL,
