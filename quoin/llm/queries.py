@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import classifier, licenses, packing, pieces, rules, vectors, warc, wavelet
+from . import classifier, licenses, ngram_join, packing, pieces, rules, vectors, warc, wavelet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_shards": wavelet.op8_token_shards,
@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_warc_bundles": warc.op5_warc_bundles,
     "op6_license_scan": licenses.op6_license_scan,
     "op4_embedding_near_dedup": vectors.op4_embedding_near_dedup,
+    "op2_ngram_jaccard": ngram_join.op2_ngram_jaccard,
 }
 ORACLE: dict[str, str] = {
     "op5_warc_bundles": warc.OP5_SQL,
