@@ -107,7 +107,10 @@ def cutoffs(counts: DataFrame, labels: DataFrame, alpha: float, delta: float) ->
     order = W.partitionBy("stratum", "rule").orderBy("k").rowsBetween(W.unboundedPreceding, 0)
     passed = tested.withColumn("fails", fails).withColumn("failed", F.max("fails").over(order)).where("failed = 0 and bad > good")
     best = passed.groupBy("stratum", "rule").agg(F.min_by("cutoff", F.struct((F.col("good") - F.col("bad")).alias("net"), "k")).alias("cutoff"))
-    return best.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("chosen"))
+    chosen = best.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("chosen"))
+    # a stratum needs hundreds of labelled rows to get a cutoff, so there are few; more are joined by a shuffle
+    chosen = materialize(chosen, "cutoffs")
+    return F.broadcast(chosen) if chosen.count() <= 10_000 else chosen
 
 
 def judge(docs: DataFrame, labels: DataFrame, alpha: float = 0.02, delta: float = 0.05) -> DataFrame:
