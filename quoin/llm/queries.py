@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import classifier, licenses, ngram_join, packing, pieces, rules, vectors, warc, wavelet
+from . import classifier, licenses, ngram_join, packing, pieces, rules, suffixes, vectors, warc, wavelet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_shards": wavelet.op8_token_shards,
@@ -18,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_license_scan": licenses.op6_license_scan,
     "op4_embedding_near_dedup": vectors.op4_embedding_near_dedup,
     "op2_ngram_jaccard": ngram_join.op2_ngram_jaccard,
+    "op9_suffix_dedup": suffixes.op9_suffix_dedup,
 }
 ORACLE: dict[str, str] = {
     "op5_warc_bundles": warc.OP5_SQL,
