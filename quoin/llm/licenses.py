@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import row_key, table
+from .common import materialize, row_key, table
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD_RAW = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # a word before A-Z are lower-cased
@@ -194,7 +194,7 @@ def scan(docs: DataFrame) -> DataFrame:
     labels (empty strings); null ids and repeated rows are scanned like others; an empty table gives no
     row. What is shuffled are detections and, for each document, its id and number of words.
     """
-    found = detections(docs)
+    found = materialize(detections(docs), "detections")
     stay = resolve(found).select("row_key", "label", "priority")
     base = found.where("priority = 0").select("row_key", "label", "start")
     both = stay.select("row_key", "label", "priority", F.lit(None).cast("long").alias("start")).unionByName(base.withColumn("priority", F.lit(0)))
