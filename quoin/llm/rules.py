@@ -22,12 +22,12 @@ SPACES = r"[\x20\x09-\x0D]+"
 _SHARES = [x / 100 for x in (90, 80, 70, 60, 50, 45, 40, 35, 30, 25, 20, 16, 13, 10, 8, 6, 5, 4, 3, 2)]
 #: Rule: the feature (larger is worse) and its cutoffs, mildest first.
 RULES = {
-    "repeated": (F.col("n_repeat_words") / F.greatest("n_words", F.lit(1)), _SHARES),
-    "symbols": (F.col("n_symbols") / F.greatest("word_chars", F.lit(1)), _SHARES),
-    "dup_lines": (F.col("n_dup_lines") / F.greatest("n_lines", F.lit(1)), _SHARES),
-    "capitals": (F.col("n_capitals") / F.greatest("word_chars", F.lit(1)), _SHARES),
-    "marks": (F.col("n_marks") / F.greatest("word_chars", F.lit(1)), _SHARES),
-    "long_words": (F.col("word_chars") / F.greatest("n_words", F.lit(1)), [80.0, 40.0, 30.0, 25.0, 20.0, 17.0, 15.0, 13.0, 12.0, 11.0, 10.0]),
+    "repeated": ("n_repeat_words / greatest(n_words, 1)", _SHARES),
+    "symbols": ("n_symbols / greatest(word_chars, 1)", _SHARES),
+    "dup_lines": ("n_dup_lines / greatest(n_lines, 1)", _SHARES),
+    "capitals": ("n_capitals / greatest(word_chars, 1)", _SHARES),
+    "marks": ("n_marks / greatest(word_chars, 1)", _SHARES),
+    "long_words": ("word_chars / greatest(n_words, 1)", [80.0, 40.0, 30.0, 25.0, 20.0, 17.0, 15.0, 13.0, 12.0, 11.0, 10.0]),
 }
 
 
@@ -74,12 +74,16 @@ def features(docs: DataFrame) -> DataFrame:
     return base.withColumn("n_repeat_words", F.coalesce(F.when(F.col("places").isNotNull(), covered), F.lit(0).cast("long"))).drop("windows", "sorted", "places")
 
 
+def _below(value: str):
+    return lambda c: c < F.expr(value)
+
+
 def cutoffs(counts: DataFrame, labels: DataFrame, alpha: float, delta: float) -> DataFrame:
     """The chosen cutoffs: stratum, and a map from rule to cutoff."""
     known = labels.where("quality in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
     rows = counts.where("n_words >= 50 and 100 * n_repeat_words <= 50 * n_words").join(known, "doc_id")
     entries = F.array(*[
-        F.struct(F.lit(name).alias("rule"), F.size(F.filter(F.array(*map(F.lit, grid)), lambda c, v=value: v > c)).alias("over"))
+        F.struct(F.lit(name).alias("rule"), F.size(F.filter(F.array(*map(F.lit, grid)), _below(value))).alias("over"))
         for name, (value, grid) in RULES.items()
     ])
     # over: how many cutoffs of the grid the value exceeds; as the grid falls, these are its last ones
@@ -127,7 +131,7 @@ def judge(docs: DataFrame, labels: DataFrame, alpha: float = 0.02, delta: float
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     hit = F.lit(False)
     for name, (value, _) in RULES.items():
-        hit = hit | F.coalesce(value > F.try_element_at("chosen", F.lit(name)), F.lit(False))
+        hit = hit | F.coalesce(F.expr(value) > F.try_element_at("chosen", F.lit(name)), F.lit(False))
     rows = counts.join(chosen, "stratum", "left")
     return rows.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
