@@ -201,11 +201,12 @@ def repeated_spans(rows: DataFrame, groups: int, length: int, k: int, batch: int
             n = (last[on] - first[on] + 1).astype(np.uint8)
             span = np.minimum(first[on, None] + np.arange(stretch), len(d) - 1)
             cut = np.where(np.arange(stretch) < (n + length - 1)[:, None], d[span], 0).astype(np.uint8)
-            found.append((bucket[on].astype(np.int64), cut, doc[on], first[on] - o[doc[on] - base], n))
+            sign = mix(rolling(cut, stretch)[:, 0] + n.astype(np.uint64))
+            found.append((bucket[on].astype(np.int64), cut, doc[on], first[on] - o[doc[on] - base], n, sign))
         if not found:
             return empty
-        bucket, cut, doc, start, n = map(np.concatenate, zip(*found))
-        sign = mix(rolling(cut, stretch)[:, 0] + n.astype(np.uint64))
+        bucket, cut, doc, start, n, sign = map(np.concatenate, zip(*found))
+        found.clear()
         order = np.lexsort((doc, sign))  # documents stand in the order of their ids
         head = np.ones(len(order), bool)
         head[1:] = sign[order][1:] != sign[order][:-1]
