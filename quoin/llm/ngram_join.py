@@ -2,8 +2,8 @@
 
 A document is the set of its n-word shingles. All sets are ordered by one global order: shingles that
 many documents of a batch share come last, by how often they were seen, all others first, by their hash.
-Two sets that link share a shingle among the first n - ceil(t n) + 1 of each (their prefixes). Prefix
-entries meet by shingle; what meets is verified in prefix trees: the sets a query is held against are
+Two sets that link share m shingles among the first n - ceil(t n) + m of each (their prefixes, m = 4 or
+what a small set needs at least). Prefix entries meet by shingle; pairs that meet m times and whose sizes allow a link go on; these are verified in prefix trees: the sets a query is held against are
 sorted by the global order, so that neighbours share their beginnings; the overlap with the query is
 carried along a shared beginning and computed once, and a subtree is pruned as soon as the overlap so
 far and the remaining lengths cannot reach what its smallest set needs.
@@ -82,6 +82,13 @@ def need(size: int, percent: int) -> int:
     return -(-percent * size // 100)
 
 
+MEET = 4  # prefix shingles that a pair must share; the prefixes are as much longer
+
+
+def meetings(size: int, percent: int) -> int:
+    return min(MEET, need(size, percent))
+
+
 def trie_overlaps(query: np.ndarray, sets: list[np.ndarray], percent: int, step: int = 64) -> list[int]:
     """Indices of the sets that link with ``query``; all ascending in the global order."""
     order = sorted(range(len(sets)), key=lambda i: sets[i].astype(">u8").tobytes())
@@ -173,77 +180,83 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, frequent_
 
     def prefixes(batches):
         for batch in batches:
-            keys, cls, size, place, seen = [], [], [], [], set()
+            keys, cls, size, seen = [], [], [], set()
             for _, s in shingle_sets(batch.column("text"), n):
                 if not len(s) or (c := int(_class(s))) in seen:
                     continue
                 seen.add(c)
-                own = ordered(s, frequent.value)[: len(s) - need(len(s), percent) + 1]
+                own = ordered(s, frequent.value)[: len(s) - need(len(s), percent) + meetings(len(s), percent)]
                 keys.append(own)
                 cls.append(np.full(len(own), c, np.uint64))
                 size.append(np.full(len(own), len(s), np.uint32))
-                place.append(np.arange(len(own), dtype=np.uint32))
             if not keys:
                 continue
-            keys, cls, size, place = map(np.concatenate, (keys, cls, size, place))
+            keys, cls, size = map(np.concatenate, (keys, cls, size))
             bucket = (mix(keys) % U(n_buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             cuts = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
             out = [(b, order[i:j]) for b, (i, j) in enumerate(zip(cuts, cuts[1:])) if j > i]
-            yield pa.RecordBatch.from_pydict({"bucket": [b for b, _ in out]} | {name: [x[o].tobytes() for _, o in out] for name, x in (("keys", keys), ("cls", cls), ("size", size), ("place", place))})
+            yield pa.RecordBatch.from_pydict({"bucket": [b for b, _ in out]} | {name: [x[o].tobytes() for _, o in out] for name, x in (("keys", keys), ("cls", cls), ("size", size))})
 
-    packed = rows.select("text").mapInArrow(prefixes, "bucket long, keys binary, cls binary, size binary, place binary")
+    packed = rows.select("text").mapInArrow(prefixes, "bucket long, keys binary, cls binary, size binary")
 
     def meet(table: pa.Table) -> pa.Table:
         """Entries whose shingle another class has too, with the least class of the shingle."""
-        keys, cls, size, place = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("keys", U), ("cls", U), ("size", np.uint32), ("place", np.uint32)))
+        keys, cls, size = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("keys", U), ("cls", U), ("size", np.uint32)))
         order = np.lexsort((cls, keys))
-        keys, cls, size, place = keys[order], cls[order], size[order], place[order]
+        keys, cls, size = keys[order], cls[order], size[order]
         fresh = np.ones(len(keys), bool)
         fresh[1:] = (keys[1:] != keys[:-1]) | (cls[1:] != cls[:-1])
-        keys, cls, size, place = keys[fresh], cls[fresh], size[fresh], place[fresh]
+        keys, cls, size = keys[fresh], cls[fresh], size[fresh]
         at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         n_of = np.diff(np.append(at, len(keys)))
         first = np.repeat(at, n_of)
         on = np.repeat(n_of, n_of) > 1
-        cols = [keys[on].view(np.int64), cls[on].view(np.int64), size[on].astype(np.int64), place[on].astype(np.int64), cls[first][on].view(np.int64), size[first][on].astype(np.int64)]
-        return pa.Table.from_arrays([pa.array(c) for c in cols], ["key", "cls", "size", "place", "least", "least_size"])
+        cols = [keys[on].view(np.int64), cls[on].view(np.int64), size[on].astype(np.int64), cls[first][on].view(np.int64), size[first][on].astype(np.int64)]
+        return pa.Table.from_arrays([pa.array(c) for c in cols], ["key", "cls", "size", "least", "least_size"])
 
-    met = materialize(packed.groupBy("bucket").applyInArrow(meet, "key long, cls long, size long, place long, least long, least_size long"), "met")
+    met = materialize(packed.groupBy("bucket").applyInArrow(meet, "key long, cls long, size long, least long, least_size long"), "met")
     release(spark)
 
-    # the sets of all classes that met another, from one document each
-    reps = sigs.where("n > 0").groupBy("cls").agg(F.min("row_key").alias("row_key"))
-    wanted = reps.join(met.select("cls").distinct(), "cls", "left_semi").select("row_key")
+    reps = materialize(sigs.where("n > 0").groupBy("cls").agg(F.min("row_key").alias("row_key")), "reps")
 
     def sets_of(batches):
         for batch in batches:
             found = [(int(_class(s).view(np.int64)), ordered(s, frequent.value).tobytes()) for _, s in shingle_sets(batch.column("text"), n)]
             yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in found], pa.int64()), pa.array([k for _, k in found], pa.binary())], ["cls", "keys"])
 
-    sets = materialize(rows.join(wanted, "row_key", "left_semi").select("text").mapInArrow(sets_of, "cls long, keys binary").dropDuplicates(["cls"]), "sets")
-    release(spark)
+    def linking(pairs: DataFrame) -> DataFrame:
+        """The pairs (q, m) that link: the sets of their classes, from one document each, go into trees."""
+        classes = pairs.select(F.col("q").alias("cls")).unionByName(pairs.select(F.col("m").alias("cls"))).distinct()
+        wanted = reps.join(classes, "cls", "left_semi").select("row_key")
+        sets = materialize(rows.join(wanted, "row_key", "left_semi").select("text").mapInArrow(sets_of, "cls long, keys binary"), "sets")
+        release(spark)
+        return materialize(verify(pairs, sets, percent), "linked")
 
     def near(a: str, b: str):
         return (F.col(a) * 100 >= F.col(b) * percent) & (F.col(b) * 100 >= F.col(a) * percent)
 
-    first = met.where("cls <> least").where(near("size", "least_size")).select(F.col("least").alias("q"), F.col("cls").alias("m")).distinct()
-    linked = materialize(verify(first, sets, percent), "linked")
+    def often_enough(pairs: DataFrame) -> DataFrame:
+        """Pairs (q, m, size) that meet as often as the smaller needs; sizes are the smaller one's."""
+        count = pairs.groupBy("q", "m").agg(F.count("*").alias("met"), F.min("size").alias("size"))
+        least = F.least(F.lit(MEET), F.ceil(F.col("size") * percent / 100))
+        return count.where(F.col("met") >= least).select("q", "m")
+
+    first = met.where("cls <> least").where(near("size", "least_size"))
+    first = first.select(F.col("least").alias("q"), F.col("cls").alias("m"), F.least("size", "least_size").alias("size"))
+    linked = linking(materialize(often_enough(first), "stars"))
     comps = components(linked.select(F.col("q").alias("a"), F.col("m").alias("b")))
 
-    # pairs of different components that share a prefix shingle, filtered by length and place
-    own = met.select("key", "cls", "size", "place").join(comps.select(F.col("node").alias("cls"), F.col("root").alias("comp")), "cls", "left")
+    # pairs of different components that meet
+    own = met.select("key", "cls", "size").join(comps.select(F.col("node").alias("cls"), F.col("root").alias("comp")), "cls", "left")
     own = own.withColumn("comp", F.coalesce("comp", "cls"))
     mixed = own.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
     own = materialize(own.join(mixed, "key", "left_semi"), "mixed")
-    other = own.select("key", *[F.col(c).alias(f"{c}_b") for c in ("cls", "size", "place", "comp")])
-    least = F.ceil((F.col("size") + F.col("size_b")) * percent / (100 + percent))
-    reach = 1 + F.least(F.col("size") - F.col("place"), F.col("size_b") - F.col("place_b")) - 1
-    pairs = own.join(other, "key").where("cls < cls_b and comp <> comp_b").where(near("size", "size_b")).where(reach >= least)
-    pairs = materialize(pairs.select(F.col("cls").alias("q"), F.col("cls_b").alias("m")).distinct(), "pairs")
-    more = verify(pairs, sets, percent)
-    edges = linked.unionByName(more).select(F.col("q").alias("a"), F.col("m").alias("b"))
-    comps = components(edges)
+    other = own.select("key", *[F.col(c).alias(f"{c}_b") for c in ("cls", "size", "comp")])
+    pairs = own.join(other, "key").where("cls < cls_b and comp <> comp_b").where(near("size", "size_b"))
+    pairs = pairs.select(F.col("cls").alias("q"), F.col("cls_b").alias("m"), F.least("size", "size_b").alias("size"))
+    more = linking(materialize(often_enough(pairs), "pairs"))
+    comps = components(linked.unionByName(more).select(F.col("q").alias("a"), F.col("m").alias("b")))
 
     named = sigs.join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.when(F.col("n") > 0, F.coalesce("root", "cls")))
     least_id = named.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("component"))
