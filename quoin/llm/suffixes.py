@@ -19,6 +19,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -133,13 +134,18 @@ def repeated_spans(rows: DataFrame, groups: int, length: int, k: int, batch: int
         for rb in batches:
             data, offs = text_buffers(rb.column("text"))
             grp = rb.column("grp").to_numpy().astype(np.uint32)
-            hs, gs = [], []
+            hs, at = [], []
             for doc, _, _, h, *_ in anchors(data, offs, length, k):
                 hs.append(h)
-                gs.append(grp[doc])
+                at.append(doc)
             if not hs:
                 continue
-            h, g = np.concatenate(hs), np.concatenate(gs)
+            h, doc = np.concatenate(hs), np.concatenate(at)
+            order = np.lexsort((doc, h))
+            h, doc = h[order], doc[order]
+            once = np.ones(len(h), bool)  # repeats within a document do not count
+            once[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+            h, g = h[once], grp[doc[once]]
             order = np.lexsort((g, h))
             h, g = h[order], g[order]
             same = h[1:] == h[:-1]
@@ -176,6 +182,7 @@ def repeated_spans(rows: DataFrame, groups: int, length: int, k: int, batch: int
 
     entries = rows.select("grp", "text").mapInArrow(hashes, "bucket long, high binary, grps binary, more binary")
     alive = materialize(entries.groupBy("bucket").applyInArrow(survivors, "grp long, bucket long, high binary"), "anchors")
+    del entries
     release(rows.sparkSession)
 
     stretch = 2 * length - k
@@ -213,16 +220,16 @@ def repeated_spans(rows: DataFrame, groups: int, length: int, k: int, batch: int
         lead = ids[doc[order[np.flatnonzero(head)[np.cumsum(head) - 1]]]]
         known = np.zeros(len(order), bool)
         known[order] = lead < ids[doc[order]]
-        send = np.flatnonzero(~known)
+        send, pack = np.flatnonzero(~known), zstandard.ZstdCompressor(level=1).compress
         by = send[np.argsort(bucket[send], kind="stable")]
         cuts = np.searchsorted(bucket[by], np.arange(groups + 1))
         there = np.flatnonzero(known)
         spans = [doc[there].astype(np.int32), start[there].astype(np.int64), start[there] + n[there].astype(np.int64) + length - 1]
         out = [(b, by[i:j]) for b, (i, j) in enumerate(zip(cuts, cuts[1:])) if j > i]
         cols = {
-            "bucket": [b for b, _ in out], "grp": [grp] * len(out), "bytes": [cut[x].tobytes() for _, x in out],
+            "bucket": [b for b, _ in out], "grp": [grp] * len(out), "bytes": [pack(cut[x].tobytes()) for _, x in out],
             "doc_ids": [ids[doc[x]].tobytes() for _, x in out], "places": [doc[x].astype(np.int32).tobytes() for _, x in out],
-            "starts": [start[x].astype(np.int64).tobytes() for _, x in out], "counts": [n[x].tobytes() for _, x in out], "known": [b""] * len(out),
+            "starts": [start[x].astype(np.uint32).tobytes() for _, x in out], "counts": [n[x].tobytes() for _, x in out], "known": [b""] * len(out),
         }
         if len(there):
             for c, v in (("bucket", grp % groups), ("grp", grp), ("known", b"".join(s.tobytes() for s in spans))):
@@ -237,7 +244,9 @@ def repeated_spans(rows: DataFrame, groups: int, length: int, k: int, batch: int
         out = [(g, s) for g, s in zip(table.column("grp").to_pylist(), table.column("known").to_pylist()) if s]
         grps = np.repeat(table.column("grp").to_numpy(), [len(c) for c in table.column("counts").to_pylist()])
         read = lambda c, t: np.frombuffer(b"".join(table.column(c).to_pylist()), t)
-        cut, ids, places, starts, n = read("bytes", np.uint8).reshape(-1, stretch), read("doc_ids", np.int64), read("places", np.int32), read("starts", np.int64), read("counts", np.uint8)
+        unpack = zstandard.ZstdDecompressor().decompress
+        cut = np.frombuffer(b"".join(unpack(c.as_py()) for c in table.column("bytes") if c.as_py()), np.uint8).reshape(-1, stretch)
+        ids, places, starts, n = read("doc_ids", np.int64), read("places", np.int32), read("starts", np.uint32).astype(np.int64), read("counts", np.uint8)
         order = np.argsort(ids, kind="stable")
         family, spans = IndexFamily(), []
         offset = np.arange(stretch - length + 1)
@@ -260,12 +269,10 @@ def repeated_spans(rows: DataFrame, groups: int, length: int, k: int, batch: int
                 out.append((int(g[i]), p[i:j].astype(np.int32).tobytes() + a[i:j].astype(np.int64).tobytes() + b[i:j].astype(np.int64).tobytes()))
         return pa.table({"grp": pa.array([g for g, _ in out], pa.int64()), "spans": pa.array([s for _, s in out], pa.binary())})
 
-    spans = materialize(sent.groupBy("bucket").applyInArrow(match, "grp long, spans binary"), "spans")
-    release(rows.sparkSession)
-    return spans
+    return materialize(sent.groupBy("bucket").applyInArrow(match, "grp long, spans binary"), "spans")
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, k: int = 20, group_bytes: int = 16 << 20, with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 50, k: int = 20, group_bytes: int = 8 << 20, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and row_key of each row of ``docs`` (``doc_id``,
     ``text``; others are not read), and ``kept_text`` if asked (characters cut in two are dropped).
 
@@ -281,6 +288,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, k: int = 20, group_bytes:
     groups = max(partitions(spark), -(-total // group_bytes))
     rows = rows.withColumn("grp", F.pmod(F.xxhash64("doc_id"), F.lit(groups)))
     spans = repeated_spans(rows.where("doc_id is not null"), groups, length, k)
+    release(spark)
 
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "row_key"]
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, row_key long" + ", kept_text string" * with_text
@@ -289,26 +297,30 @@ def remove_repeats(docs: DataFrame, length: int = 50, k: int = 20, group_bytes:
         known = docs.filter(pa.compute.is_valid(docs.column("doc_id")))
         known = pa.concat_tables([_docs_of(known), docs.filter(pa.compute.is_null(docs.column("doc_id")))])
         data, offs = text_buffers(known.column("text"))
-        n = known.num_rows
-        mark = np.zeros(len(data) + 1, np.int32)
-        for raw in own.column("spans").to_pylist():
-            m = len(raw) // 20
-            place = np.frombuffer(raw, np.int32, m)
-            a, b = np.frombuffer(raw, np.int64, m, 4 * m), np.frombuffer(raw, np.int64, m, 12 * m)
-            np.add.at(mark, offs[place] + a, 1)
-            np.add.at(mark, offs[place] + b, -1)
-        gone = np.cumsum(mark[:-1]) > 0
-        rise = gone.copy()
-        rise[1:] &= ~gone[:-1]
-        if len(gone):
-            inside = offs[:-1][offs[:-1] < len(gone)]
-            rise[inside] = gone[inside]
-        count = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[offs])
-        kept = [data[a:b][~gone[a:b]].tobytes() if gone[a:b].any() else data[a:b].tobytes() for a, b in zip(offs, offs[1:])]
-        cols = [known.column("doc_id"), pa.array(np.diff(offs)), pa.array(count(gone).astype(np.int64)), pa.array(count(rise).astype(np.int64)), pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string()), known.column("row_key")]
+        raw = own.column("spans").to_pylist()
+        sizes = [len(x) // 20 for x in raw]
+        place = np.concatenate([np.frombuffer(x, np.int32, m) for x, m in zip(raw, sizes)] or [np.zeros(0, np.int32)])
+        first = np.concatenate([np.frombuffer(x, np.int64, m, 4 * m) for x, m in zip(raw, sizes)] or [np.zeros(0, np.int64)])
+        last = np.concatenate([np.frombuffer(x, np.int64, m, 12 * m) for x, m in zip(raw, sizes)] or [np.zeros(0, np.int64)])
+        order = np.argsort(place, kind="stable")
+        place, first, last = place[order], first[order], last[order]
+        at = np.searchsorted(place, np.arange(known.num_rows + 1))
+        removed, runs, kept = np.zeros(known.num_rows, np.int64), np.zeros(known.num_rows, np.int64), []
+        for r in range(known.num_rows):
+            text, i, j = data[offs[r] : offs[r + 1]], at[r], at[r + 1]
+            if i < j:
+                mark = np.zeros(len(text) + 1, np.int32)
+                np.add.at(mark, first[i:j], 1)
+                np.add.at(mark, last[i:j], -1)
+                gone = np.cumsum(mark[:-1], dtype=np.int32) > 0
+                removed[r] = gone.sum()
+                runs[r] = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
+                text = text[~gone]
+            kept.append(text.tobytes() if with_text else hashlib.sha256(text).hexdigest())
+        digests = [hashlib.sha256(x).hexdigest() for x in kept] if with_text else kept
+        cols = [known.column("doc_id"), pa.array(np.diff(offs)), pa.array(removed), pa.array(runs), pa.array(digests, pa.string()), known.column("row_key")]
         if with_text:
             cols.append(pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()))
-        assert len(cols[0]) == n
         return pa.table(cols, names=names + ["kept_text"] * with_text)
 
     rows = rows.withColumn("grp", F.coalesce("grp", F.lit(0).cast("long")))
