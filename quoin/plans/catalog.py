@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import aggregates, relational, scalars, spatial  # noqa: F401
+from . import aggregates, ordered, relational, scalars, spatial  # noqa: F401
 from .registry import ORACLE, QUERIES  # noqa: F401
