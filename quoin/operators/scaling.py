@@ -28,7 +28,7 @@ def factor(rows: DataFrame, keys: list[str], groups: DataFrame) -> DataFrame:
     deviation = F.coalesce(F.greatest(F.col("high") - F.col("scale"), F.col("scale") - F.col("low")) / F.col("scale") * 100, F.lit(0.0))
     n = F.coalesce("n_anchors", F.lit(0))
     sure = F.least(F.lit(1.0), F.col("least") + F.when(n >= 3, 0.1).otherwise(0.0) + F.when(deviation < 5, 0.1).otherwise(0.0))
-    return out.select(*keys, js_round(scale, 4).alias("scale"), n.alias("n_anchors"), js_round(F.coalesce("spread", F.lit(0.0)), 4).alias("spread"), js_round(deviation, 4).alias("max_deviation"), js_round(F.coalesce(sure, F.lit(0.0)), 4).alias("confidence"))
+    return out.select(*keys, js_round(scale, 4).alias("scale"), n.alias("n_anchors"), js_round(F.coalesce("spread", F.lit(0.0)), 4).alias("spread"), js_round(deviation, 4).alias("max_deviation"), js_round(F.when(n > 0, sure).otherwise(F.lit(0.0)), 4).alias("confidence"))
 
 
 def robust_factor(rows: DataFrame, keys: list[str]) -> DataFrame:

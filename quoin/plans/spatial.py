@@ -167,7 +167,7 @@ def _(t):
 
 @query("g18_scale", f"""with {ANCHORS}, s as (select result_id, sum(f * c) / sum(c) w, count(*) n, stddev_pop(f) sd, min(f) lo, max(f) hi, min(c) lc from a group by result_id)
   select r.result_id, floor(coalesce(w, 15.0) * 10000 + 0.5) / 10000 as scale, coalesce(n, 0) as n_anchors, floor(coalesce(sd, 0) * 10000 + 0.5) / 10000 as spread, floor(coalesce(greatest(hi - w, w - lo) / w * 100, 0) * 10000 + 0.5) / 10000 as max_deviation,
-  floor(coalesce(least(1.0, lc + case when n >= 3 then 0.1 else 0.0 end + case when greatest(hi - w, w - lo) / w * 100 < 5 then 0.1 else 0.0 end), 0) * 10000 + 0.5) / 10000 as confidence from (select result_id from fx_results) r left join s using (result_id)""")
+  floor(case when n is null then 0 else least(1.0, lc + case when n >= 3 then 0.1 else 0.0 end + case when greatest(hi - w, w - lo) / w * 100 < 5 then 0.1 else 0.0 end) end * 10000 + 0.5) / 10000 as confidence from (select result_id from fx_results) r left join s using (result_id)""")
 def _(t):
     return c.factor(_anchors(t), ["result_id"], t.fx_results.select("result_id"))
 
