@@ -160,18 +160,34 @@ def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 # ---------------------------------------------------------------- components
 
 
+def _contracted(edges: DataFrame) -> DataFrame:
+    """The edges of each partition as stars around the smallest nodes of its own components: never more
+    edges than before, and the same components overall."""
+
+    def run(batches):
+        parts = [(b.column("a").to_numpy(), b.column("b").to_numpy()) for b in batches]
+        if not parts:
+            return
+        a, b = (np.concatenate(x) for x in zip(*parts))
+        nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        root = local_roots(len(nodes), at[: len(a)], at[len(a) :])
+        on = np.flatnonzero(root != np.arange(len(nodes)))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[on]), pa.array(nodes[root[on]])], ["a", "b"])
+
+    return edges.mapInArrow(run, "a long, b long")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges (a, b)``: rows (node, root), root the smallest node; only
     nodes with edges.
 
-    Alternates large-star and small-star steps. Neighbourhood minima are partial aggregates and the
+    Contracts within partitions, then alternates large-star and small-star steps. Neighbourhood minima are partial aggregates and the
     joins on a node are plain equi-joins that adaptive execution can split, so a hub with a third of
     all edges is not gathered in one task. Every round is a table in the shared folder.
     """
     spark = edges.sparkSession
-    cur = materialize(
-        edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc"
-    )
+    pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    cur = materialize(_contracted(pairs), "cc")
     seen = None
     while True:
         sign = cur.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -185,5 +201,5 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        cur = materialize(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "cc")
+        cur = materialize(_contracted(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct()), "cc")
         release(spark)

@@ -279,7 +279,7 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int, chunk: int = 128) ->
     members = pairs.join(sized, "q").select("q", split.alias("part"), "m")
     members = members.join(sets.withColumnRenamed("cls", "m"), "m").select("q", "part", "m", "keys")
     heads = sized.join(sets.withColumnRenamed("cls", "q"), "q").select("q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks").cast("long") - 1)).alias("part"), F.lit(None).cast("long").alias("m"), "keys")
-    both = members.unionByName(heads).repartition(4 * partitions(spark), "q", "part").sortWithinPartitions("q", "part", "m")
+    both = members.unionByName(heads).repartition(partitions(spark), "q", "part").sortWithinPartitions("q", "part", "m")
 
     def run(batches):
         """Groups arrive whole and in order, the query first."""
