@@ -130,14 +130,15 @@ def trie_overlaps(query: np.ndarray, sets: list[np.ndarray], percent: int, step:
     return linked
 
 
-def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, frequent_from: int = 4, frequent_max: int = 500_000) -> DataFrame:
+def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, frequent_from: int = 2, frequent_max: int = 500_000, hot_from: int = 64) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest id reachable by links) and row_key per document.
 
     docs: ``doc_id``, ``text``; others are not read. Texts that are null, empty or without words have
     no shingles and link with nothing. Null ids link but never name a component, and have a null one
     only where all ids of the component are null. Rows that repeat an id and text are one document. An
     empty table gives no row. Shingles are known by 64-bit hashes and a class by the 64-bit hash of its set with its size.
-    ``frequent_max`` bounds the list that is broadcast; it changes speed alone.
+    ``frequent_max`` bounds the list that is broadcast; it changes speed alone, as does ``hot_from``, the
+    number of classes from which those of a shingle meet in tiles instead of pairs.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row_key"), F.col("text").cast("string").alias("text"))
@@ -225,13 +226,21 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, frequent_
             found = [(int(_class(s).view(np.int64)), ordered(s, frequent.value).tobytes()) for _, s in shingle_sets(batch.column("text"), n)]
             yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in found], pa.int64()), pa.array([k for _, k in found], pa.binary())], ["cls", "keys"])
 
-    def linking(pairs: DataFrame) -> DataFrame:
-        """The pairs (q, m) that link: the sets of their classes, from one document each, go into trees."""
-        classes = pairs.select(F.col("q").alias("cls")).unionByName(pairs.select(F.col("m").alias("cls"))).distinct()
-        wanted = reps.join(classes, "cls", "left_semi").select("row_key")
-        sets = materialize(rows.join(wanted, "row_key", "left_semi").select("text").mapInArrow(sets_of, "cls long, keys binary"), "sets")
+    def sets_for(classes: DataFrame) -> DataFrame:
+        """The sets of classes, from one document each."""
+        wanted = reps.join(classes.distinct(), "cls", "left_semi").select("row_key")
+        made = rows.join(wanted, "row_key", "left_semi").select("text").mapInArrow(sets_of, "cls long, keys binary")
+        made = materialize(made, "sets")
         release(spark)
-        return materialize(verify(pairs, sets, percent), "linked")
+        return made
+
+    def linking(pairs: DataFrame) -> DataFrame:
+        """The pairs (q, m) that link: the sets of their classes go into trees."""
+        classes = pairs.select(F.col("q").alias("cls")).unionByName(pairs.select(F.col("m").alias("cls")))
+        return materialize(verify(pairs, sets_for(classes), percent), "linked")
+
+    def linking_clusters(members: DataFrame) -> DataFrame:
+        return materialize(verify_clusters(members, sets_for(members.select("cls")), percent), "linked")
 
     def near(a: str, b: str):
         return (F.col(a) * 100 >= F.col(b) * percent) & (F.col(b) * 100 >= F.col(a) * percent)
@@ -247,16 +256,22 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, frequent_
     linked = linking(materialize(often_enough(first), "stars"))
     comps = components(linked.select(F.col("q").alias("a"), F.col("m").alias("b")))
 
-    # pairs of different components that meet
-    own = met.select("key", "cls", "size").join(comps.select(F.col("node").alias("cls"), F.col("root").alias("comp")), "cls", "left")
+    # Pairs of different components that meet. Shingles with many classes make no pairs: their classes are
+    # clusters, held against each other in tiles of blocks. A pair with such a shingle is in one cluster.
+    own = met.select("key", "cls", "size", "least").join(comps.select(F.col("node").alias("cls"), F.col("root").alias("comp")), "cls", "left")
     own = own.withColumn("comp", F.coalesce("comp", "cls"))
-    mixed = own.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
-    own = materialize(own.join(mixed, "key", "left_semi"), "mixed")
+    per_key = own.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n")).where("low <> high")
+    own = materialize(own.join(per_key.select("key", "n"), "key"), "mixed")
+    hot = own.where(F.col("n") > hot_from)
+    cluster = materialize(components(hot.select(F.col("cls").alias("a"), F.col("least").alias("b"))), "clusters")
+    members = hot.select("cls", "comp").distinct().join(cluster.select(F.col("node").alias("cls"), F.col("root").alias("cluster")), "cls")
+    own = own.where(F.col("n") <= hot_from).drop("least", "n")
     other = own.select("key", *[F.col(c).alias(f"{c}_b") for c in ("cls", "size", "comp")])
     pairs = own.join(other, "key").where("cls < cls_b and comp <> comp_b").where(near("size", "size_b"))
     pairs = pairs.select(F.col("cls").alias("q"), F.col("cls_b").alias("m"), F.least("size", "size_b").alias("size"))
     more = linking(materialize(often_enough(pairs), "pairs"))
-    comps = components(linked.unionByName(more).select(F.col("q").alias("a"), F.col("m").alias("b")))
+    within = linking_clusters(materialize(members, "members"))
+    comps = components(linked.unionByName(more).unionByName(within).select(F.col("q").alias("a"), F.col("m").alias("b")))
 
     named = sigs.join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.when(F.col("n") > 0, F.coalesce("root", "cls")))
     least_id = named.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("component"))
@@ -309,5 +324,68 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int, chunk: int = 128) ->
     return both.mapInArrow(run, "q long, m long")
 
 
+def verify_clusters(members: DataFrame, sets: DataFrame, percent: int, block_rows: int = 256) -> DataFrame:
+    """Links (q, m) that join the components within each cluster. members: cls, comp, cluster.
+
+    A cluster is cut into blocks of about ``block_rows`` sets, and each pair of blocks is a tile: one
+    block's sets are the trees, the other's the queries. Sets whose components are already joined, or were
+    joined earlier in the tile, are not compared, so a tile returns at most a forest of its sets.
+    """
+    spark = members.sparkSession
+    sized = members.groupBy("cluster").agg(F.ceil(F.count("*") / block_rows).alias("blocks"))
+    placed = members.join(sized, "cluster").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")))
+    placed = placed.join(sets, "cls").select("cluster", "block", "cls", "comp", "keys")
+
+    def packed(table: pa.Table) -> pa.Table:
+        keys = table.column("keys").to_pylist()
+        numbers = {c: [table.column(c).to_numpy().tobytes()] for c in ("cls", "comp")}
+        lengths = [np.array([len(k) for k in keys], np.int64).tobytes()]
+        return pa.table({"cluster": [table.column("cluster")[0].as_py()], "block": [table.column("block")[0].as_py()], **numbers, "lengths": lengths, "keys": [b"".join(keys)]})
+
+    blocks = materialize(placed.groupBy("cluster", "block").applyInArrow(packed, "cluster long, block long, cls binary, comp binary, lengths binary, keys binary"), "blocks")
+    side = lambda s: blocks.select("cluster", *[F.col(c).alias(c + s) for c in ("block", "cls", "comp", "lengths", "keys")])
+    names = blocks.select("cluster", F.col("block").alias("block_a"))
+    tiles = names.join(names.withColumnRenamed("block_a", "block_b"), "cluster").where("block_a <= block_b")
+    tiles = tiles.repartition(partitions(spark), "cluster", "block_a", "block_b")
+    work = tiles.join(side("_a"), ["cluster", "block_a"]).join(side("_b"), ["cluster", "block_b"])
+
+    def run(batches):
+        for batch in batches:
+            for r in range(batch.num_rows):
+                own = [_unpacked(*[batch.column(c + s)[r].as_py() for c in ("cls", "comp", "lengths", "keys")]) for s in ("_a", "_b")]
+                links = _tile(own[0], own[1], batch.column("block_a")[r] == batch.column("block_b")[r], percent)
+                if links:
+                    yield pa.RecordBatch.from_pydict({"q": pa.array([q for q, _ in links], pa.int64()), "m": pa.array([m for _, m in links], pa.int64())})
+
+    return work.mapInArrow(run, "q long, m long")
+
+
+def _unpacked(cls: bytes, comp: bytes, lengths: bytes, keys: bytes):
+    ends = np.cumsum(np.frombuffer(lengths, np.int64)) // 8
+    return np.frombuffer(cls, np.int64), np.frombuffer(comp, np.int64), np.split(np.frombuffer(keys, np.uint64), ends[:-1])
+
+
+def _tile(a, b, same: bool, percent: int) -> list[tuple[int, int]]:
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (y := up.get(x, x)) != x:
+            up[x] = up.get(y, y)
+            x = y
+        return x
+
+    out = []
+    (cls_a, comp_a, sets_a), (cls_b, comp_b, sets_b) = a, b
+    for i, query in enumerate(sets_a):
+        own = root(int(comp_a[i]))
+        pick = [j for j in range(i + 1 if same else 0, len(sets_b)) if root(int(comp_b[j])) != own]
+        for k in trie_overlaps(query, [sets_b[j] for j in pick], percent):
+            x, y = root(int(comp_a[i])), root(int(comp_b[pick[k]]))
+            if x != y:
+                up[max(x, y)] = min(x, y)
+                out.append((int(cls_a[i]), int(cls_b[pick[k]])))
+    return out
+
+
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), n=4, percent=85)

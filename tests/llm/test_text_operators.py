@@ -105,9 +105,9 @@ def brute_join(rows, n, percent):
     return Counter((d, len(sets[i]), least.get(root(i)) if sets[i] else d) for i, (d, _) in enumerate(rows))
 
 
-@pytest.mark.parametrize("n,percent,often", [(4, 85, 4), (3, 50, 1), (5, 80, 100)])
-def test_ngram_join(docs, rows, n, percent, often):
-    got = ngram_join.jaccard_components(docs, n, percent, frequent_from=often, frequent_max=50)
+@pytest.mark.parametrize("n,percent,often,hot", [(4, 85, 2, 64), (3, 50, 1, 2), (1, 30, 100, 3)])
+def test_ngram_join(docs, rows, n, percent, often, hot):
+    got = ngram_join.jaccard_components(docs, n, percent, frequent_from=often, frequent_max=50, hot_from=hot)
     assert tuples(got, "doc_id", "n_shingles", "component_id") == brute_join(rows, n, percent)
 
 
