@@ -228,7 +228,7 @@ def repeated_spans(rows: DataFrame, groups: int, length: int, k: int, batch: int
         out = [(b, by[i:j]) for b, (i, j) in enumerate(zip(cuts, cuts[1:])) if j > i]
         cols = {
             "bucket": [b for b, _ in out], "grp": [grp] * len(out), "bytes": [pack(cut[x].tobytes()) for _, x in out],
-            "doc_ids": [ids[doc[x]].tobytes() for _, x in out], "places": [doc[x].astype(np.int32).tobytes() for _, x in out],
+            "doc_ids": [pack(np.diff(ids[doc[x]], prepend=0).tobytes()) for _, x in out], "places": [pack(np.diff(doc[x], prepend=0).astype(np.int32).tobytes()) for _, x in out],
             "starts": [start[x].astype(np.uint32).tobytes() for _, x in out], "counts": [n[x].tobytes() for _, x in out], "known": [b""] * len(out),
         }
         if len(there):
@@ -246,7 +246,8 @@ def repeated_spans(rows: DataFrame, groups: int, length: int, k: int, batch: int
         read = lambda c, t: np.frombuffer(b"".join(table.column(c).to_pylist()), t)
         unpack = zstandard.ZstdDecompressor().decompress
         cut = np.frombuffer(b"".join(unpack(c.as_py()) for c in table.column("bytes") if c.as_py()), np.uint8).reshape(-1, stretch)
-        ids, places, starts, n = read("doc_ids", np.int64), read("places", np.int32), read("starts", np.uint32).astype(np.int64), read("counts", np.uint8)
+        gaps = lambda c, t: np.concatenate([np.cumsum(np.frombuffer(unpack(v.as_py()), t)) for v in table.column(c) if v.as_py()] or [np.zeros(0, t)])
+        ids, places, starts, n = gaps("doc_ids", np.int64), gaps("places", np.int32).astype(np.int32), read("starts", np.uint32).astype(np.int64), read("counts", np.uint8)
         order = np.argsort(ids, kind="stable")
         family, spans = IndexFamily(), []
         offset = np.arange(stretch - length + 1)
