@@ -33,16 +33,25 @@ def normalized(text) -> Column:
 def sampled(text, rate: Column) -> Column:
     """Every rate-th character from the first on."""
     c = _c(text)
-    every = F.filter(F.split(c, ""), lambda x, i: i % rate == 0)
+    held = F.array(F.struct(F.split(c, "").alias("c"), rate.alias("rate")))  # else both are computed again for each character
+    every = F.transform(held, lambda s: F.filter(s["c"], lambda x, i: i % s["rate"] == 0))[0]
     return F.when(rate == 1, c).otherwise(F.array_join(every, ""))
 
 
+def levenshtein(a, b) -> Column:
+    """Edit distance of whole texts, in bands that widen until the distance lies within."""
+    a, b = _c(a), _c(b)
+    n = F.greatest(F.length(a), F.length(b))
+    near = [F.call_function("levenshtein", a, b, F.floor(n / k).cast("int") + 16) for k in (16, 4)]
+    return F.coalesce(*[F.nullif(x, F.lit(-1)) for x in near], F.levenshtein(a, b))
+
+
 def edit_distance(a, b, large: int = LARGE) -> Column:
     """Edit distance; above ``large`` characters, of every k-th character and times k."""
     a, b = _c(a), _c(b)
     longest = F.greatest(F.length(a), F.length(b), F.lit(1))
     rate = F.ceil(longest / F.lit(float(large))).cast("int")
-    return F.when(longest <= large, F.levenshtein(a, b)).otherwise(F.levenshtein(sampled(a, rate), sampled(b, rate)) * rate).cast("long")
+    return F.when(longest <= large, levenshtein(a, b)).otherwise(levenshtein(sampled(a, rate), sampled(b, rate)) * rate).cast("long")
 
 
 def error_rate(text, truth) -> Column:
@@ -92,7 +101,7 @@ def similarity(a, b) -> Column:
     """1 - distance / longer length; 0 if either is empty."""
     a, b = _c(a), _c(b)
     n = F.greatest(F.length(a), F.length(b))
-    return F.when((F.length(a) == 0) | (F.length(b) == 0), F.lit(0.0)).otherwise(F.lit(1.0) - F.levenshtein(a, b).cast("double") / n)
+    return F.when((F.length(a) == 0) | (F.length(b) == 0), F.lit(0.0)).otherwise(F.lit(1.0) - levenshtein(a, b).cast("double") / n)
 
 
 def precision_recall_f1(text, truth) -> Column:
@@ -193,7 +202,9 @@ def character_differences(text, truth, limit: int = 50, large_limit: int = 100)
     a, b = chars(text), chars(truth)
     n = F.greatest(F.length(_c(text)), F.length(_c(truth)))
     step = F.when(n > LARGE, F.ceil(n / F.lit(1000.0))).otherwise(F.lit(1)).cast("int")
-    at = F.when(n > 0, F.sequence(F.lit(0), (n - 1).cast("int"), step)).otherwise(F.array().cast("array<int>"))
     end = F.lit("(end)")
-    all_ = F.transform(at, lambda i: F.struct(i.alias("position"), F.coalesce(F.get(b, i), end).alias("want"), F.coalesce(F.get(a, i), end).alias("got")))
-    return F.slice(F.filter(all_, lambda d: d["want"] != d["got"]), 1, F.when(n > LARGE, F.lit(large_limit)).otherwise(F.lit(limit)))
+    pairs = F.zip_with(a, b, lambda x, y: F.struct(F.coalesce(y, end).alias("want"), F.coalesce(x, end).alias("got")))
+    all_ = F.transform(pairs, lambda d, i: F.struct(i.alias("position"), d["want"].alias("want"), d["got"].alias("got")))
+    held = F.array(F.struct(F.filter(all_, lambda d: d["want"] != d["got"]).alias("d"), step.alias("step")))
+    every = F.transform(held, lambda s: F.filter(s["d"], lambda d: d["position"] % s["step"] == 0))[0]
+    return F.slice(every, 1, F.when(n > LARGE, F.lit(large_limit)).otherwise(F.lit(limit)))

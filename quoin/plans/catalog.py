@@ -3,4 +3,4 @@
 from __future__ import annotations
 
 from . import aggregates, ordered, relational, scalars, spatial  # noqa: F401
-from .registry import ORACLE, QUERIES  # noqa: F401
+from .registry import ORACLE, PARTS, QUERIES  # noqa: F401

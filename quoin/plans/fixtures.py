@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import re
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 VIEWS = {
@@ -30,17 +33,32 @@ VIEWS = {
     "fx_llm": """select conv_id, turn, role, text, concat('Extracted text: ', text, chr(10), 'Note: x') as answer from conversations""",
 }
 
+#: What SQL on texts covers: the prefixes in fx_text.
+PREFIXES = {"texts": lambda t: t.fx_text}
+
+
+def texts(documents: DataFrame) -> DataFrame:
+    """Like fx_text, of the whole texts of all documents."""
+    read = F.replace(F.replace("text", F.lit("th"), F.lit("t")), F.lit("e "), F.lit("c "))
+    return documents.select("doc_id", "lang", F.col("text").alias("truth"), read.alias("raw_text"), F.concat(F.lit("tool"), (F.col("doc_id") % 5).cast("string")).alias("tool"))
+
 
 class Tables:
-    """Frames by name: base tables and fixture views, read when asked for."""
+    """Frames by name: base tables, fixture views and ``texts``, read when asked for; those in ``parts``
+    cut to a part."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(self, spark: SparkSession, sf_dir: str, parts: dict[str, Callable[[Tables], DataFrame]] | None = None):
         self.spark, self.sf_dir, self.held = spark, sf_dir, {}
+        if parts:
+            whole = Tables(spark, sf_dir)
+            self.held = {n: f(whole) for n, f in parts.items()}
 
     def __getattr__(self, name: str) -> DataFrame:
         if name not in self.held:
             if name in VIEWS:
                 self.held[name] = self.spark.sql(_named(VIEWS[name]), **{n: getattr(self, n) for n in _names(VIEWS[name])})
+            elif name == "texts":
+                self.held[name] = texts(self.documents)
             elif name in BASE:
                 self.held[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
             else:

@@ -8,6 +8,7 @@ from ..functions import defaults as d
 from ..functions import labels as l
 from ..functions import parsing as p
 from ..functions import text as x
+from .fixtures import PREFIXES
 from .registry import query
 
 PLAIN = "strlen(truth) = length(truth) and strlen(raw_text) = length(raw_text) and doc_id % 4 = 0"
@@ -33,24 +34,24 @@ def _(t):
     return _plain(t).select("doc_id", d.js_round(x.error_rate("raw_text", "truth"), 4).alias("rate"))
 
 
-@query("f4_position_accuracy", "select doc_id, floor(len(list_filter(range(1, length(truth) + 1), lambda i: truth[i] = raw_text[i])) * 100.0 / length(truth) * 10000 + 0.5) / 10000 as accuracy from fx_text where length(truth) > 0")
+@query("f4_position_accuracy", "select doc_id, floor(len(list_filter(range(1, length(truth) + 1), lambda i: truth[i] = raw_text[i])) * 100.0 / length(truth) * 10000 + 0.5) / 10000 as accuracy from fx_text where length(truth) > 0", PREFIXES)
 def _(t):
-    return t.fx_text.where(F.length("truth") > 0).select("doc_id", d.js_round(x.position_accuracy("raw_text", "truth"), 4).alias("accuracy"))
+    return t.texts.where(F.length("truth") > 0).select("doc_id", d.js_round(x.position_accuracy("raw_text", "truth"), 4).alias("accuracy"))
 
 
-@query("f5_coverage", "select doc_id, floor(len(list_intersect(list_distinct(string_split(truth, '')), list_distinct(string_split(raw_text, '')))) * 100.0 / len(list_distinct(string_split(truth, ''))) * 10000 + 0.5) / 10000 as coverage from fx_text where length(truth) > 0")
+@query("f5_coverage", "select doc_id, floor(len(list_intersect(list_distinct(string_split(truth, '')), list_distinct(string_split(raw_text, '')))) * 100.0 / len(list_distinct(string_split(truth, ''))) * 10000 + 0.5) / 10000 as coverage from fx_text where length(truth) > 0", PREFIXES)
 def _(t):
-    return t.fx_text.where(F.length("truth") > 0).select("doc_id", d.js_round(x.charset_coverage("raw_text", "truth"), 4).alias("coverage"))
+    return t.texts.where(F.length("truth") > 0).select("doc_id", d.js_round(x.charset_coverage("raw_text", "truth"), 4).alias("coverage"))
 
 
-@query("f6_counts", "select doc_id, length(raw_text) = length(truth) as same, length(raw_text) - length(truth) as difference from fx_text")
+@query("f6_counts", "select doc_id, length(raw_text) = length(truth) as same, length(raw_text) - length(truth) as difference from fx_text", PREFIXES)
 def _(t):
-    return t.fx_text.select("doc_id", (F.length("raw_text") == F.length("truth")).alias("same"), (F.length("raw_text") - F.length("truth")).cast("long").alias("difference"))
+    return t.texts.select("doc_id", (F.length("raw_text") == F.length("truth")).alias("same"), (F.length("raw_text") - F.length("truth")).cast("long").alias("difference"))
 
 
-@query("f7_sorted_form", "select doc_id, array_to_string(list_sort(string_split(regexp_replace(truth, '\\s', '', 'g'), '')), '') as form from fx_text")
+@query("f7_sorted_form", "select doc_id, array_to_string(list_sort(string_split(regexp_replace(truth, '\\s', '', 'g'), '')), '') as form from fx_text", PREFIXES)
 def _(t):
-    return t.fx_text.select("doc_id", x.sorted_form("truth").alias("form"))
+    return t.texts.select("doc_id", x.sorted_form("truth").alias("form"))
 
 
 FORM = "array_to_string(list_sort(string_split(regexp_replace({}, '\\s', '', 'g'), '')), '')"
@@ -95,15 +96,15 @@ def _(t):
     return t.fx_boxes.select("result_id", "bbox_index", p.stated_confidence(answer).alias("confidence"))
 
 
-@query("f17_words", "select doc_id, len(list_filter(regexp_split_to_array(truth, '(\\s|[、。，．！？])+'), lambda w: w <> '')) as n from fx_text")
+@query("f17_words", "select doc_id, len(list_filter(regexp_split_to_array(truth, '(\\s|[、。，．！？])+'), lambda w: w <> '')) as n from fx_text", PREFIXES)
 def _(t):
-    return t.fx_text.select("doc_id", F.size(x.words("truth")).cast("long").alias("n"))
+    return t.texts.select("doc_id", F.size(x.words("truth")).cast("long").alias("n"))
 
 
-@query("f16_blocks", "select doc_id, len(regexp_extract_all(concat('x \"', replace(replace(replace(truth, chr(39), ''), '\"', ''), '「', ''), '\" y'), '\"([^\"]+)\"', 1)) as n from fx_text where truth <> ''")
+@query("f16_blocks", "select doc_id, len(regexp_extract_all(concat('x \"', replace(replace(replace(truth, chr(39), ''), '\"', ''), '「', ''), '\" y'), '\"([^\"]+)\"', 1)) as n from fx_text where truth <> ''", PREFIXES)
 def _(t):
     plain = F.replace(F.replace(F.replace("truth", F.lit("'"), F.lit("")), F.lit('"'), F.lit("")), F.lit("「"), F.lit(""))
-    return t.fx_text.where("truth <> ''").select("doc_id", F.size(x.text_blocks(F.concat(F.lit('x "'), plain, F.lit('" y')))).cast("long").alias("n"))
+    return t.texts.where("truth <> ''").select("doc_id", F.size(x.text_blocks(F.concat(F.lit('x "'), plain, F.lit('" y')))).cast("long").alias("n"))
 
 
 @query("f21_precision_recall", f"select doc_id, floor((greatest(length(raw_text), length(truth)) - levenshtein(raw_text, truth)) * 1.0 / length(raw_text) * 10000 + 0.5) / 10000 as precision_, floor((greatest(length(raw_text), length(truth)) - levenshtein(raw_text, truth)) * 1.0 / length(truth) * 10000 + 0.5) / 10000 as recall_ from fx_text where {PLAIN} and length(truth) > 0 and length(raw_text) > 0")
@@ -199,7 +200,7 @@ def _(t):
 
 @query("f19_character_differences")
 def _(t):
-    rows = t.fx_text.select("doc_id", F.explode(x.character_differences("raw_text", "truth")).alias("c"))
+    rows = t.texts.select("doc_id", F.explode(x.character_differences("raw_text", "truth")).alias("c"))
     return rows.select("doc_id", "c.position", "c.want", "c.got")
 
 
