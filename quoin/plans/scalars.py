@@ -24,14 +24,14 @@ def _(t):
     return t.documents.select("doc_id", F.md5(x.normalized("text")).alias("digest"))
 
 
-@query("f2_edit_distance", f"select doc_id, levenshtein(raw_text, truth) as distance from fx_text where {PLAIN}")
+@query("f2_edit_distance", f"select doc_id, levenshtein(raw_text, truth) as distance from fx_text where {PLAIN}", {"texts": _plain})
 def _(t):
-    return _plain(t).select("doc_id", x.edit_distance("raw_text", "truth").alias("distance"))
+    return t.texts.select("doc_id", x.edit_distance("raw_text", "truth").alias("distance"))
 
 
-@query("f3_error_rate", f"select doc_id, floor(case when length(truth) = 0 then case when length(raw_text) = 0 then 0 else 1 end else levenshtein(raw_text, truth) * 1.0 / length(truth) end * 10000 + 0.5) / 10000 as rate from fx_text where {PLAIN}")
+@query("f3_error_rate", f"select doc_id, floor(case when length(truth) = 0 then case when length(raw_text) = 0 then 0 else 1 end else levenshtein(raw_text, truth) * 1.0 / length(truth) end * 10000 + 0.5) / 10000 as rate from fx_text where {PLAIN}", {"texts": _plain})
 def _(t):
-    return _plain(t).select("doc_id", d.js_round(x.error_rate("raw_text", "truth"), 4).alias("rate"))
+    return t.texts.select("doc_id", d.js_round(x.error_rate("raw_text", "truth"), 4).alias("rate"))
 
 
 @query("f4_position_accuracy", "select doc_id, floor(len(list_filter(range(1, length(truth) + 1), lambda i: truth[i] = raw_text[i])) * 100.0 / length(truth) * 10000 + 0.5) / 10000 as accuracy from fx_text where length(truth) > 0", PREFIXES)
@@ -57,9 +57,9 @@ def _(t):
 FORM = "array_to_string(list_sort(string_split(regexp_replace({}, '\\s', '', 'g'), '')), '')"
 
 
-@query("f8_order_free", f"select doc_id, floor(levenshtein(a, b) * 1.0 / greatest(length(a), length(b)) * 10000 + 0.5) / 10000 as rate from (select doc_id, {FORM.format('raw_text')} a, {FORM.format('truth')} b from fx_text where {PLAIN}) where greatest(length(a), length(b)) > 0")
+@query("f8_order_free", f"select doc_id, floor(levenshtein(a, b) * 1.0 / greatest(length(a), length(b)) * 10000 + 0.5) / 10000 as rate from (select doc_id, {FORM.format('raw_text')} a, {FORM.format('truth')} b from fx_text where {PLAIN}) where greatest(length(a), length(b)) > 0", {"texts": _plain})
 def _(t):
-    rows = _plain(t).select("doc_id", x.order_free_error_rate("raw_text", "truth").alias("r"), F.greatest(F.length(x.sorted_form("raw_text")), F.length(x.sorted_form("truth"))).alias("n"))
+    rows = t.texts.select("doc_id", x.order_free_error_rate("raw_text", "truth").alias("r"), F.greatest(F.length(x.sorted_form("raw_text")), F.length(x.sorted_form("truth"))).alias("n"))
     return rows.where("n > 0").select("doc_id", d.js_round("r", 4).alias("rate"))
 
 
@@ -107,16 +107,16 @@ def _(t):
     return t.texts.where("truth <> ''").select("doc_id", F.size(x.text_blocks(F.concat(F.lit('x "'), plain, F.lit('" y')))).cast("long").alias("n"))
 
 
-@query("f21_precision_recall", f"select doc_id, floor((greatest(length(raw_text), length(truth)) - levenshtein(raw_text, truth)) * 1.0 / length(raw_text) * 10000 + 0.5) / 10000 as precision_, floor((greatest(length(raw_text), length(truth)) - levenshtein(raw_text, truth)) * 1.0 / length(truth) * 10000 + 0.5) / 10000 as recall_ from fx_text where {PLAIN} and length(truth) > 0 and length(raw_text) > 0")
+@query("f21_precision_recall", f"select doc_id, floor((greatest(length(raw_text), length(truth)) - levenshtein(raw_text, truth)) * 1.0 / length(raw_text) * 10000 + 0.5) / 10000 as precision_, floor((greatest(length(raw_text), length(truth)) - levenshtein(raw_text, truth)) * 1.0 / length(truth) * 10000 + 0.5) / 10000 as recall_ from fx_text where {PLAIN} and length(truth) > 0 and length(raw_text) > 0", {"texts": _plain})
 def _(t):
     s = x.precision_recall_f1("raw_text", "truth")
-    rows = _plain(t).where((F.length("truth") > 0) & (F.length("raw_text") > 0))
+    rows = t.texts.where((F.length("truth") > 0) & (F.length("raw_text") > 0))
     return rows.select("doc_id", d.js_round(s["precision"], 4).alias("precision_"), d.js_round(s["recall"], 4).alias("recall_"))
 
 
-@query("f22_similarity", f"select doc_id, floor((1 - levenshtein(raw_text, truth) * 1.0 / greatest(length(raw_text), length(truth))) * 10000 + 0.5) / 10000 as similarity from fx_text where {PLAIN} and length(truth) > 0 and length(raw_text) > 0")
+@query("f22_similarity", f"select doc_id, floor((1 - levenshtein(raw_text, truth) * 1.0 / greatest(length(raw_text), length(truth))) * 10000 + 0.5) / 10000 as similarity from fx_text where {PLAIN} and length(truth) > 0 and length(raw_text) > 0", {"texts": _plain})
 def _(t):
-    rows = _plain(t).where((F.length("truth") > 0) & (F.length("raw_text") > 0))
+    rows = t.texts.where((F.length("truth") > 0) & (F.length("raw_text") > 0))
     return rows.select("doc_id", d.js_round(x.similarity("raw_text", "truth"), 4).alias("similarity"))
 
 

@@ -69,3 +69,14 @@ def test_whole_texts(spark, folder):
         pad = [(k, *(s[k] if k < len(s) else "(end)" for s in (t, r))) for k in range(max(len(t), len(r)))]
         want += [(i, *p) for p in pad if p[1] != p[2]][:50]
     assert got(spark, folder, "f19_character_differences") == sorted(want)
+
+
+def test_distances_of_whole_texts(spark, folder):
+    near = lambda v: pytest.approx(v, abs=6e-5)
+    some = [(i, t, read(t), distance(read(t), t)) for i, t, _ in TEXTS if t]
+    assert got(spark, folder, "f2_edit_distance") == sorted((i, distance(read(t), t)) for i, t, _ in TEXTS)
+    assert got(spark, folder, "f3_error_rate") == sorted((i, near(distance(read(t), t) / len(t)) if t else 0.0) for i, t, _ in TEXTS)
+    assert got(spark, folder, "f21_precision_recall") == [(i, near((max(len(r), len(t)) - d) / len(r)), near((max(len(r), len(t)) - d) / len(t))) for i, t, r, d in some]
+    assert got(spark, folder, "f22_similarity") == [(i, near(1 - d / max(len(r), len(t)))) for i, t, r, d in some]
+    forms = [(i, *("".join(sorted("".join(s.split()))) for s in (r, t))) for i, t, r, _ in some if t.strip()]
+    assert got(spark, folder, "f8_order_free") == [(i, near(distance(a, b) / max(len(a), len(b)))) for i, a, b in forms]
