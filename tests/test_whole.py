@@ -80,3 +80,10 @@ def test_distances_of_whole_texts(spark, folder):
     assert got(spark, folder, "f22_similarity") == [(i, near(1 - d / max(len(r), len(t)))) for i, t, r, d in some]
     forms = [(i, *("".join(sorted("".join(s.split()))) for s in (r, t))) for i, t, r, _ in some if t.strip()]
     assert got(spark, folder, "f8_order_free") == [(i, near(distance(a, b) / max(len(a), len(b)))) for i, a, b in forms]
+
+
+def test_leaderboard_of_all_rows(spark, folder):
+    want = {}
+    for i, t, _ in TEXTS:
+        want.setdefault(f"tool{i % 5}", []).append(distance(read(t), t) / len(t) if t else 0.0)
+    assert got(spark, folder, "leaderboard") == sorted((k, len(v), pytest.approx(sum(v) / len(v), abs=6e-5), v.count(0)) for k, v in want.items())
