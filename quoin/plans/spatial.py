@@ -217,13 +217,18 @@ def _(t):
     return s.line_order(t.fx_boxes.select("result_id", "bbox_index", "x", "y"), "result_id", "bbox_index")
 
 
+def _prefixes(t):
+    """What the SQL compares: prefixes, among ids that are equal modulo 40."""
+    rows = t.fx_text.where((F.octet_length("raw_text") == F.length("raw_text")) & (F.octet_length("truth") == F.length("truth")))
+    return rows.select("doc_id", (F.col("doc_id") % 40).alias("k"), F.substring("raw_text", 1, 60).alias("raw_text"), F.substring("truth", 1, 60).alias("truth"))
+
+
 @query("j14_fuzzy_match", """select doc_id, other_id, floor(s * 10000 + 0.5) / 10000 as similarity from (select a.doc_id, b.doc_id as other_id, 1 - levenshtein(a.t, b.t) * 1.0 / greatest(length(a.t), length(b.t)) as s,
   row_number() over (partition by a.doc_id order by 1 - levenshtein(a.t, b.t) * 1.0 / greatest(length(a.t), length(b.t)) desc, b.doc_id) rn from
   (select doc_id, doc_id % 40 as k, substr(raw_text, 1, 60) as t from fx_text where strlen(raw_text) = length(raw_text)) a join (select doc_id, doc_id % 40 as k, substr(truth, 1, 60) as t from fx_text where strlen(truth) = length(truth)) b using (k)
-  where 1 - levenshtein(a.t, b.t) * 1.0 / greatest(length(a.t), length(b.t)) >= 0.65) where rn = 1""")
+  where 1 - levenshtein(a.t, b.t) * 1.0 / greatest(length(a.t), length(b.t)) >= 0.65) where rn = 1""", {"texts": _prefixes})
 def _(t):
-    plain = lambda v: F.octet_length(v) == F.length(v)
-    k = (F.col("doc_id") % 40).alias("k")
-    left = t.fx_text.where(plain("raw_text")).select("doc_id", k, F.substring("raw_text", 1, 60).alias("text"))
-    right = t.fx_text.where(plain("truth")).select(F.col("doc_id").alias("other_id"), k, F.substring("truth", 1, 60).alias("other"))
-    return s.fuzzy_best(left, right, "k", "doc_id", "other_id", 0.65).select("doc_id", "other_id", d.js_round("similarity", 4).alias("similarity"))
+    key = [c for c in t.texts.columns if c == "k"]
+    left = t.texts.select("doc_id", *key, F.col("raw_text").alias("text"))
+    right = t.texts.select(F.col("doc_id").alias("other_id"), *key, F.col("truth").alias("other"))
+    return s.fuzzy_nearest(left, right, "doc_id", "other_id", 0.65, key).select("doc_id", "other_id", d.js_round("similarity", 4).alias("similarity"))

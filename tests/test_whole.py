@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tests.test_oracles import DIR, duck, rows  # noqa: F401
 
 from quoin.functions import text
+from quoin.operators import spatial
 from quoin.plans import catalog
 
 LONG = "the cat sat on the mat, " * 30 + "the end "
@@ -87,3 +88,21 @@ def test_leaderboard_of_all_rows(spark, folder):
     for i, t, _ in TEXTS:
         want.setdefault(f"tool{i % 5}", []).append(distance(read(t), t) / len(t) if t else 0.0)
     assert got(spark, folder, "leaderboard") == sorted((k, len(v), pytest.approx(sum(v) / len(v), abs=6e-5), v.count(0)) for k, v in want.items())
+
+
+def test_fuzzy_matches_of_all_pairs(spark, folder):
+    import random
+
+    pick = random.Random(1)
+    texts = [(i, t, read(t)) for i, t, _ in TEXTS] + [(i, t, "".join(pick.choice("ab \u00fc") if pick.random() < 0.2 else c for c in t)) for i in range(50, 90) for t in [TEXTS[i % 3][1][: pick.choice((12, 30, 31, 33, 90))]]]
+    left, right = spark.createDataFrame([(i, r) for i, _, r in texts], "i long, text string"), spark.createDataFrame([(i + 7, t) for i, t, _ in texts], "j long, other string")
+    for own in (right, right.withColumn("j", F.col("j") - 7)):
+        ids = {t: j for j, t in sorted(((r["j"], r["other"]) for r in own.collect()), reverse=True)}
+        want = []
+        for i, _, r in texts:
+            near = [(-(1 - distance(r, t) / max(len(r), len(t))), j) for t, j in ids.items() if r and t]
+            near = [x for x in near if -x[0] >= 0.65]
+            want += [(i, min(near)[1], -min(near)[0])] if near else []
+        have = sorted(map(tuple, spatial.fuzzy_nearest(left, own, "i", "j", 0.65).collect()))
+        assert have == sorted(want)
+    assert [r[0] for r in got(spark, folder, "j14_fuzzy_match")] == [1, 2, 5, 6, 8]
