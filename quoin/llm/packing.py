@@ -72,13 +72,14 @@ def best_fit(histogram: dict[int, int], capacity: int) -> Counter:
     return done
 
 
-def improve(patterns: Counter, capacity: int, rounds: int = 200_000) -> Counter:
+def improve(patterns: Counter, capacity: int) -> Counter:
     """Swap-based local search among underfull bins.
 
     The emptiest bin gives its pieces away: a move to another bin, else an exchange of one of its
-    pieces for a shorter one, or of one for two shorter ones, of another bin. Each step moves tokens
-    from an emptier to a fuller bin, so the sum of squared fills grows and the search ends; a bin that
-    has become empty is gone. Steps act on whole multiplicities of equal bins.
+    pieces for a shorter one, of one for two shorter ones, or of two for one shorter than both together,
+    of another bin. Each step moves tokens from an emptier to a fuller bin, so the sum of squared fills
+    grows and the search ends, when no step gains; a bin that has become empty is gone. Steps act on
+    whole multiplicities of equal bins.
     """
     fill = {p: sum(p) for p in patterns}
     full = Counter({p: n for p, n in patterns.items() if fill[p] == capacity})
@@ -109,6 +110,9 @@ def improve(patterns: Counter, capacity: int, rounds: int = 200_000) -> Counter:
 
     def step(low: tuple) -> bool:
         base = sum(low)
+        held = Counter(low)
+        sizes = sorted(held)
+        twos = sorted({x + y: (x, y) for i, x in enumerate(sizes) for y in sizes[i:] if x != y or held[x] > 1}.items())
         for f in sorted(by_fill, reverse=True):
             gap = capacity - f
             if f < base:
@@ -121,7 +125,7 @@ def improve(patterns: Counter, capacity: int, rounds: int = 200_000) -> Counter:
                 trade = None
                 for x in sorted(set(low), reverse=True):
                     if x <= gap:  # move
-                        trade = (x, ())
+                        trade = ((x,), ())
                         break
                     need = x - gap  # the other gives back at least this much
                     got = sorted(y for y in set(other) if need <= y < x)
@@ -135,13 +139,20 @@ def improve(patterns: Counter, capacity: int, rounds: int = 200_000) -> Counter:
                             if pick is None or y + two[k] < sum(pick):
                                 pick = (y, two[k])
                     if pick is not None:
-                        trade = (x, pick)
+                        trade = ((x,), pick)
                         break
+                if trade is None:
+                    for y in sorted(set(other), reverse=True):  # two for one
+                        k = bisect_left(twos, (y + gap + 1,)) - 1
+                        if k >= 0 and twos[k][0] > y:
+                            trade = (twos[k][1], (y,))
+                            break
                 if trade:
-                    x, back = trade
+                    gone, back = trade
                     a, b = list(low), list(other)
-                    a.remove(x)
-                    b.append(x)
+                    for x in gone:
+                        a.remove(x)
+                        b.append(x)
                     for y in back:
                         b.remove(y)
                         a.append(y)
@@ -152,16 +163,21 @@ def improve(patterns: Counter, capacity: int, rounds: int = 200_000) -> Counter:
                     return True
         return False
 
-    while by_fill and rounds:
-        f = min(by_fill)
-        low = next(iter(by_fill[f]))
-        rounds -= 1
-        if not step(low):
-            n = by_fill[f][low]
-            take(low, n)
-            stuck[low] += n
-    for at in by_fill.values():
-        stuck.update(at)
+    gained = True
+    while gained:  # a step may free bins that were stuck before it
+        gained = False
+        for p, n in stuck.items():
+            add(p, n)
+        stuck.clear()
+        while by_fill:
+            f = min(by_fill)
+            low = next(iter(by_fill[f]))
+            if step(low):
+                gained = True
+            else:
+                n = by_fill[f][low]
+                take(low, n)
+                stuck[low] += n
     return full + stuck
 
 

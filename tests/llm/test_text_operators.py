@@ -165,6 +165,14 @@ def test_packing_search_keeps_pieces_and_gains():
         assert back == h and sum(after.values()) <= sum(before.values()) and squares(after) >= squares(before)
 
 
+def test_packing_search_gives_two_for_one_and_ends_when_no_step_gains():
+    assert packing.improve(Counter({(10, 7): 1, (5, 4): 1}), 20) == Counter({(10, 5, 4): 1, (7,): 1})
+    for seed in range(5):
+        rng = random.Random(seed)
+        after = packing.improve(packing.best_fit(Counter(rng.randint(200, 1024) for _ in range(400)), 1024), 1024)
+        assert packing.improve(after, 1024) == after
+
+
 def test_byte_bpe_equals_the_library():
     enc = bpe.encoder()
     for _ in range(400):
