@@ -39,9 +39,13 @@ def _(t):
     return m.collapsed_changes(log, "result_id", "item", ["ts", "event_id"])
 
 
+#: What the SQL on rasters covers.
+FEW = {"part": lambda t: t.part.where("p_partkey < 20")}
+
+
 def _pixels(t):
-    """Boxes of parts as outlines on 120 x 120 images."""
-    parts = t.part.where("p_partkey < 20").select(F.col("p_partkey").alias("image_id"), (F.lit(5) + F.col("p_size") % 5).cast("long").alias("a"))
+    """Boxes of all parts as outlines on 120 x 120 images."""
+    parts = t.part.select(F.col("p_partkey").alias("image_id"), (F.lit(5) + F.col("p_size") % 5).cast("long").alias("a"))
     grid = parts.withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(119)))).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(119))))
     far = F.lit(110)
     edge = ((F.col("x").isin(10, 110) | (F.col("x") == F.col("a") + 60)) & F.col("y").between(F.lit(10), far)) | (F.col("y").isin(10, 110) & F.col("x").between(F.lit(10), far))
@@ -49,12 +53,12 @@ def _pixels(t):
 
 
 @query("c2_line_runs", """with p as (select p_partkey as image_id, 5 + p_size % 5 + 60 as m from part where p_partkey < 20), s as (select unnest([10, 110]) as a)
-  select image_id, 'horizontal' as orientation, a as "at", 10 as "first", 110 as "last", 101 as length from p, s union all select image_id, 'vertical', a, 10, 110, 101 from p, s union all select image_id, 'vertical', m, 10, 110, 101 from p where m % 2 = 0""")
+  select image_id, 'horizontal' as orientation, a as "at", 10 as "first", 110 as "last", 101 as length from p, s union all select image_id, 'vertical', a, 10, 110, 101 from p, s union all select image_id, 'vertical', m, 10, 110, 101 from p where m % 2 = 0""", FEW)
 def _(t):
     return v.walls(v.line_runs(_pixels(t)))
 
 
-@query("c5_perimeter", "select p_partkey as image_id, 20 as x1, 20 as y1, 100 as x2, 100 as y2 from part where p_partkey < 20")
+@query("c5_perimeter", "select p_partkey as image_id, 20 as x1, 20 as y1, 100 as x2, 100 as y2 from part where p_partkey < 20", FEW)
 def _(t):
     return v.perimeter(v.line_runs(_pixels(t)))
 

@@ -8,7 +8,8 @@ from tests.test_oracles import DIR, duck, rows  # noqa: F401
 
 from quoin.functions import text
 from quoin.operators import spatial
-from quoin.plans import catalog
+from quoin.plans import catalog, ordered
+from quoin.plans.fixtures import Tables
 
 LONG = "the cat sat on the mat, " * 30 + "the end "
 TEXTS = [(1, LONG, "en"), (2, "Gr\u00fc\u00dfe: the \U0001f600 tee bathe", "de"), (3, "th" * 150, "fr"), (4, "", "en"), (5, LONG[:-4] + "end. ", "es"), (6, "  ", "en"), (8, "le th\u00e9 e t", "fr"), (41, "e th e th", "en")]
@@ -106,3 +107,30 @@ def test_fuzzy_matches_of_all_pairs(spark, folder):
         have = sorted(map(tuple, spatial.fuzzy_nearest(left, own, "i", "j", 0.65).collect()))
         assert have == sorted(want)
     assert [r[0] for r in got(spark, folder, "j14_fuzzy_match")] == [1, 2, 5, 6, 8]
+
+
+@pytest.mark.parametrize("name", ["c2_line_runs", "c5_perimeter"])
+def test_rasters_of_all_parts(spark, duck, name):  # noqa: F811
+    want = []
+    for i, size in duck.execute("select p_partkey, p_size from part").fetchall():
+        m = 65 + size % 5
+        if name == "c2_line_runs":
+            want += [(i, k, at, 10, 110, 101) for k, at in [("horizontal", 10), ("horizontal", 110), ("vertical", 10), ("vertical", 110)] + [("vertical", m)] * (m % 2 == 0)]
+        else:
+            want.append((i, 20, 20, 100, 100))
+    assert got(spark, DIR, name) == sorted(want)
+
+
+def test_rooms_are_sought_on_all_parts(spark, duck):  # noqa: F811
+    pixels = ordered._pixels(Tables(spark, DIR))
+    want = [(i, 120 * 120) for (i,) in duck.execute("select p_partkey from part").fetchall()]
+    assert sorted(map(tuple, pixels.groupBy("image_id").count().collect())) == sorted(want)
+    assert got(spark, DIR, "c6_rooms") == []  # 99 of 120 pixels high: over the 0.8 above which a region is no room
+
+
+def test_walls_of_all_results(spark, duck):  # noqa: F811
+    want = {}
+    for r, s in duck.execute("select l_orderkey, case when p_size % 7 = 0 then 'unknown' else coalesce(p_brand, 'unknown') end from lineitem join part on l_partkey = p_partkey where p_size % 4 = 0").fetchall():
+        want.setdefault(s, []).append(r)
+    assert max(map(max, want.values())) >= 400
+    assert got(spark, DIR, "a7_grouped_walls") == sorted((s, len(v), ",".join(map(str, sorted(v)))) for s, v in want.items())
