@@ -64,9 +64,18 @@ def accuracy_class(value) -> Column:
     return _bands(_c(value), ((95, "excellent"), (85, "good"), (75, "medium")), "poor")
 
 
+def _hundredths(x: Column) -> Column:
+    """The nearest whole number of hundredths of the double itself, as toFixed has it: not of its shortest
+    decimal form, and up at a tie. In two parts of few bits all products and the last sign are exact."""
+    k = F.floor(x * 100)
+    high = F.floor(x * 1048576.0) / 1048576.0
+    return k + F.when((high * 100 - (k + F.lit(0.5))) + (x - high) * 100 >= 0, 1).otherwise(0)
+
+
 def duration(ms) -> Column:
     c = _c(ms).cast("double")
-    seconds = F.format_string("%.2fs", c / 1000)
+    n = _hundredths(c / 1000)
+    seconds = F.concat(F.floor(n / 100).cast("string"), F.lit("."), F.lpad((n % 100).cast("string"), 2, "0"), F.lit("s"))
     minutes = F.concat(F.floor(c / 60000).cast("string"), F.lit("m "), F.floor((c % 60000) / 1000 + 0.5).cast("string"), F.lit("s"))
     return F.when(c < 1000, F.concat(F.floor(c + 0.5).cast("string"), F.lit("ms"))).when(c < 60000, seconds).otherwise(minutes)
 

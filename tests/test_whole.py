@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from tests.test_oracles import DIR, duck, rows  # noqa: F401
 
-from quoin.functions import text
+from quoin.functions import labels, text
 from quoin.operators import spatial
 from quoin.plans import catalog, ordered
 from quoin.plans.fixtures import Tables
@@ -134,3 +134,42 @@ def test_walls_of_all_results(spark, duck):  # noqa: F811
         want.setdefault(s, []).append(r)
     assert max(map(max, want.values())) >= 400
     assert got(spark, DIR, "a7_grouped_walls") == sorted((s, len(v), ",".join(map(str, sorted(v)))) for s, v in want.items())
+
+
+def test_durations_with_ties(spark, duck):  # noqa: F811
+    from decimal import ROUND_HALF_UP, Decimal
+
+    def shown(ms):
+        if ms < 1000:
+            return f"{ms}ms"
+        if ms < 60000:
+            return f"{Decimal(ms / 1000).quantize(Decimal('0.01'), ROUND_HALF_UP)}s"
+        return f"{ms // 60000}m {(ms % 60000 + 500) // 1000}s"
+
+    have = spark.range(0, 70_000).select("id", labels.duration("id")).collect()
+    assert [tuple(r) for r in have] == [(i, shown(i)) for i in range(70_000)]
+    times = duck.execute("select o_orderkey, cast(floor(o_totalprice) as bigint) % 70000 from orders").fetchall()
+    assert any(ms % 10 == 5 for _, ms in times)
+    assert got(spark, DIR, "f38_durations") == sorted((i, shown(ms)) for i, ms in times)
+
+
+def test_boxes_with_an_edge_on_the_point(spark, monkeypatch):
+    boxes = [(1, i, x, y, w, h) for i, (x, y, w, h) in enumerate((x, y, w, h) for x in (100, 400, 500, 501) for y in (100, 380, 400, 401) for w in (5, 20, 21) for h in (1, 15, 16))]
+    boxes += [(2, 0, 500, 400, 1, 1), (3, 4, 400, 300, 5, 5), (4, 9, 100, 100, 90, 90)]
+
+    def inside(x, y, w, h):
+        points, hit = [(x, y), (x + w, y), (x + w, y + h), (x, y + h)], False
+        for i, (ax, ay) in enumerate(points):
+            bx, by = points[i - 1]
+            if (ay > 400) != (by > 400) and 500 < (bx - ax) * (400 - ay) / (by - ay) + ax:
+                hit = not hit
+        return hit
+
+    held = spark.createDataFrame(boxes, "result_id long, bbox_index long, x long, y long, w long, h long")
+    monkeypatch.setattr(Tables, "fx_boxes", held, raising=False)
+    want = [(r, i, inside(x, y, w * 20, h * 20)) for r, i, x, y, w, h in boxes]
+    assert got(spark, DIR, "g11_inside") == want
+    top = {}
+    for r, i, hit in want:
+        top |= {r: max(i, top.get(r, i))} if hit else {}
+    assert got(spark, DIR, "g12_topmost") == sorted(top.items())
