@@ -2,7 +2,7 @@
 
 Texts are lower-cased (A-Z) and reduced to words joined by single spaces, so a signature is a regex over
 words. One regex of keywords lets through the texts that can match at all; in these, each keyword found
-opens its rules. A detection is an interval of words. One that another of higher priority contains, or a
+opens its rules; it is in every string that a rule's regex matches. A detection is an interval of words. One that another of higher priority contains, or a
 longer one of equal priority, is suppressed; of equal intervals and priorities the first rule stays.
 """
 
@@ -81,7 +81,7 @@ SINGLE = [
     ("bsd-2-clause", FULL, "license", r"(?:bsd 2 clause|2 clause bsd|two clause bsd|simplified bsd|freebsd) license"),
     ("bsd-3-clause", FULL, "license", r"(?:bsd 3 clause|3 clause bsd|three clause bsd|new bsd|modified bsd|revised bsd) license"),
     ("bsd-4-clause", FULL, "license", r"(?:bsd 4 clause|4 clause bsd|four clause bsd|original bsd) license"),
-    ("bsd", NAME, "license", r"(?:0bsd|bsd|bsd style) licen[cs]es?"),
+    ("bsd", NAME, "licen", r"(?:0bsd|bsd|bsd style) licen[cs]es?"),
     ("bsd", FULL, "redistribution", r"redistribution and use in source and binary forms with or without modification are permitted"),
     ("unlicense", NAME, "unlicense", r"unlicense"),
     ("wtfpl", NAME, "wtfpl", r"wtfpl"),
@@ -120,23 +120,23 @@ def signatures() -> list[tuple[str, int, str, str]]:
     out = []
     for label, name, versions in FAMILIES:
         for v in versions:
-            out.append((f"{label}-{v}", FULL, "license", name + _V.format(v=_words(v)).replace("(?: licen[cs]es?)?", _L, 1)))
+            out.append((f"{label}-{v}", FULL, "licen", name + _V.format(v=_words(v)).replace("(?: licen[cs]es?)?", _L, 1)))
             out.append((f"{label}-{v}", TAG, "spdx", rf"spdx license identifier {label.replace('-', ' ')} {_words(v)}"))
-        out.append((label, NAME, "license", name + _L))
+        out.append((label, NAME, "licen", name + _L))
         out.append((label, NAME, "licence", name + r" licence"))
     gnu = {"gpl": r"(?:gnu )?general public", "lgpl": r"(?:gnu )?(?:lesser|library) general public", "agpl": r"(?:gnu )?affero general public", "gfdl": r"(?:gnu )?free documentation"}
     editions = {"gpl": ("1.0", "2.0", "3.0"), "lgpl": ("2.0", "2.1", "3.0"), "agpl": ("1.0", "3.0"), "gfdl": ("1.1", "1.2", "1.3")}
     by = r"(?: as published by the free software foundation)?(?: either)?"
     for label, name in gnu.items():
-        out.append((label, NAME, "license", name + _L))
+        out.append((label, NAME, "licen", name + _L))
         for v in editions[label]:
             short = rf"(?:{_words(v)}|{v[0]})" if v.endswith(".0") else _words(v)
-            out.append((f"{label}-{v}", FULL, "license", rf"{name}{_L}{by}(?: version)?(?: v ?| ){short}"))
-            out.append((f"{label}-{v}-or-later", FULL, "license", rf"{name}{_L}{by}(?: version)?(?: v ?| ){short} or(?: at your option)? any later version"))
+            out.append((f"{label}-{v}", FULL, "licen", rf"{name}{_L}{by}(?: version)?(?: v ?| ){short}"))
+            out.append((f"{label}-{v}-or-later", FULL, "licen", rf"{name}{_L}{by}(?: version)?(?: v ?| ){short} or(?: at your option)? any later version"))
             for suffix, ending in (("only", " only"), ("or-later", " or later")):
                 out.append((f"{label}-{v}-{suffix}", TAG, "spdx", rf"spdx license identifier {label} {_words(v)}{ending}"))
             if label != "gfdl":
-                out.append((f"{label}-{v}", NAME, f"{label}v{v[0]}" if f"{label}v{v[0]}" in KEYWORDS else label, rf"{label} ?v? ?{short}"))
+                out.append((f"{label}-{v}", NAME, label, rf"{label} ?v? ?{short}"))
         if label != "gfdl":
             out.append((label, NOTE, label, label))
     for mix, v in product(("by", "by sa", "by nc", "by nd", "by nc sa", "by nc nd"), ("1.0", "2.0", "2.5", "3.0", "4.0")):

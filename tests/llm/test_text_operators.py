@@ -227,6 +227,44 @@ def test_license_scan(docs, rows):
     assert not licenses.scan(docs.limit(0)).count()
 
 
+def variants(tree):
+    """Strings that a parsed regex matches: each branch, option and letter of a class, ranges by one."""
+    out = [""]
+    for op, arg in tree:
+        name = str(op)
+        if name == "LITERAL":
+            ways = [chr(arg)]
+        elif name == "NOT_LITERAL":
+            ways = ["q"]
+        elif name == "IN":
+            ways = ["q"] if str(arg[0][0]) == "NEGATE" else [chr(v if str(k) == "LITERAL" else v[0]) for k, v in arg]
+        elif name == "BRANCH":
+            ways = [w for b in arg[1] for w in variants(b)]
+        elif name == "SUBPATTERN":
+            ways = variants(arg[3])
+        elif name == "MAX_REPEAT":
+            ways = [""] * (arg[0] == 0) + variants(arg[2])
+        else:
+            raise ValueError(name)
+        out = [a + b for a in out for b in ways]
+    return out
+
+
+def test_license_keywords_are_in_all_their_rules_match():
+    gate = re.compile(licenses._gate())
+    for label, _, keyword, regex in licenses.signatures():
+        for v in variants(re._parser.parse(regex)):
+            assert re.fullmatch(regex, v) and keyword in v and gate.search(v), (label, keyword, v)
+
+
+def test_license_versions_in_all_spellings(spark):
+    texts = {"GPL-2.0": "gpl-2.0", "GPL v3": "gpl-3.0", "LGPL-2.1": "lgpl-2.1", "AGPL-3.0": "agpl-3.0", "GPLv2": "gpl-2.0", "Apache Licence, Version 2.0": "apache-2.0", "GNU General Public Licence version 2": "gpl,gpl-2.0"}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    have = {r["doc_id"]: set(r["labels"].split(",")) for r in licenses.scan(docs).collect()}
+    for i, want in enumerate(texts.values()):
+        assert set(want.split(",")) - {"gpl"} <= have[i], (i, have[i])
+
+
 def test_license_suppression(spark):
     texts = {
         1: ("Licensed under the Apache License, Version 2.0", "apache-2.0,licensed"),
