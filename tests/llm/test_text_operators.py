@@ -180,6 +180,21 @@ def test_byte_bpe_equals_the_library():
         assert enc.encode(t).tolist() == enc.tokenizer.encode(t, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("run", [" " * 2_000_000, "\n" * 2_000_000, "\t" * 2_000_000, "a b" + " \n\t" * 700_000 + "c", "word " * 9 + " " * 2_000_000 + "end"])
+def test_byte_bpe_of_long_white_space_equals_the_library(run):
+    enc = bpe.encoder()
+    assert enc.encode(run).tolist() == enc.tokenizer.encode(run, add_special_tokens=False).ids
+
+
+def test_shards_and_packing_of_long_white_space(spark):
+    docs = spark.createDataFrame([(1, " " * 2_000_000), (2, "\n" * 1_500_000 + "x")], "doc_id long, text string")
+    enc = bpe.encoder()
+    want = {r.doc_id: len(enc.encode(r.text)) + 1 for r in docs.collect()}
+    shards = wavelet.read_shards(wavelet.write_shards(docs, f"{shared_dir(spark)}/white"))
+    assert {r.doc_id: r.n_tokens for r in shards.collect()} == want
+    assert {r.doc_id: r.n for r in packing.pack(docs).groupBy("doc_id").agg({"length": "sum"}).withColumnRenamed("sum(length)", "n").collect()} == want
+
+
 def test_token_shards(spark, docs, rows):
     enc = bpe.encoder()
     manifest = wavelet.write_shards(docs, f"{shared_dir(spark)}/test-shards", shard_tokens=500, shards=2)
