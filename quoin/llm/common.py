@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import gc
+import re
+import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,15 +26,16 @@ _LOWER[0x41:0x5B] += 0x20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors and the driver see: ``spark.checkpoint.dir``, else our own."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "/tmp/checkpoints"
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(base)
-    if "://" not in base and not base.startswith("file:"):
-        base = "file://" + base
-    return f"{base.rstrip('/')}/quoin-{spark.sparkContext.applicationId}"
+    """The folder all executors and the driver see, as a full URI: the one that ``spark.checkpoint.dir``
+    names, on the cluster's default file system if it has no scheme. Where none is set, a local session
+    gets a temporary folder of its own, and any other an error."""
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="quoin-"))
+    return re.sub("^file:/+", "file:///", f"{context.getCheckpointDir()}/quoin")
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
@@ -39,13 +44,22 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    frame = spark.read.schema(df.schema).parquet(path)
+    frame.table_path = path
+    return frame
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop shuffle files of frames that are no longer referenced."""
-    import gc
+def discard(*frames: DataFrame) -> None:
+    """Delete materialized tables once all that reads them has been written itself."""
+    for frame in frames:
+        system, path = fs.FileSystem.from_uri(frame.table_path)
+        system.delete_dir(path)
+
 
+def release(spark: SparkSession) -> None:
+    """Have Spark's cleaner drop the shuffle files of frames that are no longer referenced. It learns of
+    them only when the driver's JVM collects garbage, which a driver at rest does not do by itself, and
+    until then the executors' disks hold them."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
