@@ -29,9 +29,9 @@ def _keep(docs: DataFrame, keys: DataFrame) -> DataFrame:
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the classifier scores below its cutoff. It learns from the labelled among
-    ``docs``; null and empty texts are scored by the bias."""
-    scored = score(docs, table(spark, sf_dir, "labels"))
-    return _keep(docs, materialize(scored.where("predicted = 1").select("row_key"), "scored"))
+    ``docs``; null and empty texts are scored by the bias. Without any label there is nothing to reject
+    by, and all documents stay."""
+    return score(docs, table(spark, sf_dir, "labels"), keep=COLUMNS).where("predicted = 1 or not learned").select(*COLUMNS)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
