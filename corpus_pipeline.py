@@ -50,10 +50,8 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts passages of 50 bytes or more that a document with a smaller id has, and updates n_chars; a
     document of which nothing is left goes."""
-    cut = remove_repeats(docs, with_text=True).groupBy("row_key").agg(F.first("kept_text").alias("kept_text"))
-    keyed = docs.select(*COLUMNS).withColumn("row_key", row_key()).drop("text")
-    rows = keyed.join(cut, "row_key").where("kept_text <> ''")
-    return rows.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars"))
+    cut = remove_repeats(docs, keep=COLUMNS).where("kept_text <> ''")
+    return cut.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

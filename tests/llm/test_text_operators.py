@@ -361,21 +361,54 @@ def brute_repeats(rows, length):
     return want
 
 
-@pytest.mark.parametrize("length,k", [(50, 20), (12, 7)])
-def test_suffix_dedup(docs, rows, length, k):
-    got = suffixes.remove_repeats(docs, length, k, group_bytes=2000, with_text=True)
+@pytest.mark.parametrize("length,k,hot", [(50, 20, 1 << 16), (12, 7, 1 << 16), (50, 20, 3), (12, 7, 2)])
+def test_suffix_dedup(docs, rows, length, k, hot):
+    got = suffixes.remove_repeats(docs, length, k, group_bytes=2000, hot_from=hot, keep=("key", "row_key"))
     assert tuples(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute_repeats(rows, length)
+    assert got.columns[-3:] == ["key", "row_key", "kept_text"] and not got.where("key <> 2 or row_key <> 'r'").count()
     assert not suffixes.remove_repeats(docs.limit(0)).count()
 
 
+def test_suffix_dedup_of_long_texts_and_nulls(spark):
+    rng = random.Random(8)
+    letters = "".join(rng.choice("abcdé ") for _ in range(600_000))
+    rows = [(5, letters), (9, letters[:200_000] + "#" + letters[300_000:]), (2, "z" * 900_000), (3, "z" * 60), (None, letters), (None, None), (9, letters[:70])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = suffixes.remove_repeats(docs, group_bytes=1 << 20, hot_from=2)
+    assert tuples(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute_repeats(rows, 50)
+
+
+def test_suffix_arrays_are_in_the_order_of_the_bytes():
+    rng = np.random.default_rng(2)
+    for length in (2, 5, 12, 50):
+        text = rng.integers(0, 3, (60, 80)).astype(np.uint8)
+        counts, docs = rng.integers(1, 80 - length + 2, 60), np.sort(rng.integers(0, 30, 60))
+        got = suffixes.SuffixArray(text, counts, docs, length)
+        least = {}
+        for r in range(60):
+            for c in range(counts[r]):
+                least.setdefault(text[r, c : c + length].tobytes(), docs[r])
+        assert [bytes(x) for x in got.keys.view(np.uint8).reshape(-1, length)] == sorted(least)
+        assert got.docs.tolist() == [least[x] for x in sorted(least)]
+        assert all(text[r, c : c + length].tobytes() == bytes(got.keys[g : g + 1].view(np.uint8)) for r, c, g in zip(*got.places, got.group))
+
+
 def test_index_family_levels():
+    """Batches against a dictionary; levels stay sorted, share no string and grow geometrically."""
     rng, family, seen = np.random.default_rng(2), suffixes.IndexFamily(), {}
     for doc in range(200):
-        prints = rng.integers(0, 3000, 40).astype(np.uint64)
-        got = family.add(prints, np.full(40, doc))
-        assert got.tolist() == [int(p) in seen for p in prints]
-        seen |= {int(p): doc for p in prints if int(p) not in seen}
-    assert len(family.levels) <= 12 and sum(len(k) for k, _ in family.levels) == len(seen)
+        text = rng.integers(0, 4, (10, 8)).astype(np.uint8)
+        batch = suffixes.SuffixArray(text, np.full(10, 4), np.full(10, doc), 5)
+        strings = [bytes(x) for x in batch.keys.view(np.uint8).reshape(-1, 5)]
+        got = family.add(batch)
+        for x in strings:
+            seen.setdefault(x, doc)
+        assert got.tolist() == [seen[x] for x in strings]
+    sizes = [len(k) for k, _ in family.levels]
+    assert sum(sizes) == len(seen) and all(a > 2 * b for a, b in zip(sizes, sizes[1:]))
+    for keys, docs in family.levels:
+        strings = [bytes(x) for x in keys.view(np.uint8).reshape(-1, 5)]
+        assert strings == sorted(strings) and docs.tolist() == [seen[x] for x in strings]
 
 
 def test_components(spark):
