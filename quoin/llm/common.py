@@ -78,6 +78,16 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def spread_join(rows: DataFrame, keyed: DataFrame, key: str, counts: DataFrame, share: int = 1000) -> DataFrame:
+    """``rows`` joined with ``keyed``, which has one row for each of their keys, so that no key fills a task.
+    Keys with more than one in ``share`` of all rows (counts: ``key``, ``n``), fewer than ``share`` of them
+    then, are broadcast with their rows; the others are joined by a shuffle."""
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(counts.where(F.col("n") * share > total).select(key))
+    frequent = F.broadcast(keyed.join(hot, key, "left_semi"))
+    return rows.join(frequent, key).unionByName(rows.join(hot, key, "left_anti").join(keyed, key))
+
+
 # ---------------------------------------------------------------- arrow and hashing
 
 
@@ -209,11 +219,11 @@ def components(edges: DataFrame) -> DataFrame:
             return cur.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
                 cur.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
             )
-        seen = tuple(sign)
+        seen, before = tuple(sign), cur
         both = cur.unionByName(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         cur = materialize(_contracted(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct()), "cc")
-        release(spark)
+        discard(before)

@@ -3,10 +3,11 @@
 A document is the set of its n-word shingles. All sets are ordered by one global order: shingles that
 many documents of a batch share come last, by how often they were seen, all others first, by their hash.
 Two sets that link share m shingles among the first n - ceil(t n) + m of each (their prefixes, m = 4 or
-what a small set needs at least). Prefix entries meet by shingle; pairs that meet m times and whose sizes allow a link go on; these are verified in prefix trees: the sets a query is held against are
-sorted by the global order, so that neighbours share their beginnings; the overlap with the query is
-carried along a shared beginning and computed once, and a subtree is pruned as soon as the overlap so
-far and the remaining lengths cannot reach what its smallest set needs.
+what a small set needs at least). Prefix entries meet by shingle; pairs that meet m times and whose sizes
+allow a link go on to prefix trees. A tree holds its sets sorted by the global order, so that neighbours
+share their beginnings, and knows how long these are; it is built once and searched for any number of
+queries. The overlap with a query is carried along a shared beginning and computed once, and a subtree is
+pruned as soon as the overlap so far and the remaining lengths cannot reach what its smallest set needs.
 
 Copies are one class. Classes that share a prefix shingle are first held against the least class of
 that shingle; what this links are components, and only pairs of different components meet afterwards, so
@@ -24,11 +25,13 @@ from pyspark.sql import functions as F
 from .common import (
     byte_runs,
     components,
+    discard,
     materialize,
     mix,
     partitions,
     release,
     row_key,
+    spread_join,
     table,
     text_buffers,
     word_hashes,
@@ -89,45 +92,52 @@ def meetings(size: int, percent: int) -> int:
     return min(MEET, need(size, percent))
 
 
-def trie_overlaps(query: np.ndarray, sets: list[np.ndarray], percent: int, step: int = 64) -> list[int]:
-    """Indices of the sets that link with ``query``; all ascending in the global order."""
-    order = sorted(range(len(sets)), key=lambda i: sets[i].astype(">u8").tobytes())
-    linked: list[int] = []
-    prev = np.zeros(0, np.uint64)
-    gain = np.zeros(1, np.int64)  # overlap of the first d keys of prev with the query, as far as it was walked
-    dead, dead_gain, dead_left = -1, 0, 0  # where the last walk ended without hope, with what overlap and rest
-    nq = len(query)
-    for i in order:
-        s = sets[i]
-        n = len(s)
-        m = min(len(prev), n)
-        differ = np.flatnonzero(prev[:m] != s[:m])
-        shared = int(differ[0]) if len(differ) else m
-        want = -(-percent * (nq + n) // (100 + percent))  # smallest integer o with 100 o >= percent (nq + n - o)
-        if want > min(nq, n):
-            continue
-        depth = min(shared, len(gain) - 1)
-        gain = gain[: depth + 1]
-        prev = s
-        if 0 <= dead <= shared and dead_gain + min(n - dead, dead_left) < want:
-            continue  # it lies in a subtree without hope for it either
-        dead = -1
-        while depth < n:
-            part = s[depth : depth + step]
-            k = np.searchsorted(query, part)
-            k[k == nq] = nq - 1
-            got = gain[-1] + np.cumsum(query[k] == part)
-            gain = np.concatenate([gain, got])
-            depth += len(part)
-            # what is left of the query lies above the last key walked
-            left = nq - int(np.searchsorted(query, s[depth - 1], "right"))
-            if gain[-1] + min(n - depth, left) < want:
-                dead, dead_gain, dead_left = depth, int(gain[-1]), left
-                break
-        else:
-            if gain[n] >= want:
-                linked.append(i)
-    return linked
+class PrefixTree:
+    """Sets, each ascending in the global order, as a tree of their beginnings: sorted, with the number of
+    keys that each shares with the one before it."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.order = sorted(range(len(sets)), key=lambda i: sets[i].astype(">u8").tobytes())
+        self.sets = [sets[i] for i in self.order]
+        self.shared = [0] * len(sets)
+        for k, (a, b) in enumerate(zip(self.sets, self.sets[1:]), 1):
+            m = min(len(a), len(b))
+            differ = np.flatnonzero(a[:m] != b[:m])
+            self.shared[k] = int(differ[0]) if len(differ) else m
+
+    def links(self, query: np.ndarray, percent: int, among: list[bool] | None = None, step: int = 64) -> list[int]:
+        """Indices of the sets (of those that ``among`` marks) that link with ``query``."""
+        linked: list[int] = []
+        gain = np.zeros(1, np.int64)  # overlap of the first d keys of the walked path with the query
+        path = 0  # keys that the set at hand shares with the set walked last
+        dead, dead_gain, dead_left = -1, 0, 0  # where the last walk ended without hope, with what overlap and rest
+        nq = len(query)
+        for i, s, shared in zip(self.order, self.sets, self.shared):
+            path, n = min(path, shared), len(s)
+            want = -(-percent * (nq + n) // (100 + percent))  # smallest integer o with 100 o >= percent (nq + n - o)
+            if among is not None and not among[i] or want > min(nq, n):
+                continue
+            depth = min(path, len(gain) - 1)
+            gain = gain[: depth + 1]
+            on, path = path, n
+            if 0 <= dead <= on and dead_gain + min(n - dead, dead_left) < want:
+                continue  # it lies in a subtree without hope for it either
+            dead = -1
+            while depth < n:
+                part = s[depth : depth + step]
+                k = np.searchsorted(query, part)
+                k[k == nq] = nq - 1
+                gain = np.concatenate([gain, gain[-1] + np.cumsum(query[k] == part)])
+                depth += len(part)
+                # what is left of the query lies above the last key walked
+                left = nq - int(np.searchsorted(query, s[depth - 1], "right"))
+                if gain[-1] + min(n - depth, left) < want:
+                    dead, dead_gain, dead_left = depth, int(gain[-1]), left
+                    break
+            else:
+                if gain[n] >= want:
+                    linked.append(i)
+        return linked
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, frequent_from: int = 2, frequent_max: int = 500_000, hot_from: int = 64) -> DataFrame:
@@ -218,29 +228,30 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, frequent_
 
     met = materialize(packed.groupBy("bucket").applyInArrow(meet, "key long, cls long, size long, least long, least_size long"), "met")
     release(spark)
-
-    reps = materialize(sigs.where("n > 0").groupBy("cls").agg(F.min("row_key").alias("row_key")), "reps")
+    classes = sigs.where("n > 0").groupBy("cls").agg(F.min("row_key").alias("row_key"), F.min("doc_id").alias("least_id"), F.count("*").alias("copies"))
+    classes = materialize(classes, "classes")
 
     def sets_of(batches):
+        seen = set()  # of copies in a partition one is enough
         for batch in batches:
-            found = [(int(_class(s).view(np.int64)), ordered(s, frequent.value).tobytes()) for _, s in shingle_sets(batch.column("text"), n)]
-            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in found], pa.int64()), pa.array([k for _, k in found], pa.binary())], ["cls", "keys"])
-
-    def sets_for(classes: DataFrame) -> DataFrame:
-        """The sets of classes, from one document each."""
-        wanted = reps.join(classes.distinct(), "cls", "left_semi").select("row_key")
-        made = rows.join(wanted, "row_key", "left_semi").select("text").mapInArrow(sets_of, "cls long, keys binary")
-        made = materialize(made, "sets")
-        release(spark)
+            found = {int(_class(s).view(np.int64)): s for _, s in shingle_sets(batch.column("text"), n)}
+            found = {c: ordered(s, frequent.value).tobytes() for c, s in found.items() if c not in seen}
+            seen |= found.keys()
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())], ["cls", "keys"])
+
+    def sets_for(wanted: DataFrame) -> DataFrame:
+        """The sets of classes, one for each, made from one document of each."""
+        keys = materialize(classes.join(wanted.distinct(), "cls", "left_semi").select("row_key"), "wanted")
+        # up to 8 MB of keys go to the texts, more meet them in a shuffle
+        few = F.broadcast(keys) if keys.count() <= 1_000_000 else keys
+        made = rows.join(few, "row_key", "left_semi").select("text").mapInArrow(sets_of, "cls long, keys binary")
+        made = materialize(made.dropDuplicates(["cls"]), "sets")
+        discard(keys)
         return made
 
-    def linking(pairs: DataFrame) -> DataFrame:
+    def linking(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """The pairs (q, m) that link: the sets of their classes go into trees."""
-        classes = pairs.select(F.col("q").alias("cls")).unionByName(pairs.select(F.col("m").alias("cls")))
-        return materialize(verify(pairs, sets_for(classes), percent), "linked")
-
-    def linking_clusters(members: DataFrame) -> DataFrame:
-        return materialize(verify_clusters(members, sets_for(members.select("cls")), percent), "linked")
+        return materialize(verify(pairs, sets, percent), "linked")
 
     def near(a: str, b: str):
         return (F.col(a) * 100 >= F.col(b) * percent) & (F.col(b) * 100 >= F.col(a) * percent)
@@ -251,9 +262,12 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, frequent_
         least = F.least(F.lit(MEET), F.ceil(F.col("size") * percent / 100))
         return count.where(F.col("met") >= least).select("q", "m")
 
+    in_pairs = lambda p: p.select(F.col("q").alias("cls")).unionByName(p.select(F.col("m").alias("cls")))
     first = met.where("cls <> least").where(near("size", "least_size"))
     first = first.select(F.col("least").alias("q"), F.col("cls").alias("m"), F.least("size", "least_size").alias("size"))
-    linked = linking(materialize(often_enough(first), "stars"))
+    first = materialize(often_enough(first), "stars")
+    sets = sets_for(in_pairs(first))
+    linked = linking(first, sets)
     comps = components(linked.select(F.col("q").alias("a"), F.col("m").alias("b")))
 
     # Pairs of different components that meet. Shingles with many classes make no pairs: their classes are
@@ -262,21 +276,33 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, frequent_
     own = own.withColumn("comp", F.coalesce("comp", "cls"))
     per_key = own.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n")).where("low <> high")
     own = materialize(own.join(per_key.select("key", "n"), "key"), "mixed")
+    discard(met, first)
     hot = own.where(F.col("n") > hot_from)
-    cluster = materialize(components(hot.select(F.col("cls").alias("a"), F.col("least").alias("b"))), "clusters")
+    cluster = components(hot.select(F.col("cls").alias("a"), F.col("least").alias("b")))
     members = hot.select("cls", "comp").distinct().join(cluster.select(F.col("node").alias("cls"), F.col("root").alias("cluster")), "cls")
-    own = own.where(F.col("n") <= hot_from).drop("least", "n")
-    other = own.select("key", *[F.col(c).alias(f"{c}_b") for c in ("cls", "size", "comp")])
-    pairs = own.join(other, "key").where("cls < cls_b and comp <> comp_b").where(near("size", "size_b"))
+    members = materialize(members, "members")
+    cold = own.where(F.col("n") <= hot_from).drop("least", "n")
+    other = cold.select("key", *[F.col(c).alias(f"{c}_b") for c in ("cls", "size", "comp")])
+    pairs = cold.join(other, "key").where("cls < cls_b and comp <> comp_b").where(near("size", "size_b"))
     pairs = pairs.select(F.col("cls").alias("q"), F.col("cls_b").alias("m"), F.least("size", "size_b").alias("size"))
-    more = linking(materialize(often_enough(pairs), "pairs"))
-    within = linking_clusters(materialize(members, "members"))
+    pairs = materialize(often_enough(pairs), "pairs")
+    discard(own)
+    missing = in_pairs(pairs).unionByName(members.select("cls")).distinct().join(sets.select("cls"), "cls", "left_anti")
+    sets = sets.unionByName(sets_for(missing))
+    more = linking(pairs, sets)
+    within = materialize(verify_clusters(members, sets, percent), "linked")
+    discard(pairs, members)
     comps = components(linked.unionByName(more).unionByName(within).select(F.col("q").alias("a"), F.col("m").alias("b")))
 
-    named = sigs.join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.when(F.col("n") > 0, F.coalesce("root", "cls")))
-    least_id = named.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("component"))
-    out = named.join(least_id, "root", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"), "row_key")
+    # components are named on classes; a component of many classes and a class of many copies fill no task
+    rooted = classes.join(comps.withColumnRenamed("node", "cls"), "cls", "left").select("cls", F.coalesce("root", "cls").alias("root"), "least_id")
+    roots = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"), F.count("*").alias("n"))
+    rooted, roots = materialize(rooted, "rooted"), materialize(roots, "roots")
+    named = spread_join(rooted.select("cls", "root"), roots.drop("n"), "root", roots.select("root", "n"))
+    named = materialize(named.select("cls", "component_id"), "named")
+    out = spread_join(sigs.where("n > 0"), named, "cls", classes.select("cls", F.col("copies").alias("n")))
+    out = out.unionByName(sigs.where("n = 0").withColumn("component_id", F.col("doc_id")))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", "row_key")
 
 
 def _class(s: np.ndarray) -> np.uint64:
@@ -302,7 +328,7 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int, chunk: int = 128) ->
 
         def close():
             if names:
-                on = trie_overlaps(query, held, percent)
+                on = PrefixTree(held).links(query, percent)
                 return pa.RecordBatch.from_pydict({"q": pa.array([group[0]] * len(on), pa.int64()), "m": pa.array([names[i] for i in on], pa.int64())})
             return None
 
@@ -376,14 +402,17 @@ def _tile(a, b, same: bool, percent: int) -> list[tuple[int, int]]:
 
     out = []
     (cls_a, comp_a, sets_a), (cls_b, comp_b, sets_b) = a, b
+    tree = PrefixTree(sets_b)
     for i, query in enumerate(sets_a):
         own = root(int(comp_a[i]))
-        pick = [j for j in range(i + 1 if same else 0, len(sets_b)) if root(int(comp_b[j])) != own]
-        for k in trie_overlaps(query, [sets_b[j] for j in pick], percent):
-            x, y = root(int(comp_a[i])), root(int(comp_b[pick[k]]))
+        among = [(j > i or not same) and root(int(comp_b[j])) != own for j in range(len(sets_b))]
+        if not any(among):
+            continue
+        for j in tree.links(query, percent, among):
+            x, y = root(int(comp_a[i])), root(int(comp_b[j]))
             if x != y:
                 up[max(x, y)] = min(x, y)
-                out.append((int(cls_a[i]), int(cls_b[pick[k]])))
+                out.append((int(cls_a[i]), int(cls_b[j])))
     return out
 
 

@@ -115,7 +115,7 @@ def test_ngram_join_empty(docs):
     assert not ngram_join.jaccard_components(docs.limit(0)).count()
 
 
-def test_trie_overlaps():
+def test_prefix_tree():
     rng = np.random.default_rng(0)
     for _ in range(60):
         base = np.unique(rng.integers(0, 300, rng.integers(1, 90)).astype(np.uint64))
@@ -126,9 +126,25 @@ def test_trie_overlaps():
                 s.symmetric_difference_update([int(rng.integers(0, 300))])
             return np.array(sorted(s or {1}), np.uint64)
 
-        sets, query, percent = [vary() for _ in range(20)], vary(), int(rng.choice([50, 80, 85, 100]))
-        want = [i for i, x in enumerate(sets) if 100 * len(np.intersect1d(x, query)) >= percent * len(np.union1d(x, query))]
-        assert sorted(ngram_join.trie_overlaps(query, sets, percent, step=int(rng.choice([1, 3, 64])))) == want
+        sets, percent = [vary() for _ in range(20)], int(rng.choice([50, 80, 85, 100]))
+        tree = ngram_join.PrefixTree(sets)
+        for query in (vary(), vary(), sets[3]):
+            among = (rng.random(20) < 0.7).tolist()
+            want = [i for i, x in enumerate(sets) if 100 * len(np.intersect1d(x, query)) >= percent * len(np.union1d(x, query))]
+            assert sorted(tree.links(query, percent, step=int(rng.choice([1, 3, 64])))) == want
+            assert sorted(tree.links(query, percent, among)) == [i for i in want if among[i]]
+
+
+def test_ngram_join_of_many_copies_makes_one_set_for_each_class(spark, monkeypatch):
+    made = []
+    materialize = ngram_join.materialize
+    monkeypatch.setattr(ngram_join, "materialize", lambda df, tag: made.append((tag, out := materialize(df, tag))) or out)
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(7, text)] * 10_000 + [(None, text)] * 50 + [(9, text + " more"), (3, "others have this text of their own"), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = ngram_join.jaccard_components(docs, 4, 85).groupBy("doc_id", "component_id", "n_shingles").count().collect()
+    assert {tuple(r) for r in got} == {(7, 7, 57, 10_000), (None, 7, 57, 50), (9, 7, 58, 1), (3, 3, 4, 1), (4, 4, 0, 1)}
+    assert [df.count() for tag, df in made if tag == "sets"] == [2, 0]
 
 
 def test_packing(docs, rows):
