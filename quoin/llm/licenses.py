@@ -1,13 +1,17 @@
 """License scans by ordered signature rules, in DataFrame functions only.
 
 Texts are lower-cased (A-Z) and reduced to words joined by single spaces, so a signature is a regex over
-words. One regex of keywords lets through the texts that can match at all; in these, each keyword found
-opens its rules; it is in every string that a rule's regex matches. A detection is an interval of words. One that another of higher priority contains, or a
-longer one of equal priority, is suppressed; of equal intervals and priorities the first rule stays.
+words. A text is cut into words only if it holds a stem that some signature needs. In such a text, each
+keyword found opens its rules: a keyword is a literal of its rule's own, which every string that the regex
+matches contains, so few regexes run on a text, however many there are. A detection is an interval of
+words. One that another of higher priority contains, or a longer one of equal priority, is suppressed; of
+equal intervals and priorities the first rule stays.
 """
 
 from __future__ import annotations
 
+import re
+from functools import reduce
 from itertools import product
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,12 +27,12 @@ BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved"
 #: Priorities: identifiers, full names with a version, names, short names and notices.
 TAG, FULL, NAME, NOTE = 4, 3, 2, 1
 WEIGHT = {TAG: 1.0, FULL: 0.9, NAME: 0.7, NOTE: 0.4}
-#: Words one of which every signature needs; a text without any has no detection.
-KEYWORDS = (
-    "license", "licence", "licensed", "copyright", "copyleft", "reserved", "creative commons", "creativecommons",
-    "cc by", "cc0", "spdx", "public domain", "proprietary", "confidential", "warranty", "gpl", "lgpl", "agpl",
-    "gplv2", "gplv3", "lgplv2", "lgplv3", "agplv3", "unlicense", "wtfpl", "redistribution", "permission is hereby",
+#: Stems one of which every signature needs, and a pair of words; a text without any has no detection.
+STEMS = (
+    "licen", "copyright", "copyleft", "reserved", "creative", "cc0", "spdx", "domain", "proprietary", "confidential",
+    "warrant", "gpl", "wtfpl", "redistribut", "hereby", "liable", "trademark", "attribution", "endorse", "advertis", "unauthori", "lizenz",
 )
+STEM_PAIR = rf"(?i)cc{SEPARATORS}by"
 
 _V = r"(?: software)?(?: licen[cs]es?)?(?: agreement)?(?: version)?(?: v ?| ){v}"
 _L = r" licen[cs]es?"
@@ -108,6 +112,66 @@ SINGLE = [
     ("licensed", NOTE, "licensed", r"licensed under(?: the)?(?: terms of)?"),
     ("licensed", NOTE, "license", r"(?:see|under|under the|terms of the) license"),
     ("all-rights", NOTE, "reserved", r"(?:some|no) rights reserved"),
+    ("mit-0", FULL, "mit no attribution", r"mit no attribution(?: license)?"),
+    ("mit", NOTE, "substantial portions", r"shall be included in all copies or substantial portions of the software and this copyright notice"),
+    ("mit", NOTE, "permission notice shall be included", r"copyright notice and this permission notice shall be included in all copies"),
+    ("isc", FULL, "permission to use copy modify", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    ("hpnd", FULL, "permission to use copy modify", r"permission to use copy modify and distribute this software and its documentation for any purpose(?: and)? without fee is hereby granted"),
+    ("apache-2.0", NOTE, "you may not use this file", r"you may not use this file except in compliance with the license"),
+    ("apache-2.0", NOTE, "distributed on an as is basis", r"distributed under the license is distributed on an as is basis"),
+    ("gpl", NOTE, "you can redistribute it", r"you can redistribute it and or modify it under the terms of the gnu general public license"),
+    ("lgpl", NOTE, "you can redistribute it", r"you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public license"),
+    ("agpl", NOTE, "you can redistribute it", r"you can redistribute it and or modify it under the terms of the gnu affero general public license"),
+    ("bsd", NOTE, "neither the name", r"neither the name of [^ ]+(?: [^ ]+)? nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("bsd-4-clause", NOTE, "all advertising materials", r"all advertising materials mentioning features or use of this software must display the following acknowledge?ment"),
+    ("zlib", FULL, "this software is provided as is without", r"this software is provided as is without any express or implied warranty"),
+    ("unlicense", FULL, "free and unencumbered", r"this is free and unencumbered software released into the public domain"),
+    ("cc0", FULL, "cc0", r"cc0 1 0 universal"),
+    ("cc0", NAME, "creative commons zero", r"creative commons zero(?: v?1 0)?"),
+    ("public-domain", NAME, "public domain mark", r"public domain mark(?: 1 0)?"),
+    ("public-domain", NAME, "no known copyright", r"no known copyright restrictions"),
+    ("bsl-1.0", FULL, "boost software", r"boost software license version 1 0"),
+    ("postgresql", NAME, "postgresql licen", r"postgresql licen[cs]e"),
+    ("curl", NAME, "curl licen", r"curl licen[cs]e"),
+    ("x11", NAME, "x consortium", r"x consortium licen[cs]e"),
+    ("libpng", FULL, "png reference library", r"png reference library licen[cs]e"),
+    ("ijg", NAME, "independent jpeg group", r"independent jpeg group licen[cs]e"),
+    ("ftl", NAME, "freetype", r"(?:the )?freetype (?:project )?licen[cs]e"),
+    ("vim", NAME, "vim licen", r"vim licen[cs]e"),
+    ("tcl", NAME, "tcl tk licen", r"tcl tk licen[cs]e"),
+    ("w3c", NAME, "w3c software", r"w3c software (?:notice and )?licen[cs]e"),
+    ("unicode", NAME, "unicode", r"unicode (?:terms of use )?licen[cs]e(?: agreement)?"),
+    ("icu", NAME, "icu licen", r"icu licen[cs]e"),
+    ("blueoak", FULL, "blue oak", r"blue oak model licen[cs]e(?: 1 0 0)?"),
+    ("artistic-perl", NAME, "same terms as perl", r"licensed under the same terms as perl(?: itself)?"),
+    ("watcom", NAME, "sybase open watcom", r"sybase open watcom public licen[cs]e"),
+    ("sleepycat", NAME, "sleepycat", r"sleepycat licen[cs]e"),
+    ("oracle", NAME, "oracle", r"oracle (?:free use terms and conditions|technology network) licen[cs]e(?: agreement)?"),
+    ("intel", NAME, "intel", r"intel (?:open source|simplified software) licen[cs]e"),
+    ("nvidia", NAME, "nvidia", r"nvidia (?:software|source code) licen[cs]e(?: agreement)?"),
+    ("commons-clause", NAME, "commons clause", r"commons clause licen[cs]e(?: condition)?"),
+    ("confluent", NAME, "confluent community", r"confluent community licen[cs]e(?: agreement)?"),
+    ("timescale", NAME, "timescale", r"timescale licen[cs]e"),
+    ("redis-sal", NAME, "redis source available", r"redis source available licen[cs]e"),
+    ("responsible-ai", NAME, "responsible ai", r"(?:open )?responsible ai licen[cs]es?"),
+    ("cdla-permissive", NAME, "community data license agreement permissive", r"community data license agreement permissive"),
+    ("cdla-sharing", NAME, "community data license agreement sharing", r"community data license agreement sharing"),
+    ("ogl-uk", NAME, "open government licen", r"open government licen[cs]e(?: v?[123] 0)?"),
+    ("ogl-canada", NAME, "open government licence canada", r"open government licence canada"),
+    ("dl-de", NAME, "datenlizenz", r"datenlizenz deutschland (?:namensnennung|zero) 2 0"),
+    ("etalab", NAME, "licence ouverte", r"licence ouverte(?: open licence)?"),
+    ("fdl-invariant", NOTE, "invariant sections", r"with no invariant sections no front cover texts and no back cover texts under the gnu free documentation license"),
+    ("patent-grant", NOTE, "patent licen", r"(?:perpetual |worldwide |royalty free |irrevocable )*patent licen[cs]e"),
+    ("no-liability", NOTE, "be liable", r"in no event shall (?:the )?(?:authors?|copyright holders?)(?: or copyright holders?)? be liable"),
+    ("no-liability", NOTE, "liable for any", r"liable for any (?:claim|direct|damages)"),
+    ("merchantability", NOTE, "merchantability", r"implied warrant(?:y|ies) of merchantability(?: and| or)?(?: fitness for a particular purpose)?"),
+    ("trademark", NOTE, "trademark", r"(?:registered )?trademarks? of (?:their|its) respective owners?"),
+    ("non-commercial", NOTE, "non commercial use only", r"licensed for non commercial use only"),
+    ("eula", NOTE, "end user licen", r"end user licen[cs]e agreement"),
+    ("sublicense", NOTE, "sublicen", r"(?:to )?(?:use copy modify merge publish distribute )?sublicen[cs]e and or sell copies of the software"),
+    ("reuse", NOTE, "spdx filecopyrighttext", r"spdx filecopyrighttext(?: [^ ]+)?"),
+    ("proprietary", NOTE, "unauthorized", r"unauthorized copying of this (?:file|software) via any medium is strictly prohibited"),
+    ("trade-secret", NOTE, "trade secret", r"(?:confidential|proprietary)(?: and)? trade secrets?"),
 ]
 
 
@@ -115,24 +179,30 @@ def _words(version: str) -> str:
     return version.replace(".", " ")
 
 
+def _literal(name: str) -> str:
+    """The longest text that all that ``name`` matches contains, as far as it stands outside of groups."""
+    return max(re.split(r"\(\?:[^()]*\)\??", name), key=len).strip() or "licen"
+
+
 def signatures() -> list[tuple[str, int, str, str]]:
     """All rules in order: label, priority, keyword, regex over words."""
     out = []
     for label, name, versions in FAMILIES:
+        key = _literal(name)
         for v in versions:
-            out.append((f"{label}-{v}", FULL, "licen", name + _V.format(v=_words(v)).replace("(?: licen[cs]es?)?", _L, 1)))
+            out.append((f"{label}-{v}", FULL, key, name + _V.format(v=_words(v)).replace("(?: licen[cs]es?)?", _L, 1)))
             out.append((f"{label}-{v}", TAG, "spdx", rf"spdx license identifier {label.replace('-', ' ')} {_words(v)}"))
-        out.append((label, NAME, "licen", name + _L))
-        out.append((label, NAME, "licence", name + r" licence"))
+        out.append((label, NAME, key, name + _L))
     gnu = {"gpl": r"(?:gnu )?general public", "lgpl": r"(?:gnu )?(?:lesser|library) general public", "agpl": r"(?:gnu )?affero general public", "gfdl": r"(?:gnu )?free documentation"}
     editions = {"gpl": ("1.0", "2.0", "3.0"), "lgpl": ("2.0", "2.1", "3.0"), "agpl": ("1.0", "3.0"), "gfdl": ("1.1", "1.2", "1.3")}
     by = r"(?: as published by the free software foundation)?(?: either)?"
     for label, name in gnu.items():
-        out.append((label, NAME, "licen", name + _L))
+        key = _literal(name)
+        out.append((label, NAME, key, name + _L))
         for v in editions[label]:
             short = rf"(?:{_words(v)}|{v[0]})" if v.endswith(".0") else _words(v)
-            out.append((f"{label}-{v}", FULL, "licen", rf"{name}{_L}{by}(?: version)?(?: v ?| ){short}"))
-            out.append((f"{label}-{v}-or-later", FULL, "licen", rf"{name}{_L}{by}(?: version)?(?: v ?| ){short} or(?: at your option)? any later version"))
+            out.append((f"{label}-{v}", FULL, key, rf"{name}{_L}{by}(?: version)?(?: v ?| ){short}"))
+            out.append((f"{label}-{v}-or-later", FULL, key, rf"{name}{_L}{by}(?: version)?(?: v ?| ){short} or(?: at your option)? any later version"))
             for suffix, ending in (("only", " only"), ("or-later", " or later")):
                 out.append((f"{label}-{v}-{suffix}", TAG, "spdx", rf"spdx license identifier {label} {_words(v)}{ending}"))
             if label != "gfdl":
@@ -150,18 +220,19 @@ def signatures() -> list[tuple[str, int, str, str]]:
     return out + SINGLE
 
 
-def _gate() -> str:
-    return "(?i)" + "|".join(k.replace(" ", SEPARATORS) for k in KEYWORDS)
+def may_match(text):
+    """Whether a text holds what some signature needs. Lower-casing more than A-Z only lets more through."""
+    low = F.lower(text)
+    return reduce(lambda a, b: a | b, [F.contains(low, F.lit(s)) for s in STEMS]) | text.rlike(STEM_PAIR)
 
 
 def detections(docs: DataFrame) -> DataFrame:
     """row_key, label, priority, rule, start, end: all places of all rules and base phrases (priority 0
-    for these). Only texts that the keyword regex lets through are cut into words; each rule runs on the
-    texts that hold its keyword."""
-    rules = signatures() + [(label, 0, next(k for k in KEYWORDS if k in phrase), phrase) for phrase, label in BASE.items()]
+    for these)."""
+    rules = signatures() + [(label, 0, phrase, phrase) for phrase, label in BASE.items()]
     lower = F.translate(F.col("text").cast("string"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    words = F.array_join(F.array_remove(F.split(lower, SEPARATORS, -1), ""), " ")
-    open_ = docs.where(F.col("text").cast("string").rlike(_gate())).select(row_key().alias("row_key"), F.concat(F.lit(" "), words, F.lit(" ")).alias("line"))
+    words = F.trim(F.regexp_replace(lower, SEPARATORS, " "))
+    open_ = docs.where(may_match(F.col("text").cast("string"))).select(row_key().alias("row_key"), F.concat(F.lit(" "), words, F.lit(" ")).alias("line"))
     spark = docs.sparkSession
     table_ = spark.createDataFrame([(k, i, label, p, rf"(?<= )(?=({x})(?= ))") for i, (label, p, k, x) in enumerate(rules)], "keyword string, rule int, label string, priority int, regex string")
     keys = F.array(*[F.lit(k) for k in sorted({k for _, _, k, _ in rules})])

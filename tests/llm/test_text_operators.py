@@ -282,10 +282,44 @@ def variants(tree):
 
 
 def test_license_keywords_are_in_all_their_rules_match():
-    gate = re.compile(licenses._gate())
     for label, _, keyword, regex in licenses.signatures():
         for v in variants(re._parser.parse(regex)):
-            assert re.fullmatch(regex, v) and keyword in v and gate.search(v), (label, keyword, v)
+            assert re.fullmatch(regex, v) and keyword in v, (label, keyword, v)
+            assert any(x in v for x in licenses.STEMS) or re.search(licenses.STEM_PAIR, v), (label, v)
+
+
+def brute_labels(text):
+    """Labels and score by every rule on every text, and every pair of detections."""
+    fold = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(fold))
+    line = " " + " ".join(words) + " "
+    found = set()
+    for rule, (label, priority, _, regex) in enumerate(licenses.signatures()):
+        for m in re.finditer(rf"(?<= )(?=({regex})(?= ))", line):
+            start = line[: m.start()].count(" ") - 1
+            found.add((start, start + len(m[1].split()), priority, rule, label))
+
+    def hides(a, b):
+        same = a[:2] == b[:2]
+        return a[0] <= b[0] and b[1] <= a[1] and (a[2] > b[2] or a[2] == b[2] and (not same or a[3] < b[3]))
+
+    stay = [b for b in found if not any(hides(a, b) for a in found)]
+    base = {label for phrase, label in licenses.BASE.items() if f" {phrase} " in line}
+    weights = [licenses.WEIGHT[x[2]] for x in stay] + [licenses.WEIGHT[licenses.NAME]] * bool(base)
+    return ",".join(sorted({x[4] for x in stay} | base)), max(weights, default=0.0)
+
+
+def test_license_labels_and_scores(spark):
+    """All rules' own strings, alone and in company, against brute force."""
+    rng = random.Random(3)
+    all_of = [variants(re._parser.parse(regex)) for *_, regex in licenses.signatures()]
+    strings = [v for x in all_of for v in rng.sample(x, min(2, len(x)))]
+    texts = strings + [rng.choice([" ", "-", ", "]).join(rng.choice([*strings, "the", "License", "v2", "or later", "CC BY"]) for _ in range(rng.randint(1, 12))) for _ in range(400)]
+    texts = [t.upper() if rng.random() < 0.3 else t for t in texts] + ["", None, "\u212aey copyright", "no such words"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.scan(docs).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == brute_labels(t), (i, t)
 
 
 def test_license_versions_in_all_spellings(spark):
