@@ -34,19 +34,32 @@ def brute_vectors(rows):
     return sorted(((d, links[i], least.get(root(i))) for i, (d, _) in enumerate(rows)), key=str)
 
 
-def test_embedding_near_dedup(spark):
+@pytest.mark.parametrize("held", [300, 64 << 20])
+def test_embedding_near_dedup(spark, held):
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(12, 16))
     rows = [(i, (centres[i % 12] + rng.normal(size=16) * rng.choice([0.05, 0.2, 0.35])).tolist()) for i in range(150)]
     x = [1.0, 2.0, 3.0]
     rows += [(1000, x), (1001, x), (1001, x), (None, x), (1002, None), (1003, [0.0] * 3), (1004, [1.0, None, 2.0]), (1005, [float("nan"), 1.0, 1.0]), (1006, [1e-300, 2e-300, 3e-300]), (1007, [1e300, 2e300, 3e300]), (1008, [1.0, 2.0]), (1009, []), (1010, [-0.0, 0.0, 0.0]), (1011, [float("inf"), 1.0, 1.0])]
     df = spark.createDataFrame([(i, v, 1, 2) for i, v in rows], "vec_id long, embedding array<double>, label int, cls int")
-    got = vectors.near_duplicates(df, block_rows=32).collect()
+    got = vectors.near_duplicates(df, block_rows=32, held_bytes=held).collect()
     assert sorted(((r.vec_id, r.n_links, r.component_id) for r in got), key=str) == brute_vectors(rows)
     assert all(r.kept == (r.vec_id is not None and r.vec_id == r.component_id) for r in got)
     assert not vectors.near_duplicates(df.limit(0)).count()
 
 
+def test_many_copies_of_a_vector(spark):
+    rows = [(i, [1.0, 2.0, 0.5]) for i in range(5000, 0, -1)] + [(0, [1.0, 2.0, 0.6]), (9000, [-1.0, 0.0, 0.0])]
+    got = vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3))
+    assert {tuple(r) for r in got.groupBy("n_links", "component_id").count().collect()} == {(5000, 0, 5001), (0, 9000, 1)}
+
+
+def test_products_are_exact_over_many_dimensions():
+    rng = np.random.default_rng(4)
+    a, b = (rng.integers(100, 128, (7, 5000)).astype(np.int8) for _ in range(2))
+    assert (vectors.products(a, b) == a.astype(np.int64) @ b.astype(np.int64).T).all()
+
+
 def test_quantisation_bounds_hold():
     rng = np.random.default_rng(1)
     x, y = (vectors.unit_rows(rng.normal(size=(200, 24)) * 10.0 ** rng.integers(-3, 3, (200, 1))) for _ in range(2))
