@@ -1,13 +1,16 @@
 """Quality rules with risk-controlled cutoffs, in DataFrame functions only.
 
-Each rule rejects documents whose feature lies above a cutoff. Labelled documents, which no rule was
-fitted on, test every cutoff of a fixed grid: with n documents of label 1 in a stratum, k of them
-rejected, the exact binomial probability of k or fewer under a false-rejection rate of ``alpha`` / rules
-must be at most ``delta`` / (rules x strata). Cutoffs of a rule are tested from the mildest on and
-testing stops at the first that fails (a fixed sequence needs no further correction), so with
-probability 1 - delta all passed cutoffs of all rules and strata hold, and no stratum loses more than a
-share ``alpha`` of its good documents. Among the passed, a rule takes the cutoff that rejects most
-documents of label 0 net of those of label 1, or none if none gains.
+Each rule rejects documents whose feature lies above a cutoff. The rules' cutoffs are levels: level k takes
+the k-th cutoff of every rule, the mildest first, and rejects what any of them rejects, so levels are nested
+and one number says from which level on a document goes. Labelled documents, which no rule was fitted on,
+test the levels of each stratum: with n distinct texts of label 1, g of them rejected, the exact binomial
+probability of g or fewer under a false-rejection rate of ``alpha`` must be at most ``delta`` / strata
+(Bonferroni). Levels are tested from the mildest on and testing stops at the first that fails; a fixed
+sequence needs no further correction, so with probability 1 - delta no stratum loses more than a share
+``alpha`` of its good documents. Among the passed, a stratum takes the level that rejects most texts of
+label 0 net of those of label 1, or none if none gains. As copies are one trial but near copies several,
+the guarantee is for texts drawn independently. The least n that can pass is
+ln(delta / strata) / ln(1 - alpha): 144 with four strata.
 """
 
 from __future__ import annotations
@@ -19,20 +22,20 @@ from pyspark.sql import Window as W
 from .common import materialize, row_key, table
 
 SPACES = r"[\x20\x09-\x0D]+"
-_SHARES = [x / 100 for x in (90, 80, 70, 60, 50, 45, 40, 35, 30, 25, 20, 16, 13, 10, 8, 6, 5, 4, 3, 2)]
-#: Rule: the feature (larger is worse) and its cutoffs, mildest first.
+#: Rule: the feature (larger is worse) and its cutoffs, mildest first; all rules have equally many.
 RULES = {
-    "repeated": ("n_repeat_words / greatest(n_words, 1)", _SHARES),
-    "symbols": ("n_symbols / greatest(word_chars, 1)", _SHARES),
-    "dup_lines": ("n_dup_lines / greatest(n_lines, 1)", _SHARES),
-    "capitals": ("n_capitals / greatest(word_chars, 1)", _SHARES),
-    "marks": ("n_marks / greatest(word_chars, 1)", _SHARES),
-    "long_words": ("word_chars / greatest(n_words, 1)", [80.0, 40.0, 30.0, 25.0, 20.0, 17.0, 15.0, 13.0, 12.0, 11.0, 10.0]),
+    "repeated": ("n_repeat_words / greatest(n_words, 1)", [0.5, 0.48, 0.46, 0.44, 0.42, 0.4, 0.38, 0.36, 0.34, 0.32, 0.3, 0.28]),
+    "symbols": ("n_symbols / greatest(word_chars, 1)", [0.5, 0.4, 0.3, 0.25, 0.2, 0.16, 0.13, 0.1, 0.08, 0.06, 0.05, 0.04]),
+    "dup_lines": ("n_dup_lines / greatest(n_lines, 1)", [0.9, 0.85, 0.8, 0.75, 0.7, 0.65, 0.6, 0.55, 0.5, 0.45, 0.4, 0.35]),
+    "capitals": ("n_capitals / greatest(word_chars, 1)", [0.9, 0.8, 0.7, 0.6, 0.55, 0.5, 0.45, 0.4, 0.35, 0.3, 0.25, 0.2]),
+    "marks": ("n_marks / greatest(word_chars, 1)", [0.5, 0.4, 0.3, 0.25, 0.2, 0.16, 0.13, 0.1, 0.08, 0.06, 0.05, 0.04]),
+    "long_words": ("word_chars / greatest(n_words, 1)", [80.0, 60.0, 50.0, 40.0, 35.0, 30.0, 26.0, 23.0, 20.0, 18.0, 16.0, 14.0]),
 }
+LEVELS = len(RULES["repeated"][1])
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """doc_id, stratum, row_key and the counts of each whole text.
+    """doc_id, stratum, row_key, text_key, the counts of each whole text, and the level it is rejected from.
 
     Words and windows stay in arrays of their row: nothing is exploded or shuffled. Windows are 64-bit
     hashes; only texts with a repeated one sort them with their places, and each repeated place covers
@@ -43,6 +46,7 @@ def features(docs: DataFrame) -> DataFrame:
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("stratum"),
         row_key().alias("row_key"),
+        F.xxhash64(text).alias("text_key"),
         text.alias("text"),
         F.array_remove(F.split(text, SPACES, -1), "").alias("words"),
         F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"),
@@ -52,6 +56,7 @@ def features(docs: DataFrame) -> DataFrame:
         "doc_id",
         "stratum",
         "row_key",
+        "text_key",
         F.size("words").cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         F.regexp_count("text", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
@@ -71,69 +76,58 @@ def features(docs: DataFrame) -> DataFrame:
     repeated = F.expr("filter(transform(sorted, (x, k) -> if(x.h = get(sorted, k + 1).h or x.h = get(sorted, k - 1).h, x.i, null)), x -> x is not null)")
     base = base.withColumn("places", F.sort_array(F.when(F.col("sorted").isNotNull(), repeated)))
     covered = F.expr("aggregate(places, named_struct('n', 0L, 'last', -3), (a, x) -> named_struct('n', a.n + least(3, x - a.last), 'last', x), a -> a.n)")
-    return base.withColumn("n_repeat_words", F.coalesce(F.when(F.col("places").isNotNull(), covered), F.lit(0).cast("long"))).drop("windows", "sorted", "places")
+    base = base.withColumn("n_repeat_words", F.coalesce(F.when(F.col("places").isNotNull(), covered), F.lit(0).cast("long"))).drop("windows", "sorted", "places")
+    # how many cutoffs of a rule the value exceeds; as they fall, these are its last ones
+    over = [F.size(F.filter(F.array(*map(F.lit, grid)), _below(value))) for value, grid in RULES.values()]
+    return base.withColumn("level", F.lit(LEVELS) - F.greatest(*over))
 
 
 def _below(value: str):
     return lambda c: c < F.expr(value)
 
 
-def cutoffs(counts: DataFrame, labels: DataFrame, alpha: float, delta: float) -> DataFrame:
-    """The chosen cutoffs: stratum, and a map from rule to cutoff."""
+def levels(counts: DataFrame, labels: DataFrame, alpha: float, delta: float) -> DataFrame:
+    """The chosen level of each stratum that has one: stratum, chosen."""
     known = labels.where("quality in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
     rows = counts.where("n_words >= 50 and 100 * n_repeat_words <= 50 * n_words").join(known, "doc_id")
-    entries = F.array(*[
-        F.struct(F.lit(name).alias("rule"), F.size(F.filter(F.array(*map(F.lit, grid)), _below(value))).alias("over"))
-        for name, (value, grid) in RULES.items()
-    ])
-    # over: how many cutoffs of the grid the value exceeds; as the grid falls, these are its last ones
-    tallies = rows.select("stratum", "quality", F.explode(entries).alias("e")).groupBy("stratum", "e.rule", "e.over", "quality").count()
-    tallies = materialize(tallies, "tallies")
-    grids = F.array(*[F.struct(F.lit(name).alias("rule"), F.array(*map(F.lit, grid)).alias("grid")) for name, (_, grid) in RULES.items()])
-    strata = counts.sparkSession.createDataFrame([(0,)], "one int").select(F.explode(grids).alias("g")).select("g.rule", "g.grid")
-    totals = tallies.groupBy("stratum", "rule").agg(
+    texts = rows.groupBy("stratum", "text_key").agg(F.min("quality").alias("quality"), F.min("level").alias("level"))
+    tallies = materialize(texts.groupBy("stratum", "level", "quality").count(), "tallies")
+    n_strata = max(1, tallies.agg(F.countDistinct("stratum")).first()[0])
+    # at most twice as many tallies as levels for each stratum
+    strata = tallies.groupBy("stratum").agg(
         F.sum(F.when(F.col("quality") == 1, F.col("count")).otherwise(0)).alias("n"),
-        F.collect_list(F.struct("over", "quality", "count")).alias("tally"),
-    )  # at most twice the grid's length for each group
-    n_strata = tallies.agg(F.countDistinct("stratum")).first()[0]
-    grid = totals.join(F.broadcast(strata), "rule").withColumn("m", F.lit(max(1, n_strata)))
-    level = F.lit(alpha / len(RULES))
-    tested = grid.select("stratum", "rule", "n", "m", F.posexplode("grid").alias("k", "cutoff"), "tally", F.size("grid").alias("size"))
-    count = "aggregate(filter(tally, t -> t.over >= size - k and t.quality = {}), 0L, (a, t) -> a + t.count)"
-    tested = tested.withColumns({"good": F.expr(count.format(1)), "bad": F.expr(count.format(0))}).withColumn("level", level)
-    log_odds = "ln(level / (1 - level))"
+        F.collect_list(F.struct("level", "quality", "count")).alias("tally"),
+    )
+    tested = strata.select("stratum", "n", "tally", F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1))).alias("k"))
+    count = "aggregate(filter(tally, t -> t.level <= k and t.quality = {}), 0L, (a, t) -> a + t.count)"
+    tested = tested.withColumns({"good": F.expr(count.format(1)), "bad": F.expr(count.format(0)), "alpha": F.lit(alpha)})
+    term = "if(i = 0, a.t, a.t + ln((n - i + 1) / i) + ln(alpha / (1 - alpha)))"
     tail = F.expr(
-        f"aggregate(sequence(0L, good), named_struct('t', n * ln(1 - level), 's', 0D), (a, i) -> named_struct("
-        f"'t', if(i = 0, a.t, a.t + ln((n - i + 1) / i) + {log_odds}), "
-        f"'s', a.s + exp(if(i = 0, a.t, a.t + ln((n - i + 1) / i) + {log_odds}))), a -> a.s)"
+        "aggregate(sequence(0L, good), named_struct('t', n * ln(1 - alpha), 's', 0D), "
+        f"(a, i) -> named_struct('t', {term}, 's', a.s + exp({term})), a -> a.s)"
     )
-    fails = F.when((F.col("n") == 0) | (F.col("good") > F.col("n") * F.col("level")), 1).otherwise((tail > F.lit(delta) / (len(RULES) * F.col("m"))).cast("int"))
-    order = W.partitionBy("stratum", "rule").orderBy("k").rowsBetween(W.unboundedPreceding, 0)
+    fails = F.when((F.col("n") == 0) | (F.col("good") > F.col("n") * F.col("alpha")), 1).otherwise((tail > F.lit(delta / n_strata)).cast("int"))
+    order = W.partitionBy("stratum").orderBy("k").rowsBetween(W.unboundedPreceding, 0)
     passed = tested.withColumn("fails", fails).withColumn("failed", F.max("fails").over(order)).where("failed = 0 and bad > good")
-    best = passed.groupBy("stratum", "rule").agg(F.min_by("cutoff", F.struct((F.col("good") - F.col("bad")).alias("net"), "k")).alias("cutoff"))
-    chosen = best.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("chosen"))
-    # a stratum needs hundreds of labelled rows to get a cutoff, so there are few; more are joined by a shuffle
-    chosen = materialize(chosen, "cutoffs")
+    chosen = passed.groupBy("stratum").agg(F.min_by("k", F.struct((F.col("good") - F.col("bad")).alias("net"), "k")).alias("chosen"))
+    # a stratum needs hundreds of labelled rows to get a level, so there are few; more are joined by a shuffle
+    chosen = materialize(chosen, "levels")
     return F.broadcast(chosen) if chosen.count() <= 10_000 else chosen
 
 
-def judge(docs: DataFrame, labels: DataFrame, alpha: float = 0.02, delta: float = 0.05) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, alpha: float = 0.03, delta: float = 0.05) -> DataFrame:
     """Counts and verdict for each document.
 
     docs: ``doc_id``, ``text``, ``lang`` (the stratum); labels: ``doc_id``, ``quality``; other columns
     are not read. Null and empty texts have no words and fail the base rule; a null language is a stratum
     of its own; null ids have no label; a document with several labels counts by the smallest; repeated
-    rows are judged alike; with no or few labels no cutoff passes and only the base rule rejects; an
+    rows are judged alike; with no or few labels no level passes and only the base rule rejects; an
     empty table gives no row.
     """
     counts = materialize(features(docs), "rules")
-    chosen = cutoffs(counts, labels, alpha, delta)
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    hit = F.lit(False)
-    for name, (value, _) in RULES.items():
-        hit = hit | F.coalesce(F.expr(value) > F.try_element_at("chosen", F.lit(name)), F.lit(False))
-    rows = counts.join(chosen, "stratum", "left")
-    return rows.select(
+    hit = F.coalesce(F.col("level") <= F.col("chosen"), F.lit(False))
+    return counts.join(levels(counts, labels, alpha, delta), "stratum", "left").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         base.alias("base_failed"), (~base & ~hit).alias("kept"), "row_key",
     )

@@ -2,6 +2,7 @@
 repeated rows, empty tables and clashing column names."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -73,13 +74,75 @@ def test_quality_rules(spark, docs, labels, rows):
 
 def test_rules_control_false_rejection(spark):
     """A cutoff is passed only where the exact binomial test passes, and rejects what it should."""
-    good = [(i, " ".join(f"w{j}" for j in range(60)), "en") for i in range(3000)]
-    bad = [(5000 + i, " ".join(f"w{j}$$$$" for j in range(60)), "en") for i in range(200)]
-    few = [(9000 + i, " ".join(f"w{j}$$$$" for j in range(60)), "xx") for i in range(20)]
+    good = [(i, " ".join(f"w{j}" for j in range(i, i + 60)), "en") for i in range(3000)]
+    bad = [(5000 + i, " ".join(f"w{j}$$$$" for j in range(i, i + 60)), "en") for i in range(200)]
+    few = [(9000 + i, " ".join(f"w{j}$$$$" for j in range(i, i + 60)), "xx") for i in range(20)]
     docs = spark.createDataFrame(good + bad + few, "doc_id long, text string, lang string")
     labels = spark.createDataFrame([(i, 1) for i, *_ in good] + [(i, 0) for i, *_ in bad + few], "doc_id long, quality int")
     kept = {r.doc_id for r in rules.judge(docs, labels).where("kept").collect()}
     assert kept == {i for i, *_ in good} | {i for i, *_ in few}  # the small stratum cannot pass the test
+    same = docs.withColumn("text", docs.text.substr(1, 0)).selectExpr("doc_id", "if(doc_id < 5000, repeat('a b c d e f ', 20), repeat('a $ c d e f ', 20)) text", "lang")
+    judged = rules.judge(same, labels)  # thousands of copies are one trial, which proves nothing
+    assert judged.where("not base_failed and not kept").count() == 0
+
+
+def brute_kept(rows, quality, alpha, delta):
+    """Verdicts from the plain definition. rows: id, text, language."""
+    values = {
+        "repeated": lambda w, t: sum(rules_covered(w)) / max(len(w), 1),
+        "symbols": lambda w, t: sum(c in "#*$%&|<>" for c in t) / max(sum(map(len, w)), 1),
+        "dup_lines": lambda w, t: (len(x := [y for y in t.split("\n") if y.strip(" \t\r\x0b\x0c")]) - len(set(x))) / max(len(x), 1),
+        "capitals": lambda w, t: sum("A" <= c <= "Z" for c in t) / max(sum(map(len, w)), 1),
+        "marks": lambda w, t: sum(c in "!?" for c in t) / max(sum(map(len, w)), 1),
+        "long_words": lambda w, t: sum(map(len, w)) / max(len(w), 1),
+    }
+
+    def rejected(t, k):
+        w = words_of(t)
+        return any(values[r](w, t) > grid[k] for r, (_, grid) in rules.RULES.items())
+
+    passes_base = {i: len(w := words_of(t)) >= 50 and 100 * sum(rules_covered(w)) <= 50 * len(w) for i, t, _ in rows}
+    trials = {}
+    for i, t, lang in rows:
+        if passes_base[i] and i in quality:
+            trials[lang, t] = min(quality[i], trials.get((lang, t), 1))
+    m, chosen = max(1, len({x for x, _ in trials})), {}
+    for lang in {x for x, _ in trials}:
+        good, bad = ([t for (x, t), q in trials.items() if x == lang and q == v] for v in (1, 0))
+        best = 0
+        for k in range(rules.LEVELS):
+            g, b = (sum(rejected(t, k) for t in x) for x in (good, bad))
+            n = len(good)
+            if not n or g > n * alpha or sum(math.comb(n, i) * alpha**i * (1 - alpha) ** (n - i) for i in range(g + 1)) > delta / m:
+                break
+            if b - g > best:
+                best, chosen[lang] = b - g, k
+    return {i: passes_base[i] and not (lang in chosen and rejected(t, chosen[lang])) for i, t, lang in rows}
+
+
+def rules_covered(w):
+    grams = Counter(zip(w, w[1:], w[2:]))
+    at = {p for j, g in enumerate(zip(w, w[1:], w[2:])) if grams[g] > 1 for p in (j, j + 1, j + 2)}
+    return [j in at for j in range(len(w))]
+
+
+def test_rule_levels_equal_brute_force(spark):
+    rng = random.Random(9)
+    rows, quality = [], {}
+    for i in range(1500):
+        lang, bad = rng.choice(["en", "en", "en", "de"]), rng.random() < 0.2
+        mark = rng.choice(["$", "!", "X", "é"]) * rng.randint(0, 3) if bad or rng.random() < 0.02 else ""
+        rows.append((i, " ".join(f"w{rng.randint(0, 500)}" + mark * (rng.random() < 0.7) for _ in range(rng.randint(40, 90))), lang))
+        if rng.random() < 0.9:
+            quality[i] = int(not bad)
+    rows += [(3000 + k, *rows[k][1:]) for k in range(40)]
+    quality |= {3000 + k: 1 - quality.get(k, 1) for k in range(40)}
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame(list(quality.items()), "doc_id long, quality int")
+    for alpha, delta in ((0.02, 0.05), (0.05, 0.2), (0.001, 0.05)):
+        got = {r.doc_id: r.kept for r in rules.judge(docs, labels, alpha, delta).collect()}
+        assert got == brute_kept(rows, quality, alpha, delta)
+    assert sum(not x for x in got.values()) < sum(not x for x in brute_kept(rows, quality, 0.05, 0.2).values())
 
 
 def brute_join(rows, n, percent):
