@@ -14,6 +14,8 @@ import os
 import numpy as np
 import public_tokenizers
 
+from .common import trim
+
 BYTE_BPE = "byte_bpe_50k.json"
 _HELD: dict[str, "Encoder"] = {}
 
@@ -29,17 +31,27 @@ class Encoder:
     """Encodes whole texts to unsigned 32-bit ids, without special tokens of its own."""
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.path, self._tokenizer = path, None
         letters = _byte_letters()
         with open(path, encoding="utf-8") as f:
-            vocab = json.load(f)["model"]["vocab"]
-        ranks = {bytes(letters[c] for c in t): i for t, i in vocab.items() if t not in self.added}
+            read = json.load(f)
+        self.added = [t["content"] for t in read["added_tokens"]]
+        ranks = {bytes(letters[c] for c in t): i for t, i in read["model"]["vocab"].items() if t not in self.added}
         self.fast = tiktoken.Encoding("quoin", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        del read, ranks
+        trim()
+
+    @property
+    def tokenizer(self):
+        """The library, loaded when it is first asked for."""
+        if self._tokenizer is None:
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
+            from tokenizers import Tokenizer
+
+            self._tokenizer = Tokenizer.from_file(self.path)
+        return self._tokenizer
 
     def encode(self, text: str) -> np.ndarray:
         if not text:

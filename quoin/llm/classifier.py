@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_runs, materialize, table, text_buffers, word_hashes
+from .common import byte_runs, materialize, table, text_buffers, trim, word_hashes
 
 GRAMS = (3, 4, 5)
 _FOLD = np.arange(256, dtype=np.uint32)
@@ -140,6 +140,8 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings) -> tuple[np.ndarray, fl
             return
         rows = pa.Table.from_batches(parts).sort_by("doc_id")
         weights, bias = train(rows.column("ids").to_pylist(), rows.column("shares").to_pylist(), rows.column("quality").to_numpy().astype(np.int64), s)
+        del rows, parts
+        trim()
         yield pa.RecordBatch.from_pydict({"weights": [weights.tobytes()], "bias": [bias]})
 
     made = sample(docs, labels, s).mapInArrow(to_bags, "doc_id long, quality int, ids binary, shares binary")
@@ -168,6 +170,7 @@ def score(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), cutoff:
     def run(batches):
         weights, bias = shared.value
         for batch in batches:
+            trim()
             out = np.empty(batch.num_rows)
             for i, j, kinds in features(batch.column("text"), s.buckets):
                 total, n = np.zeros(j - i), np.zeros(j - i)

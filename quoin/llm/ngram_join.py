@@ -34,6 +34,7 @@ from .common import (
     spread_join,
     table,
     text_buffers,
+    trim,
     word_hashes,
 )
 
@@ -155,6 +156,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, frequent_
 
     def signatures(batches):
         for batch in batches:
+            trim()
             keys, n_sh, cls = batch.column("row_key").to_numpy(), np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.uint64)
             seen, parts = set(), []
             for r, s in shingle_sets(batch.column("text"), n):
@@ -191,6 +193,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, frequent_
 
     def prefixes(batches):
         for batch in batches:
+            trim()
             keys, cls, size, seen = [], [], [], set()
             for _, s in shingle_sets(batch.column("text"), n):
                 if not len(s) or (c := int(_class(s))) in seen:
@@ -234,6 +237,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, frequent_
     def sets_of(batches):
         seen = set()  # of copies in a partition one is enough
         for batch in batches:
+            trim()
             found = {int(_class(s).view(np.int64)): s for _, s in shingle_sets(batch.column("text"), n)}
             found = {c: ordered(s, frequent.value).tobytes() for c, s in found.items() if c not in seen}
             seen |= found.keys()

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import encoder
-from .common import materialize, table
+from .common import materialize, table, trim
 
 CAPACITY, END_ID = 1024, 2
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -204,6 +204,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, path
     def cut(batches):
         enc = encoder(path)
         for batch in batches:
+            trim()
             out: list[tuple] = []
             for name, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
                 ids = np.append(enc.encode(text.as_py() or ""), np.uint32(end_id)).astype("<u4")

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_runs, discard, materialize, mix, partitions, release, row_key, table, text_buffers
+from .common import byte_runs, discard, materialize, mix, partitions, release, row_key, table, text_buffers, trim
 
 U = np.uint64
 _P = U(0x9E3779B97F4A7C15)
@@ -241,6 +241,8 @@ def living_anchors(packed: DataFrame, buckets: int, length: int, k: int, hot_fro
                 order = np.argsort(bucket, kind="stable")
                 out = [(b, order[i:j]) for b, i, j in runs_of(bucket[order])]
                 cols = {"bucket": [b for b, _ in out], "grp": [grp] * len(out), "high": [high[x].tobytes() for _, x in out], "n": [n[x].tobytes() for _, x in out]}
+                del data, found, h, doc
+                trim()
                 yield pa.RecordBatch.from_pydict(cols)
 
     def survivors(entries: pa.Table) -> pa.Table:
@@ -331,6 +333,8 @@ def repeated_spans(packed: DataFrame, buckets: int, length: int, k: int, hot_fro
             row = {"bucket": grp % buckets, "grp": grp, "known": b"".join(s.tobytes() for s in spans)}
             for c in cols:
                 cols[c].append(row.get(c, b""))
+        del cut, found
+        trim()
         return pa.table(cols, schema=empty.schema)
 
     sent = packed.groupBy("grp").cogroup(alive.groupBy("grp")).applyInArrow(stretches, schema)
@@ -346,6 +350,8 @@ def repeated_spans(packed: DataFrame, buckets: int, length: int, k: int, hot_fro
         starts, n = np.frombuffer(b"".join(column("starts")), np.int64), np.frombuffer(b"".join(column("counts")), np.uint8)
         order = np.argsort(ids, kind="stable")
         hits = list(repeated_windows(cut[order], n[order].astype(np.int64), ids[order], length, batch))
+        del cut
+        trim()
         if hits:
             row, low, high = (np.array(x) for x in zip(*hits))
             row = order[row]
@@ -364,7 +370,7 @@ def repeated_spans(packed: DataFrame, buckets: int, length: int, k: int, hot_fro
     return spans
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, k: int = 20, group_bytes: int = 8 << 20, hot_from: int = 1 << 16, keep: tuple[str, ...] = ()) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 50, k: int = 20, group_bytes: int = 4 << 20, hot_from: int = 1 << 16, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each row of ``docs`` (``doc_id``, ``text``;
     others are not read), and, if ``keep`` names columns, these and ``kept_text`` (characters cut in two are
     dropped).
@@ -384,7 +390,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, k: int = 20, group_bytes:
     groups = max(partitions(spark), -(-total // group_bytes))
     packed = packed_groups(rows, groups)
     release(spark)
-    spans = repeated_spans(packed, groups, length, k, hot_from)
+    spans = repeated_spans(packed, 2 * groups, length, k, hot_from)
 
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *others, *["kept_text"] * bool(keep)]
     types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
@@ -416,6 +422,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, k: int = 20, group_bytes:
             if keep:
                 kept.append(text.tobytes().decode("utf-8", "ignore"))
         cols = [rows.column("doc_id"), pa.array(np.diff(offs)), pa.array(removed), pa.array(runs), pa.array(digests, pa.string()), *[rows.column(f"keep_{i}") for i in range(len(others))]]
+        trim()
         return pa.table(cols + [pa.array(kept, pa.string())] * bool(keep), names=names)
 
     return packed.groupBy("grp").cogroup(spans.groupBy("grp")).applyInArrow(cut, schema)
