@@ -399,7 +399,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, k: int = 20, group_bytes:
     def cut(docs: pa.Table, own: pa.Table) -> pa.Table:
         rows = _documents(docs.column("docs")[0].as_py())
         data, offs = text_buffers(rows.column("text"))
-        raw = own.column("spans").to_pylist()
+        raw = own.column("spans").to_pylist() if own.num_rows else []  # an empty side comes without columns
         sizes = [len(x) // 20 for x in raw]
         place = np.concatenate([np.frombuffer(x, np.int32, m) for x, m in zip(raw, sizes)] or [np.zeros(0, np.int32)])
         first = np.concatenate([np.frombuffer(x, np.int64, m, 4 * m) for x, m in zip(raw, sizes)] or [np.zeros(0, np.int64)])
