@@ -72,3 +72,71 @@ def retry_seconds(message) -> Column:
 
 def without_fence(answer) -> Column:
     return trimmed(F.regexp_replace(F.regexp_replace(_c(answer), r"```(?:json)?\n?", ""), r"\n?```", ""))
+
+
+def parsed(answer, schema: str) -> Column:
+    """The JSON of an answer, with or without fences, as a struct; null if it is none."""
+    body = without_fence(answer)
+    return F.when(F.is_valid_utf8(body) & F.try_parse_json(body).isNotNull(), F.from_json(body, schema))
+
+
+def _first(json, *names: str) -> Column:
+    """The first of the fields that is there and not empty."""
+    return F.coalesce(*[F.nullif(F.get_json_object(_c(json), f"$.{n}"), F.lit("")) for n in names])
+
+
+def repaired_issue(json) -> Column:
+    """An issue whose fields go by any of their names, enumerations brought to their values."""
+    from .enums import category, severity
+
+    sure = F.coalesce(F.get_json_object(_c(json), "$.confidence_in_issue"), F.get_json_object(_c(json), "$.confidence")).try_cast("double")
+    return F.struct(
+        severity(_first(json, "severity")).alias("severity"), category(_first(json, "category")).alias("category"),
+        _first(json, "element_id", "elementId").alias("element_id"), _first(json, "dimension_id", "dimensionId").alias("dimension_id"),
+        F.coalesce(_first(json, "description", "message"), F.lit("")).alias("description"), _first(json, "suggested_fix", "suggestedFix", "fix").alias("suggested_fix"),
+        F.coalesce(sure, F.lit(0.8)).alias("confidence"),
+    )
+
+
+def repaired_check(json) -> Column:
+    passed = F.coalesce(F.get_json_object(_c(json), "$.passed").try_cast("boolean"), F.lit(True))
+    return F.struct(
+        F.coalesce(_first(json, "check_name", "checkName", "name"), F.lit("Unknown check")).alias("check_name"), passed.alias("passed"),
+        F.coalesce(_first(json, "details", "description"), F.lit("")).alias("details"), F.get_json_object(_c(json), "$.affected_count").try_cast("long").alias("affected_count"),
+    )
+
+
+def repaired_correction(json) -> Column:
+    from .enums import correction
+
+    return F.struct(
+        correction(_first(json, "correction_type", "type")).alias("correction_type"), F.coalesce(_first(json, "target_id", "targetId"), F.lit("")).alias("target_id"),
+        F.coalesce(_first(json, "field_name", "fieldName", "field"), F.lit("")).alias("field_name"), F.get_json_object(_c(json), "$.current_value").alias("current_value"),
+        F.get_json_object(_c(json), "$.corrected_value").alias("corrected_value"), F.coalesce(_first(json, "reasoning", "reason"), F.lit("")).alias("reasoning"),
+        F.coalesce(F.nullif(_first(json, "confidence").try_cast("double"), F.lit(0.0)), F.lit(0.5)).alias("confidence"),
+    )
+
+
+# Words that open a section of a report, and the forms of its entries.
+MISSING, INCORRECT = "missing|not found|欠けている", "incorrect|wrong|error|間違い"
+QUOTED = "[「\"']([^「\"']+)[」\"']"
+FORMS = (rf"{QUOTED}.*\(.*should.*{QUOTED}", rf"{QUOTED}\s*(?:→|->)\s*{QUOTED}", rf"found\s+{QUOTED}.*should.*{QUOTED}")
+LOCATION = r"(?:at|near|in|on|の)\s+([^,.)]+)"
+
+
+def validation_entries(reports, key: str, answer: str):
+    """Entries of validation reports, one row each: key, line, section (missing or incorrect), text,
+    should_be, location. A line that opens a section is no entry; all is lower-cased."""
+    from pyspark.sql import Window as W
+
+    rows = reports.select(key, F.posexplode(F.split(F.col(answer), "\n")).alias("line", "raw")).withColumn("raw", F.lower(trimmed("raw")))
+    head = F.when(F.col("raw").rlike(MISSING), "missing").when(F.col("raw").rlike(INCORRECT), "incorrect")
+    rows = rows.withColumn("head", head)
+    rows = rows.withColumn("section", F.last("head", ignorenulls=True).over(W.partitionBy(key).orderBy("line"))).where("head is null and raw <> '' and section is not null")
+    missing = F.col("section") == "missing"
+    quoted = F.regexp_extract("raw", QUOTED, 1)
+    text = F.when(quoted != "", quoted).otherwise(F.trim(F.regexp_replace("raw", r"^[-*•]\s*", "")))
+    side = lambda i: F.coalesce(*[F.nullif(F.regexp_extract("raw", f, i), F.lit("")) for f in FORMS])
+    place = F.nullif(F.trim(F.regexp_extract("raw", LOCATION, 1)), F.lit(""))
+    out = rows.select(key, "line", "section", F.when(missing, text).otherwise(side(1)).alias("text"), F.when(~missing, side(2)).alias("should_be"), place.alias("location"))
+    return out.where("text <> '' and (section = 'missing' or should_be is not null)")

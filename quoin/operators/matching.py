@@ -31,7 +31,9 @@ def greedy_one_to_one(items: DataFrame, references: DataFrame, key: str, close_e
 
     def pages(table: pa.Table, name: str) -> dict:
         out: dict = {}
-        for k, i, text, x, y in sorted(zip(*[table.column(c).to_pylist() for c in (key, name, "text", "x", "y")]), key=lambda r: (r[0], r[1])):
+        if not table.num_rows:  # an empty side comes without columns
+            return out
+        for k, i, text, x, y in sorted(zip(*[table.column(c).to_pylist() for c in (key, name, "text", "x", "y")]), key=lambda r: r[:2]):
             out.setdefault(k, []).append((i, text, x, y))
         return out
 

@@ -77,3 +77,19 @@ def chunks(pages: DataFrame, total: str, size: int) -> DataFrame:
     """Page ranges of at most ``size`` pages, from 1."""
     starts = F.sequence(F.lit(1).cast("long"), F.greatest(F.col(total), F.lit(1)).cast("long"), F.lit(size).cast("long"))
     return pages.withColumn("first_page", F.explode(starts)).withColumn("last_page", F.least(F.col("first_page") + size - 1, F.col(total).cast("long")))
+
+
+def having_text(df: DataFrame, column: str) -> DataFrame:
+    """Rows whose ``column`` is there and not empty."""
+    return df.where(F.col(column) != "")
+
+
+def searched_runs(runs: DataFrame, results: DataFrame, drawings: DataFrame, needle: str, status: str = "all") -> DataFrame:
+    """Runs whose name, description, tools or drawings' file names hold ``needle`` in any case, of the given
+    status (all, completed, in-progress)."""
+    low = needle.lower()
+    holds = lambda c: F.coalesce(F.contains(F.lower(c), F.lit(low)), F.lit(False))
+    hits = results.join(drawings.select("drawing_id", "file_name"), "drawing_id", "left").where(holds("file_name") | holds("tool"))
+    hits = hits.select("run_id", F.lit(True).alias("_hit")).distinct()
+    rows = runs.join(hits, "run_id", "left").where(F.lit(low == "") | holds("run_name") | holds("description") | F.coalesce("_hit", F.lit(False))).drop("_hit")
+    return {"all": rows, "completed": rows.where("completed"), "in-progress": rows.where("not completed")}[status]

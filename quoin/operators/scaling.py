@@ -81,3 +81,73 @@ def issues() -> Column:
 def verified_length(length, expected, tolerance: float = 0.05) -> Column:
     e = F.col(expected) if isinstance(expected, str) else expected
     return F.abs((F.col(length) if isinstance(length, str) else length) - e) <= tolerance * e
+
+
+def first_scale(objects: DataFrame, key: str, order: str, default: float = 100.0) -> DataFrame:
+    """mm for a pixel of each page by its first object with a text and a length: the text's first digits over
+    the pixels; ``default`` without one."""
+    good = (F.length("text") > 0) & (F.col("pixels") > 0)
+    first = F.min(F.when(good, F.struct(F.col(order).alias("o"), F.col("text").alias("t"), F.col("pixels").alias("p"))))
+    rows = objects.groupBy(key).agg(first.alias("f"))
+    mm = F.regexp_extract("f.t", r"(\d+)", 1).try_cast("double")
+    return rows.select(key, F.coalesce(mm / F.col("f.p"), F.lit(default)).alias("scale"))
+
+
+def with_anchor(boxes: DataFrame, anchors: DataFrame, key: str, box_id: str) -> DataFrame:
+    """Boxes with the distance of their centre to the nearest anchor's on the page (null without one): a
+    minimum over the page's anchors, as a partial aggregate."""
+    centre = lambda df, s: df.withColumns({f"cx{s}": F.col("x") + F.col("w") / 2.0, f"cy{s}": F.col("y") + F.col("h") / 2.0})
+    pairs = centre(boxes, "").select(key, box_id, "cx", "cy").join(centre(anchors, "_a").select(key, "cx_a", "cy_a"), key)
+    dx, dy = F.col("cx") - F.col("cx_a"), F.col("cy") - F.col("cy_a")
+    near = pairs.groupBy(key, box_id).agg(F.min(F.sqrt(dx * dx + dy * dy)).alias("anchor_distance"))
+    return boxes.join(near, [key, box_id], "left")
+
+
+# What an element needs, and what is put where it has none (mm).
+REQUIRED = {"wall": ("length", "thickness", "height"), "door": ("width", "height"), "window": ("width", "height"), "room": ("label",)}
+USUAL = {"wall": {"thickness": 150, "height": 2700}, "door": {"width": 900, "height": 2000}, "window": {"width": 1200, "height": 1200}}
+EXTERIOR_THICKNESS = 200
+
+
+def missing_required() -> Column:
+    """How many of the properties that its type needs an element lacks (null, 0 and empty texts are none)."""
+    out = None
+    for kind, names in REQUIRED.items():
+        lacks = [F.coalesce(F.col(n), F.lit("")) == "" if n == "label" else F.coalesce(F.col(n), F.lit(0)) <= 0 for n in names]
+        n = sum((x.cast("int") for x in lacks[1:]), lacks[0].cast("int"))
+        out = F.when(F.col("object_type") == kind, n) if out is None else out.when(F.col("object_type") == kind, n)
+    return out.otherwise(F.lit(0))
+
+
+def imputed(elements: DataFrame, exterior: Column) -> DataFrame:
+    """Elements with usual values where they have none; ``<property>_set`` says where that was done."""
+    out = elements
+    for name in ("thickness", "width", "height"):
+        usual = F.lit(None).cast("int")
+        for kind, values in USUAL.items():
+            if name in values:
+                value = F.when(exterior, EXTERIOR_THICKNESS).otherwise(values[name]) if (kind, name) == ("wall", "thickness") else F.lit(values[name])
+                usual = F.when(F.col("object_type") == kind, value).otherwise(usual)
+        put = (F.coalesce(F.col(name), F.lit(0)) == 0) & usual.isNotNull()
+        out = out.withColumns({f"{name}_set": put, name: F.when(put, usual).otherwise(F.col(name))})
+    return out
+
+
+#: Plausible sizes in mm by type.
+PLAUSIBLE = {"wall": (500, 20_000), "door": (600, 1000), "window": (600, 2000)}
+
+
+def checks(objects: DataFrame, dimensions: DataFrame, associated: DataFrame, keys: list[str], width: float, height: float, sure: float = 0.5) -> DataFrame:
+    """Deterministic checks of a document: check_name, affected. An extra of this engine; readers' own verdicts
+    are input. objects: object_type, x1, y1, x2, y2, mm, said, confidence."""
+    c = F.col
+    outside = (c("x1") < 0) | (c("y1") < 0) | (c("x2") > width) | (c("y2") > height)
+    odd = F.lit(False)
+    for kind, (low, high) in PLAUSIBLE.items():
+        odd = odd | (c("object_type") == kind) & ((c("mm") < low) | (c("mm") > high))
+    off = lambda share: F.abs(c("mm") - c("said")) > share * c("said")
+    found = {"outside image": outside, "implausible size": odd, "length off by 5 %": off(0.05), "length off by 10 %": off(0.1), "low confidence": c("confidence") < sure}
+    counts = objects.agg(*[F.count_if(v).alias(n) for n, v in found.items()])
+    rows = counts.select(F.explode(F.array(*[F.struct(F.lit(n).alias("check_name"), c(f"`{n}`").alias("affected")) for n in found])).alias("r")).select("r.*")
+    orphans = dimensions.join(associated.select(*keys), keys, "left_anti").agg(F.count("*").alias("affected"))
+    return rows.unionByName(orphans.select(F.lit("orphaned dimension").alias("check_name"), "affected"))

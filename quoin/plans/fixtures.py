@@ -29,6 +29,20 @@ VIEWS = {
         case when p.p_size % 3 = 0 then '' else p.p_name end as label from fx_boxes b join part p on b.partkey = p.p_partkey""",
     "fx_text": """select doc_id, lang, substr(text, 1, 160) as truth, replace(replace(substr(text, 1, 160), 'th', 't'), 'e ', 'c ') as raw_text,
         concat('tool', cast(doc_id % 5 as string)) as tool from documents where lang = 'en'""",
+    "fx_full": """select doc_id, text as truth, replace(replace(text, 'th', 't'), 'e ', 'c ') as raw_text from documents""",
+    "fx_processors": """select cast(n_nationkey as bigint) as processor_id, n_name as name, case n_nationkey % 3 when 0 then 'plain' when 1 then 'hybrid' else 'experimental' end as category,
+        concat('~', cast(n_nationkey % 4 as string), '.', cast(n_nationkey % 9 + 1 as string), case when n_nationkey % 2 = 0 then concat('-', cast(n_nationkey % 4 + 2 as string), '.5') else '' end, ' yen per page') as cost,
+        n_nationkey % 3 = 0 as confidential_safe, n_nationkey % 4 <> 3 as supports_pdf, case when n_nationkey % 5 = 0 then null else cast(n_nationkey % 5 * 8 as bigint) end as max_pages,
+        n_nationkey % 6 = 0 as recommended, n_nationkey % 7 = 0 as experimental from nation""",
+    "fx_keys": """select processor_id, case when processor_id % 8 = 0 then 'vision' else concat('key', cast(processor_id % 7 as string)) end as key_name from fx_processors
+        union all select processor_id, concat('key', cast(processor_id % 5 + 3 as string)) from fx_processors""",
+    "fx_configured": """select concat('key', cast(r_regionkey + 1 as string)) as key_name, case when r_regionkey = 2 then '  ' else r_name end as value from region
+        union all select case when r_regionkey = 0 then 'vision_account' else 'vision_project' end, r_name from region where r_regionkey < 2""",
+    "fx_jobs": """select result_id, drawing_id, result_id % 25 as processor_id, drawing_id % 40 + 1 as page_count from fx_results""",
+    "fx_runs": """select run_id, concat('Run ', cast(run_id as string)) as run_name, case when run_id % 2 = 0 then concat('notes ', cast(run_id as string)) end as description, run_id % 3 <> 0 as completed
+        from (select distinct run_id from fx_results) r""",
+    "fx_reports": """select p_partkey as report_id, concat('Missing text:', chr(10), '- "', p_name, '" near Top-Right, x', chr(10), '* ', p_brand, chr(10), chr(10), 'Wrong ones', chr(10), 'Found "', p_brand, '" but it should be "', p_type, '" at lower left',
+        chr(10), '"A', cast(p_size as string), '" -> "B', cast(p_size as string), '"', chr(10), 'see "Q" (should read "R") on the left.', chr(10), 'nothing here', chr(10), case when p_partkey % 2 = 0 then concat('not found', chr(10), '"', p_type, '" in the center') else '' end) as answer from part""",
     "fx_edits": """select event_id, user_id as result_id, ts, case event_type when 'click' then 'add' when 'purchase' then 'modify' when 'error' then 'delete' else 'noop' end as op from events""",
     "fx_llm": """select conv_id, turn, role, text, concat('Extracted text: ', text, chr(10), 'Note: x') as answer from conversations""",
 }
@@ -89,4 +103,6 @@ def oracle(sql: str) -> str:
     body = sql.strip()
     if not views:
         return body
+    if body.lower().startswith("with recursive "):
+        return f"with recursive {views}, {body[15:]}"
     return f"with {views}, {body[5:]}" if body.lower().startswith("with ") else f"with {views} {body}"

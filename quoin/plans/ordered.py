@@ -26,7 +26,11 @@ def _(t):
     return m.interpolated(words, "result_id").select("result_id", "place", "x", "how")
 
 
-@query("m6_edit_log")
+@query("m6_edit_log", """with recursive l as (select result_id, op, cast(event_id % 4 as string) as box, cast((event_id + 1) % 4 as string) as old, row_number() over (partition by result_id order by ts, event_id) as rn from fx_edits where op <> 'noop'),
+  f as (select result_id, cast(0 as bigint) as rn, cast([] as varchar[]) as boxes from (select distinct result_id from l) union all
+    select l.result_id, l.rn, case l.op when 'add' then list_append(boxes, box) when 'delete' then list_filter(boxes, lambda b: b <> old) when 'modify' then case when list_contains(boxes, old) then list_concat(list_concat(boxes[:list_position(boxes, old) - 1], [box]), boxes[list_position(boxes, old) + 1:]) else boxes end else boxes end
+    from f join l on l.result_id = f.result_id and l.rn = f.rn + 1)
+  select result_id, len(boxes) as n, array_to_string(boxes, ',') as boxes from f where rn = (select max(rn) from l where l.result_id = f.result_id)""")
 def _(t):
     box = (F.col("event_id") % 4).cast("string")
     log = t.fx_edits.where("op <> 'noop'").select("result_id", "ts", "event_id", "op", box.alias("box"), ((F.col("event_id") + 1) % 4).cast("string").alias("old"))
@@ -39,10 +43,6 @@ def _(t):
     return m.collapsed_changes(log, "result_id", "item", ["ts", "event_id"])
 
 
-#: What the SQL on rasters covers.
-FEW = {"part": lambda t: t.part.where("p_partkey < 20")}
-
-
 def _pixels(t):
     """Boxes of all parts as outlines on 120 x 120 images."""
     parts = t.part.select(F.col("p_partkey").alias("image_id"), (F.lit(5) + F.col("p_size") % 5).cast("long").alias("a"))
@@ -52,17 +52,54 @@ def _pixels(t):
     return grid.select("image_id", "x", "y", F.when(edge, 0).otherwise(255).alias("v"))
 
 
-@query("c2_line_runs", """with p as (select p_partkey as image_id, 5 + p_size % 5 + 60 as m from part where p_partkey < 20), s as (select unnest([10, 110]) as a)
-  select image_id, 'horizontal' as orientation, a as "at", 10 as "first", 110 as "last", 101 as length from p, s union all select image_id, 'vertical', a, 10, 110, 101 from p, s union all select image_id, 'vertical', m, 10, 110, 101 from p where m % 2 = 0""", FEW)
+@query("c2_line_runs", """with p as (select p_partkey as image_id, 5 + p_size % 5 + 60 as m from part), s as (select unnest([10, 110]) as a)
+  select image_id, 'horizontal' as orientation, a as "at", 10 as "first", 110 as "last", 101 as length from p, s union all select image_id, 'vertical', a, 10, 110, 101 from p, s union all select image_id, 'vertical', m, 10, 110, 101 from p where m % 2 = 0""")
 def _(t):
     return v.walls(v.line_runs(_pixels(t)))
 
 
-@query("c5_perimeter", "select p_partkey as image_id, 20 as x1, 20 as y1, 100 as x2, 100 as y2 from part where p_partkey < 20", FEW)
+@query("c5_perimeter", "select p_partkey as image_id, 20 as x1, 20 as y1, 100 as x2, 100 as y2 from part")
 def _(t):
     return v.perimeter(v.line_runs(_pixels(t)))
 
 
-@query("c6_rooms")
+def _images(t):
+    """The same outlines on images of 140 x 140, a row each."""
+    a = F.expr("65 + p_size % 5")
+    parts = t.part.select(F.col("p_partkey").alias("image_id"), F.lit(140).alias("width"), a.alias("a"))
+    return parts.select("image_id", "width", F.expr("transform(sequence(0, 140 * 140 - 1), i -> if((i % 140 in (10, 110) or i % 140 = a) and i div 140 between 10 and 110 or i div 140 in (10, 110) and i % 140 between 10 and 110, 0, 255))").alias("pixels"))
+
+
+ROOMS = """select p_partkey as image_id, cast(1 as bigint) as room, cast(11 as bigint) as x1, cast(11 as bigint) as y1, m - 1 as x2, cast(109 as bigint) as y2, (m - 11) * 99 as area from (select p_partkey, cast(65 + p_size % 5 as bigint) as m from part)
+  union all select p_partkey, 2, m + 1, 11, 109, 109, (109 - m) * 99 from (select p_partkey, cast(65 + p_size % 5 as bigint) as m from part)"""
+
+
+@query("c6_rooms", ROOMS)
+def _(t):
+    return v.rooms(_images(t)).drop("points")
+
+
+@query("c7_contours", f"select image_id, room, concat_ws(';', cast(x1 as string) || ',11', cast(x2 as string) || ',11', cast(x2 as string) || ',109', cast(x1 as string) || ',109', cast(x1 as string) || ',12') as vertices from ({ROOMS})")
+def _(t):
+    pairs = F.transform(F.sequence(F.lit(0), F.size("points") - 2, F.lit(2)), lambda i: F.concat_ws(",", F.get("points", i).cast("string"), F.get("points", i + 1).cast("string")))
+    return v.rooms(_images(t)).select("image_id", "room", F.array_join(pairs, ";").alias("vertices"))
+
+
+@query("c8_interior_rooms", f"select image_id, room, x1, x2 from ({ROOMS}) r join part p on r.image_id = p.p_partkey where p_partkey % 3 = 0 or p_partkey % 3 = 1 and room = 1")
+def _(t):
+    """Outlines: none for every third image, the left half for the next, an empty corner for the others."""
+    k = F.col("p_partkey") % 3
+    outlines = t.part.where(k > 0).select(F.col("p_partkey").alias("image_id"), F.lit(12).alias("x1"), F.lit(20).alias("y1"), F.when(k == 1, 70).otherwise(14).alias("x2"), F.lit(100).alias("y2"))
+    return v.rooms(_images(t), outlines).select("image_id", "room", "x1", "x2")
+
+
+@query("c1_preprocessed", "select p_partkey, case when floor(0.2126 * (p_size * 5) + 0.7152 * (p_partkey % 256) + 0.0722 * (p_size % 7 * 30)) > 127 then 255 else 0 end as v from part")
+def _(t):
+    return t.part.select("p_partkey", v.preprocessed(F.col("p_size") * 5, F.col("p_partkey") % 256, F.col("p_size") % 7 * 30).alias("v"))
+
+
+@query("c4_thickness")
 def _(t):
-    return v.rooms(_pixels(t))
+    kind = F.when(F.col("flag") == "A", "horizontal").otherwise("vertical")
+    lines = t.fx_boxes.select(F.col("result_id").alias("image_id"), kind.alias("orientation"), (F.col("y") % 60).alias("at"), (F.col("x") % 200).alias("first"), (F.col("x") % 200 + F.col("w") * 8).alias("last"), (F.col("w") * 8).alias("length"))
+    return v.thickness(lines)

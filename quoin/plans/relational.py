@@ -79,7 +79,7 @@ def _(t):
     return t.fx_boxes.select("result_id", "bbox_index", F.coalesce(F.col("conf_pct") < 85, F.lit(False)).alias("low"))
 
 
-@query("p22_complete_inputs", "select doc_id from fx_text where trim(truth) <> '' and trim(raw_text) <> ''", PREFIXES)
+@query("p22_complete_inputs", "select doc_id from fx_full where trim(truth) <> '' and trim(raw_text) <> ''")
 def _(t):
     return t.texts.where((F.trim("truth") != "") & (F.trim("raw_text") != "")).select("doc_id")
 
@@ -212,22 +212,22 @@ def _(t):
     return both.groupBy("result_id").agg(F.count("*").alias("n"), F.count_distinct("pool").alias("pools"))
 
 
-@query("u3_missed_words", "select doc_id, len(list_filter(list_distinct(string_split(truth, ' ')), lambda x: not list_contains(string_split(raw_text, ' '), x))) as n_missed from fx_text", PREFIXES)
+@query("u3_missed_words", "select doc_id, len(list_filter(list_distinct(string_split(truth, ' ')), lambda x: not list_contains(string_split(raw_text, ' '), x))) as n_missed from fx_full")
 def _(t):
     gone = F.array_except(F.split("truth", " "), F.split("raw_text", " "))
     return t.texts.select("doc_id", F.size(gone).cast("long").alias("n_missed"))
 
 
-@query("u4_shared_characters", "select doc_id, len(list_intersect(list_distinct(string_split(truth, '')), list_distinct(string_split(raw_text, '')))) as n_shared from fx_text", PREFIXES)
+@query("u4_shared_characters", "select doc_id, len(list_intersect(list_distinct(string_split(truth, '')), list_distinct(string_split(raw_text, '')))) as n_shared from fx_full")
 def _(t):
     from ..functions.text import chars
 
     return t.texts.select("doc_id", F.size(F.array_intersect(chars("truth"), chars("raw_text"))).cast("long").alias("n_shared"))
 
 
-@query("u5_character_multisets", """with a as (select doc_id, c, count(*) n from (select doc_id, unnest(string_split(truth, '')) c from fx_text) group by all),
-  b as (select doc_id, c, count(*) n from (select doc_id, unnest(string_split(raw_text, '')) c from fx_text) group by all)
-  select doc_id, c as character, coalesce(a.n, 0) - coalesce(b.n, 0) as missing from a full outer join b using (doc_id, c) where coalesce(a.n, 0) <> coalesce(b.n, 0)""", PREFIXES)
+@query("u5_character_multisets", """with a as (select doc_id, c, count(*) n from (select doc_id, unnest(string_split(truth, '')) c from fx_full) group by all),
+  b as (select doc_id, c, count(*) n from (select doc_id, unnest(string_split(raw_text, '')) c from fx_full) group by all)
+  select doc_id, c as character, coalesce(a.n, 0) - coalesce(b.n, 0) as missing from a full outer join b using (doc_id, c) where coalesce(a.n, 0) <> coalesce(b.n, 0)""")
 def _(t):
     from ..functions.text import chars
 

@@ -34,22 +34,22 @@ def _(t):
     return t.texts.select("doc_id", d.js_round(x.error_rate("raw_text", "truth"), 4).alias("rate"))
 
 
-@query("f4_position_accuracy", "select doc_id, floor(len(list_filter(range(1, length(truth) + 1), lambda i: truth[i] = raw_text[i])) * 100.0 / length(truth) * 10000 + 0.5) / 10000 as accuracy from fx_text where length(truth) > 0", PREFIXES)
+@query("f4_position_accuracy", "select doc_id, floor(len(list_filter(list_zip(string_split(truth, ''), string_split(raw_text, '')), lambda z: z[1] = z[2])) * 100.0 / length(truth) * 10000 + 0.5) / 10000 as accuracy from fx_full where length(truth) > 0")
 def _(t):
     return t.texts.where(F.length("truth") > 0).select("doc_id", d.js_round(x.position_accuracy("raw_text", "truth"), 4).alias("accuracy"))
 
 
-@query("f5_coverage", "select doc_id, floor(len(list_intersect(list_distinct(string_split(truth, '')), list_distinct(string_split(raw_text, '')))) * 100.0 / len(list_distinct(string_split(truth, ''))) * 10000 + 0.5) / 10000 as coverage from fx_text where length(truth) > 0", PREFIXES)
+@query("f5_coverage", "select doc_id, floor(len(list_intersect(list_distinct(string_split(truth, '')), list_distinct(string_split(raw_text, '')))) * 100.0 / len(list_distinct(string_split(truth, ''))) * 10000 + 0.5) / 10000 as coverage from fx_full where length(truth) > 0")
 def _(t):
     return t.texts.where(F.length("truth") > 0).select("doc_id", d.js_round(x.charset_coverage("raw_text", "truth"), 4).alias("coverage"))
 
 
-@query("f6_counts", "select doc_id, length(raw_text) = length(truth) as same, length(raw_text) - length(truth) as difference from fx_text", PREFIXES)
+@query("f6_counts", "select doc_id, length(raw_text) = length(truth) as same, length(raw_text) - length(truth) as difference from fx_full")
 def _(t):
     return t.texts.select("doc_id", (F.length("raw_text") == F.length("truth")).alias("same"), (F.length("raw_text") - F.length("truth")).cast("long").alias("difference"))
 
 
-@query("f7_sorted_form", "select doc_id, array_to_string(list_sort(string_split(regexp_replace(truth, '\\s', '', 'g'), '')), '') as form from fx_text", PREFIXES)
+@query("f7_sorted_form", "select doc_id, array_to_string(list_sort(string_split(regexp_replace(truth, '\\s', '', 'g'), '')), '') as form from fx_full")
 def _(t):
     return t.texts.select("doc_id", x.sorted_form("truth").alias("form"))
 
@@ -63,17 +63,28 @@ def _(t):
     return rows.where("n > 0").select("doc_id", d.js_round("r", 4).alias("rate"))
 
 
-@query("f9_commentary", "select conv_id, turn, trim(text, ' ' || chr(10) || chr(9) || chr(13)) as cleaned, true as had_commentary from conversations where text not like '%```%' and not regexp_matches(text, '^\\s*(?i)(here|i found|based|the|extracted|text|ocr)') and not regexp_matches(text, '(?i)note:')")
+PREAMBLES = ["", "Here is the extracted text: ", "HERE IS WHAT I EXTRACTED ", "I found the following text:", "Based on the image, ", "The extracted text is:", "extracted text ", "Text from the image:", "OCR results:"]
+TRAILERS = ["", "\n\nNote: a\nb", "\nPlease note: c", "\n**NOTE: d"]
+
+
+@query("f9_commentary", """select p_partkey, p_name as cleaned, p_partkey % 9 > 0 or p_partkey % 4 > 0 or p_partkey % 11 = 0 as had_commentary, concat_ws('|', case when p_partkey % 11 = 0 then 'markdown code block' end, case p_partkey % 9 when 1 then 'Here is...' when 2 then 'Here is what...' when 3 then 'I found...' when 4 then 'Based on...' when 5 then 'The extracted...' when 6 then 'Extracted text:' when 7 then 'Text from image:' when 8 then 'OCR result:' end,
+  case p_partkey % 4 when 1 then 'trailing Note:' when 2 then 'trailing Please note:' when 3 then 'trailing **Note:' end) as removed from part""")
 def _(t):
-    rows = t.fx_llm.where(~F.contains("text", F.lit("```")) & ~F.col("text").rlike(r"^\s*(?i)(here|i found|based|the|extracted|text|ocr)") & ~F.col("text").rlike("(?i)note:"))
-    c = x.without_commentary("answer")
-    return rows.select("conv_id", "turn", c["cleaned"].alias("cleaned"), c["had_commentary"].alias("had_commentary"))
+    at = lambda items, n: F.get(F.array(*map(F.lit, items)), (F.col("p_partkey") % n).cast("int"))
+    body = F.concat(at(PREAMBLES, 9), "p_name", at(TRAILERS, 4))
+    answer = F.when(F.col("p_partkey") % 11 == 0, F.concat(F.lit(" ```text\n"), body, F.lit("\n``` "))).otherwise(F.concat(F.lit("\n"), body, F.lit("  ")))
+    rows = t.part.select("p_partkey", x.without_commentary(answer).alias("c"))
+    return rows.select("p_partkey", "c.cleaned", "c.had_commentary", F.array_join("c.removed", "|").alias("removed"))
+
+
+STARTS = ["", "Here  is the extracted text: ", "EXTRACTED TEXT ", "the text in the image is: ", "Text found:", "OCR result ", "I found the following text:", "以下のテキストを抽出しました: ", "テキスト："]
+ENDS = ["", " Is this helpful?", " let me know if it is not.", " Anything else?"]
 
 
-@query("f10_openers", "select conv_id, turn, trim(text, ' ' || chr(10) || chr(9) || chr(13)) as cleaned from conversations where not regexp_matches(text, '(?i)(helpful|let me|anything|^\\s*(here|extracted|the|text|ocr|i found))')")
+@query("f10_openers", "select p_partkey, case when p_partkey % 9 = 8 then concat('：', p_name) else p_name end as cleaned from part")
 def _(t):
-    rows = t.conversations.where(~F.col("text").rlike(r"(?i)(helpful|let me|anything|^\s*(here|extracted|the|text|ocr|i found))"))
-    return rows.select("conv_id", "turn", x.without_openers(F.concat(F.lit("OCR result: "), "text")).alias("cleaned"))
+    at = lambda items, n: F.get(F.array(*map(F.lit, items)), (F.col("p_partkey") % n).cast("int"))
+    return t.part.select("p_partkey", x.without_openers(F.concat(at(STARTS, 9), "p_name", at(ENDS, 4))).alias("cleaned"))
 
 
 @query("f11_coordinates", "select result_id, bbox_index, text, x / 10.0 as xleft, y / 10.0 as ytop from fx_boxes where x <= 1000 and y <= 1000 and w / 10.0 <= 100 and w > 0 and h > 0")
@@ -96,12 +107,12 @@ def _(t):
     return t.fx_boxes.select("result_id", "bbox_index", p.stated_confidence(answer).alias("confidence"))
 
 
-@query("f17_words", "select doc_id, len(list_filter(regexp_split_to_array(truth, '(\\s|[、。，．！？])+'), lambda w: w <> '')) as n from fx_text", PREFIXES)
+@query("f17_words", "select doc_id, len(list_filter(regexp_split_to_array(truth, '(\\s|[、。，．！？])+'), lambda w: w <> '')) as n from fx_full")
 def _(t):
     return t.texts.select("doc_id", F.size(x.words("truth")).cast("long").alias("n"))
 
 
-@query("f16_blocks", "select doc_id, len(regexp_extract_all(concat('x \"', replace(replace(replace(truth, chr(39), ''), '\"', ''), '「', ''), '\" y'), '\"([^\"]+)\"', 1)) as n from fx_text where truth <> ''", PREFIXES)
+@query("f16_blocks", "select doc_id, len(regexp_extract_all(concat('x \"', replace(replace(replace(truth, chr(39), ''), '\"', ''), '「', ''), '\" y'), '\"([^\"]+)\"', 1)) as n from fx_full where truth <> ''")
 def _(t):
     plain = F.replace(F.replace(F.replace("truth", F.lit("'"), F.lit("")), F.lit('"'), F.lit("")), F.lit("「"), F.lit(""))
     return t.texts.where("truth <> ''").select("doc_id", F.size(x.text_blocks(F.concat(F.lit('x "'), plain, F.lit('" y')))).cast("long").alias("n"))
@@ -166,7 +177,8 @@ def _(t):
     return t.pages.select("page_id", F.md5(x.html_escaped("html")).alias("digest"))
 
 
-@query("f38_durations", "select result_id, case when time_ms < 1000 then concat(cast(time_ms as string), 'ms') when time_ms < 60000 then printf('%.2fs', time_ms / 1000.0) else concat(cast(time_ms // 60000 as string), 'm ', cast(cast(floor((time_ms % 60000) / 1000.0 + 0.5) as int) as string), 's') end as shown from fx_results where time_ms % 10 <> 5", {"fx_results": lambda t: t.fx_results.where("time_ms % 10 <> 5")})
+@query("f38_durations", """select result_id, case when time_ms < 1000 then concat(cast(time_ms as string), 'ms') when time_ms < 60000 then printf('%.2fs', time_ms / 1000.0 + case when time_ms % 125 = 0 and time_ms % 10 = 5 then 0.001 else 0 end)
+  else concat(cast(time_ms // 60000 as string), 'm ', cast(cast(floor((time_ms % 60000) / 1000.0 + 0.5) as int) as string), 's') end as shown from fx_results""")
 def _(t):
     return t.fx_results.select("result_id", l.duration("time_ms").alias("shown"))
 
@@ -198,10 +210,13 @@ def _(t):
     return t.nation.select(F.col("n_nationkey").alias("k"), l.feet_factor(unit).alias("factor"))
 
 
-@query("f19_character_differences")
+@query("f19_character_differences", """with c as (select doc_id, string_split(truth, '') as w, string_split(raw_text, '') as g, greatest(length(truth), length(raw_text)) as n from fx_full where truth is not null),
+  s as (select *, case when n > 10000 then cast(ceil(n / 1000.0) as bigint) else 1 end as step, case when n > 10000 then 50 else 100 end as most from c where n > 0), i as (select *, unnest(range(0, n, step)) as position from s),
+  d as (select doc_id, most, position, coalesce(nullif(w[position + 1], ''), '(end)') as want, coalesce(nullif(g[position + 1], ''), '(end)') as got from i)
+  select doc_id, cast(position as bigint) as position, want, got from (select *, row_number() over (partition by doc_id order by position) as rn from d where want <> got) where rn <= most""")
 def _(t):
     rows = t.texts.select("doc_id", F.explode(x.character_differences("raw_text", "truth")).alias("c"))
-    return rows.select("doc_id", "c.position", "c.want", "c.got")
+    return rows.select("doc_id", F.col("c.position").cast("long").alias("position"), "c.want", "c.got")
 
 
 @query("q3_retry_seconds", "select event_id, cast(event_id % 60 as double) as seconds from events")

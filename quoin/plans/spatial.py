@@ -87,13 +87,13 @@ def _(t):
 NO_EDGE = {"fx_boxes": lambda t: t.fx_boxes.where("500 <> x and 500 <> x + w * 20 and 400 <> y and 400 <> y + h * 20")}
 
 
-@query("g11_inside", "select result_id, bbox_index, 500 > x and 500 <= x + w * 20 and 400 >= y and 400 < y + h * 20 as inside from fx_boxes where 500 <> x and 500 <> x + w * 20 and 400 <> y and 400 <> y + h * 20", NO_EDGE)
+@query("g11_inside", "select result_id, bbox_index, 500 >= x and 500 < x + w * 20 and 400 >= y and 400 < y + h * 20 as inside from fx_boxes")
 def _(t):
     box = g.rectangle("x", "y", F.col("w") * 20, F.col("h") * 20)
     return t.fx_boxes.select("result_id", "bbox_index", g.inside(F.lit(500.0), F.lit(400.0), box).alias("inside"))
 
 
-@query("g12_topmost", "select result_id, max(bbox_index) as bbox_index from fx_boxes where 500 > x and 500 < x + w * 20 and 400 > y and 400 < y + h * 20 group by result_id", NO_EDGE)
+@query("g12_topmost", "select result_id, max(bbox_index) as bbox_index from fx_boxes where 500 >= x and 500 < x + w * 20 and 400 >= y and 400 < y + h * 20 group by result_id")
 def _(t):
     box = g.rectangle("x", "y", F.col("w") * 20, F.col("h") * 20)
     return t.fx_boxes.where(g.inside(F.lit(500.0), F.lit(400.0), box)).groupBy("result_id").agg(F.max("bbox_index").alias("bbox_index"))
@@ -191,19 +191,19 @@ def _(t):
 FLAGS = "true as has_coordinates, x2 - x1 > 30 as has_length, dimension_text <> '' as has_text, object_id % 2 = 0 as has_thickness, sub_type is not null as has_height, label <> '' as has_level"
 
 
-def _flags(t):
+def flags(t):
     return t.fx_objects.selectExpr("result_id", "object_id", "object_type", *FLAGS.split(", "))
 
 
 @query("v2_completeness", f"select object_type, count(*) as n, floor(avg((3.0 + case when has_length then 2 else 0 end + case when has_text then 2 else 0 end + case when has_thickness then 1.5 else 0 end + case when has_height then 1.5 else 0 end + case when has_level then 1 else 0 end) / 11.0 * 100) * 10000 + 0.5) / 10000 as completeness from (select object_type, {FLAGS} from fx_objects) group by object_type")
 def _(t):
-    return _flags(t).groupBy("object_type").agg(F.count("*").alias("n"), d.js_round(F.avg(c.completeness()), 4).alias("completeness"))
+    return flags(t).groupBy("object_type").agg(F.count("*").alias("n"), d.js_round(F.avg(c.completeness()), 4).alias("completeness"))
 
 
 @query("v3_issues", f"""with f as (select object_type, {FLAGS} from fx_objects) select 'warning' as severity, 'wall without length or text' as message, count(*) as n from f where object_type = 'wall' and not has_length and not has_text having count(*) > 0
   union all select 'info', 'wall without thickness', count(*) from f where object_type = 'wall' and not has_thickness having count(*) > 0""")
 def _(t):
-    return _flags(t).select(F.explode(c.issues()).alias("i")).groupBy("i.severity", "i.message").agg(F.count("*").alias("n"))
+    return flags(t).select(F.explode(c.issues()).alias("i")).groupBy("i.severity", "i.message").agg(F.count("*").alias("n"))
 
 
 @query("v4_defaults", "select result_id, object_id, case when object_type = 'wall' then 150 else 0 end as thickness, case when h = 0 then case object_type when 'wall' then 3000 when 'door' then 2100 when 'window' then 1200 else 0 end else h end as height from (select *, (y2 - y1) % 2 as h from fx_objects)")
@@ -214,7 +214,10 @@ def _(t):
     return t.fx_objects.select("result_id", "object_id", F.when(kind == "wall", 150).otherwise(0).alias("thickness"), F.when(h == 0, usual).otherwise(h).alias("height"))
 
 
-@query("o4_reading_order")
+@query("o4_reading_order", """with recursive s as (select result_id, bbox_index, x, y, row_number() over (partition by result_id order by y, x, bbox_index) as rn from fx_boxes),
+  r as (select result_id, bbox_index, x, rn, y as top, 0 as line from s where rn = 1 union all
+    select s.result_id, s.bbox_index, s.x, s.rn, case when s.y - r.top >= 20 then s.y else r.top end, r.line + case when s.y - r.top >= 20 then 1 else 0 end from r join s on s.result_id = r.result_id and s.rn = r.rn + 1)
+  select result_id, bbox_index, line, row_number() over (partition by result_id order by line, x, bbox_index) - 1 as place from r""")
 def _(t):
     return s.line_order(t.fx_boxes.select("result_id", "bbox_index", "x", "y"), "result_id", "bbox_index")
 

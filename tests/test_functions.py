@@ -173,12 +173,39 @@ def test_scaling(spark):
 def test_raster():
     grid = np.full((120, 120), 255)
     grid[20, 20:81] = grid[80, 20:81] = grid[20:81, 20] = grid[20:81, 80] = 0
-    found = raster.flooded(grid)
-    assert [(r["x1"], r["y1"], r["x2"], r["y2"]) for r in found] == [(21, 21, 79, 79)]
+    found = raster.found_rooms(grid)
+    assert [(r["x1"], r["y1"], r["x2"], r["y2"], r["area"], r["points"]) for r in found] == [(21, 21, 79, 79, 59 * 59, [21, 21, 79, 21, 79, 79, 21, 79, 21, 22])]
+    assert raster.found_rooms(grid, [(90, 90), (100, 90), (100, 100)]) == [] != raster.found_rooms(grid, [(40, 40), (60, 40), (60, 60), (40, 60)])
     line = np.array([[0, 0], [5, 1], [10, 0], [10, 10]], float)
     assert raster.simplified(line).tolist() == [[0, 0], [10, 0], [10, 10]]
 
 
+def test_regions_equal_a_walk_over_pixels():
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        grid = np.where(rng.random((60, 50)) < 0.62, 255, 0)
+        want, seen = [], np.zeros(grid.shape, bool)
+        for y in range(10, 50, 10):
+            for x in range(10, 40, 10):
+                if grid[y, x] > 128 and not seen[y, x]:
+                    want.append(raster._walked(grid > 128, seen, y, x, 10**6))
+                    seen |= want[-1]
+        for cap in (10**6, 0 + 1):
+            found = list(raster.regions(grid, cap=cap))
+            if cap > 1:
+                assert len(found) == len(want) and all((a == b).all() for a, b in zip(found, want))
+            else:
+                assert all(m.sum() == 1 for m in found)
+
+
+def test_ordered_thickness_is_overwritten(spark):
+    """The second line gets its distance from the first and looks no further; the last one counts for the first."""
+    rows = [(1, "horizontal", 10, 0, 100), (1, "horizontal", 15, 0, 100), (1, "horizontal", 32, 0, 100), (1, "vertical", 12, 0, 100), (2, "horizontal", 12, 0, 100)]
+    lines = spark.createDataFrame([(*r, 101) for r in rows], "image_id long, orientation string, at long, first long, last long, length long")
+    got = {(r.image_id, r.orientation, r["at"]): r.thickness for r in raster.thickness(lines).collect()}
+    assert got == {(1, "horizontal", 10): 22, (1, "horizontal", 15): 5, (1, "horizontal", 32): 22, (1, "vertical", 12): 1, (2, "horizontal", 12): 1}
+
+
 @pytest.mark.parametrize("n,runs,walls", [(49, 0, 0), (50, 1, 0), (99, 1, 0), (100, 1, 1)])
 def test_line_lengths(spark, n, runs, walls):
     lines = raster.line_runs(spark.createDataFrame([(1, x, 4, 0) for x in range(n)], "image_id long, x long, y long, v long"))
@@ -186,7 +213,7 @@ def test_line_lengths(spark, n, runs, walls):
 
 
 def test_wall_thickness(spark):
-    lines = spark.createDataFrame([(1, "horizontal", 10, 0, 100), (1, "horizontal", 18, 50, 150), (1, "horizontal", 60, 0, 100)], "image_id long, orientation string, at long, first long, last long")
+    lines = spark.createDataFrame([(1, "horizontal", 10, 0, 100, 101), (1, "horizontal", 18, 50, 150, 101), (1, "horizontal", 60, 0, 100, 101)], "image_id long, orientation string, at long, first long, last long, length long")
     assert {r.at: r.thickness for r in raster.thickness(lines).collect()} == {10: 8, 18: 8, 60: 1}
 
 
@@ -206,6 +233,49 @@ def test_readers(spark, tmp_path):
     assert (got.text, got.page, [tuple(p) for p in got.bounds]) == ("w", 1, [(1.0, 2.0), (3.0, 4.0)])
     answer = json.dumps({"text": "hello world", "pages": [{"tokens": [{"layout": {"confidence": 1, "textAnchor": {"textSegments": [{"endIndex": 5}, {"startIndex": 6, "endIndex": 8}]}}}]}]})
     assert readers.anchored_tokens(spark.createDataFrame([(answer,)], "answer string")).first().text == "hellowo"
+    frame = lambda body: spark.createDataFrame([(json.dumps(body),)], "answer string")
+    corners = {"normalizedVertices": [{"x": 0.5, "y": 0.25}]}
+    body = {"text": "ab", "pages": [{"dimension": {"width": 200, "height": 400}, "tokens": [{"layout": {"boundingPoly": corners, "textAnchor": {"textSegments": [{"endIndex": 2}]}}}]}]}
+    assert [tuple(v) for v in readers.anchored_tokens(frame(body)).first().bounds] == [(100.0, 100.0)]
+    paragraph = lambda *w: {"words": [{"symbols": [{"text": c} for c in x]} for x in w]}
+    got = readers.block_boxes(frame({"pages": [{"blocks": [{"confidence": 0.7, "paragraphs": [paragraph("AB", "C"), paragraph("D")]}]}]})).first()
+    assert (got.text, got.confidence, got.page) == ("AB C\nD", 0.7, 1)
+    got = readers.line_boxes(frame({"pages": [{"pageNumber": 3, "lines": [{"content": "l", "polygon": [1, 2]}]}]})).first()
+    assert (got.text, got.page, got.confidence) == ("l", 3, None)
+    cells = [{"rowIndex": 0, "columnIndex": 1, "content": "x"}]
+    got = readers.table_cells(frame({"tables": [{"rowCount": 1, "columnCount": 2, "cells": cells}]})).first()
+    assert (got.table, got.row, got.column, got.text) == (0, 0, 1, "x")
+    pairs = [{"key": {"content": "k"}, "value": {"content": "v"}}, {"key": {"content": "k"}, "value": None}, {"key": {"content": "k"}}]
+    assert [(r.key, r.value) for r in readers.key_values(frame({"keyValuePairs": pairs})).collect()] == [("k", "v")]
+    (tmp_path / "a-metadata.json").write_text(json.dumps({"groundTruth": {"fullTextFile": "t.txt"}, "fullText": "whole"}))
+    got = readers.side_cars(spark, f"file://{tmp_path}").first()
+    assert (got.base, got.full_text, got.full_text_file) == ("a", "whole", "t.txt")
+
+
+def test_accuracy_records(spark):
+    from quoin.functions import records
+
+    pairs = [("the cat", "the hat"), ("", "ab c"), ("same", "same"), ("", ""), ("ＡＢ x", "AB x"), ("xb " * 4000, "abc" * 4000), (None, "x")]
+    rows = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "id int, got string, want string")
+    have = {r.id: r.record for r in records.accuracy_records(rows, "got", "want").collect()}
+    assert (have[0].distance, have[0].error_rate, have[0].order_free_distance, have[0].character_accuracy) == (1, 0.1429, 2, 85.71)
+    assert [(d.position, d.want, d.got) for d in have[0].differences] == [(4, "h", "c")]
+    assert (have[1].error_rate, have[1].order_free_accuracy, have[1].coverage, have[1].same_count) == (1.0, 0.0, 0.0, False)
+    assert have[2].summary.splitlines()[-1] == "Perfect match!" and have[2].order_free_accuracy == 100.0
+    assert (have[3].error_rate, have[3].order_free_error_rate, have[3].character_accuracy) == (0.0, 0.0, 100.0)
+    assert have[4].distance == 0 and have[4].summary.splitlines()[0] == "Position-Sensitive Accuracy: 100.00%"
+    assert len(have[5].differences) == 50 and have[5].summary.splitlines()[-1] == "Note: Large text detected (12000 chars) - using memory-efficient sampling mode"
+    assert have[5].summary.splitlines()[-2] == "Found 50+ character differences"
+
+
+def test_character_analysis(spark):
+    from quoin.functions import records
+
+    got = value(spark, records.character_analysis("a", "b"), a="ab zz", b="abc cc xa、cab")
+    assert got.missing_words == ["cc"]
+    assert [(m.character, m["count"], m.source_words) for m in got.missing_characters] == [("a", 2, ["abc", "xa", "cab"]), ("b", 1, ["abc", "cab"]), ("c", 4, ["abc", "cab"]), ("x", 1, ["xa"])]
+    assert [(e.character, e["count"]) for e in got.extra_characters] == [("z", 2)]
+    assert (got.missing_total, got.extra_total) == (8, 2)
 
 
 def test_exports(spark, tmp_path):
