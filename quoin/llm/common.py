@@ -235,5 +235,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        cur = materialize(_contracted(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct()), "cc")
+        edges = small.unionByName(low.select("a", F.col("m").alias("b"))).distinct()
+        # fewer edges meet in fewer partitions, of about as many edges each, and contract further there
+        cur = materialize(_contracted(edges.coalesce(8 + sign[0] // 50_000)), "cc")
         discard(before)

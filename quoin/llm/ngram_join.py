@@ -395,30 +395,39 @@ def _unpacked(cls: bytes, comp: bytes, lengths: bytes, keys: bytes):
     return np.frombuffer(cls, np.int64), np.frombuffer(comp, np.int64), np.split(np.frombuffer(keys, np.uint64), ends[:-1])
 
 
-def _tile(a, b, same: bool, percent: int) -> list[tuple[int, int]]:
-    up: dict[int, int] = {}
+SPREAD = 256
+
+
+def _spread(sets: list[np.ndarray]) -> np.ndarray:
+    """How many keys of each set fall in each of ``SPREAD`` buckets."""
+    return np.stack([np.bincount((mix(s) % U(SPREAD)).astype(np.int64), minlength=SPREAD) for s in sets]).astype(np.int32)
 
-    def root(x: int) -> int:
-        while (y := up.get(x, x)) != x:
-            up[x] = up.get(y, y)
-            x = y
-        return x
 
-    out = []
+def _tile(a, b, same: bool, percent: int) -> list[tuple[int, int]]:
+    """A forest of links between the components of two blocks. Sets whose buckets cannot share enough keys (the
+    sum of the smaller counts bounds the overlap from above) are left out of a query's walk."""
     (cls_a, comp_a, sets_a), (cls_b, comp_b, sets_b) = a, b
-    tree = PrefixTree(sets_b)
+    comp_a, comp_b = comp_a.copy(), comp_b.copy()
+    spread_a, spread_b = _spread(sets_a), _spread(sets_b)
+    size_b = np.array([len(s) for s in sets_b])
+    tree, out = PrefixTree(sets_b), []
     for i, query in enumerate(sets_a):
-        own = root(int(comp_a[i]))
-        among = [(j > i or not same) and root(int(comp_b[j])) != own for j in range(len(sets_b))]
-        if not any(among):
+        among = (comp_b != comp_a[i]) & (np.arange(len(sets_b)) > (i if same else -1))
+        if not among.any():
+            continue
+        want = -(-percent * (len(query) + size_b) // (100 + percent))
+        among &= np.minimum(spread_b, spread_a[i]).sum(1) >= want
+        if not among.any():
             continue
-        for j in tree.links(query, percent, among):
-            x, y = root(int(comp_a[i])), root(int(comp_b[j]))
+        for j in tree.links(query, percent, among.tolist()):
+            x, y = comp_a[i], comp_b[j]
             if x != y:
-                up[max(x, y)] = min(x, y)
+                low, high = min(x, y), max(x, y)
+                comp_a[comp_a == high] = low
+                comp_b[comp_b == high] = low
                 out.append((int(cls_a[i]), int(cls_b[j])))
     return out
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(table(spark, sf_dir, "documents"), n=4, percent=85)
+    return jaccard_components(table(spark, sf_dir, "documents"), n=4, percent=85).drop("row_key")

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import classifier, licenses, ngram_join, packing, pieces, rules, suffixes, vectors, warc, wavelet
+from .oracles import ORACLE  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_shards": wavelet.op8_token_shards,
@@ -20,6 +21,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_jaccard": ngram_join.op2_ngram_jaccard,
     "op9_suffix_dedup": suffixes.op9_suffix_dedup,
 }
-ORACLE: dict[str, str] = {
-    "op5_warc_bundles": warc.OP5_SQL,
-}

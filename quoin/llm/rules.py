@@ -134,4 +134,4 @@ def judge(docs: DataFrame, labels: DataFrame, alpha: float = 0.03, delta: float
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("row_key")
