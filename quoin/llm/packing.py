@@ -240,7 +240,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, path:
     firsts = counts.withColumn("first", F.coalesce(F.sum("count").over(before), F.lit(0)))
 
     def place(table: pa.Table, own: pa.Table) -> pa.Table:
-        first = dict(zip(own.column("length").to_pylist(), own.column("first").to_pylist()))
+        first = dict(zip(own.column("size").to_pylist(), own.column("first").to_pylist()))
         length = table.column("length").to_numpy()
         seq, off = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
         order = np.argsort(length, kind="stable")
@@ -253,7 +253,9 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, path:
             seq[where], off[where] = seqs[run] + rank - begin[run], offs[run]
         return table.drop_columns(["task"]).append_column("sequence_id", pa.array(seq)).append_column("offset", pa.array(off))
 
-    by_task = made.groupBy("task").cogroup(firsts.select("task", "length", "first").groupBy("task"))
+    # other names than on the left: a column that both sides have from one table can be lost in a cogroup
+    firsts = firsts.select(F.col("task").alias("own_task"), F.col("length").alias("size"), "first")
+    by_task = made.groupBy("task").cogroup(firsts.groupBy("own_task"))
     return by_task.applyInArrow(place, PIECE + ", sequence_id long, offset long")
 
 
