@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+from collections import ChainMap
 
 import public_tokenizers
 import pyarrow as pa
@@ -154,9 +155,10 @@ class PrefixTable:
                 ids = ids[1:]
             else:
                 n -= 1
-            if n not in self.runs:
-                self.runs[n] = [self.id[p] for p in self.merge(MARK * n)]
-            ids = self.runs[n] + ids
+            run = self.runs.get(n) or [self.id[p] for p in self.merge(MARK * n)]
+            if n <= 1024:  # longer runs of spaces are rare and not kept
+                self.runs[n] = run
+            ids = run + ids
         return ids
 
     def chunks(self, text: str) -> list[str]:
@@ -201,19 +203,23 @@ class PrefixTable:
         parts = self.chunks(text)
         kept = self.kept
         out = list(map(kept.get, parts))
+        odd = self.odd
         if None in out:
-            found = {}
+            found, strange = {}, {}
             for p in {p for p, v in zip(parts, out) if v is None}:
                 ids = self._spaced(p) if p[:1] == " " else self._word(p)
                 found[p] = ",".join(map(str, ids)).encode()
                 back = self.decode(ids)
                 if back != (p[1:] if p[:1] == " " else p):
-                    self.odd[p] = back
+                    strange[p] = back
             out = [found[p] if v is None else v for p, v in zip(parts, out)]
             if len(kept) < self.limit:
                 kept.update((p, v) for p, v in found.items() if len(p) <= 48)
-        if self.odd and any(p in self.odd for p in parts):
-            back = " ".join(self.odd.get(p, p[1:] if p[:1] == " " else p) for p in parts)
+                self.odd.update((p, v) for p, v in strange.items() if len(p) <= 48)
+            if strange:
+                odd = ChainMap(strange, self.odd)
+        if odd and any(p in odd for p in parts):
+            back = " ".join(odd.get(p, p[1:] if p[:1] == " " else p) for p in parts)
         else:
             back = text.replace(MARK, " ")
         joined = b",".join(out)

@@ -155,7 +155,7 @@ def write_shards(docs: DataFrame, folder: str, path: str | None = None, bits: in
     alone; null ids come first, in a file too (as the least long); equal ids keep all their rows; an
     empty table gives no shard. Returns the manifest (part, seq, uri, n_tokens, n_docs): only files in
     it belong to the result, so repeated task attempts do no harm. A task holds about ``shard_tokens``
-    ids at once, besides one document.
+    ids at once, besides one document. An id of more than ``bits`` bits is an error.
     """
     spark = docs.sparkSession
     least = -(2**63)
@@ -176,6 +176,8 @@ def write_shards(docs: DataFrame, folder: str, path: str | None = None, bits: in
         for batch in batches:
             for name, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
                 got = np.append(enc.encode(text.as_py() or ""), np.uint32(END_ID))
+                if int(got.max()) >> bits:
+                    raise ValueError(f"id {got.max()} has more than {bits} bits")
                 ids.append(got.astype(np.uint16 if bits <= 16 else np.uint32))
                 lengths.append(len(got))
                 names.append(least if name is None else name)
@@ -197,7 +199,10 @@ def read_shards(manifest: DataFrame) -> DataFrame:
 
     from pyspark.sql import Window as W
 
-    based = manifest.withColumn("base", F.coalesce(F.sum("n_tokens").over(W.orderBy("part", "seq").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    before = lambda w: F.coalesce(F.sum("n_tokens").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    # the order of all files is that of parts, of which there are as many as range partitions, then of files within one
+    parts = manifest.groupBy("part").agg(F.sum("n_tokens").alias("n_tokens")).select("part", before(W.orderBy("part")).alias("first"))
+    based = manifest.join(parts, "part").withColumn("base", F.col("first") + before(W.partitionBy("part").orderBy("seq")))
 
     def read(batches):
         for batch in batches:
@@ -215,7 +220,7 @@ def read_shards(manifest: DataFrame) -> DataFrame:
                 )
                 shard.close()
 
-    n = max(1, manifest.count())
+    n = max(1, min(manifest.count(), 4 * partitions(manifest.sparkSession)))
     return based.select("uri", "base").repartition(n).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
