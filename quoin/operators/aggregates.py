@@ -42,12 +42,12 @@ def review_progress(checks: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def champions(stats: DataFrame, measures: dict[str, tuple[str, bool]]) -> DataFrame:
-    """For each measure (column, larger is better) the tool with the best value; ties by name. One row in
-    a single aggregate."""
+    """For each measure (column, larger is better) the tool with the best value; ties by name; tools without a
+    value are not considered. One row in a single aggregate."""
     cols = []
     for name, (column, larger) in measures.items():
         key = F.struct((-F.col(column) if larger else F.col(column)).alias("v"), F.col("tool").alias("t"))
-        cols.append(F.min_by("tool", key).alias(name))
+        cols.append(F.min_by("tool", F.when(F.col(column).isNotNull(), key)).alias(name))
     return stats.agg(*cols)
 
 

@@ -29,11 +29,9 @@ def greedy_one_to_one(items: DataFrame, references: DataFrame, key: str, close_e
     items: key, item_id, text, x, y; references: key, ref_id, text, x, y. A page's boxes are matched
     together, and pages go to tasks by hash, many to a task."""
 
-    def pages(table: pa.Table, name: str) -> dict:
+    def pages(table: pa.Table) -> dict:
         out: dict = {}
-        if not table.num_rows:  # an empty side comes without columns
-            return out
-        for k, i, text, x, y in sorted(zip(*[table.column(c).to_pylist() for c in (key, name, "text", "x", "y")]), key=lambda r: r[:2]):
+        for k, i, text, x, y in sorted(zip(*[table.column(c).to_pylist() for c in table.column_names[1:]]), key=lambda r: r[:2]):
             out.setdefault(k, []).append((i, text, x, y))
         return out
 
@@ -43,8 +41,8 @@ def greedy_one_to_one(items: DataFrame, references: DataFrame, key: str, close_e
     rules = (("exact", lambda a, b: a[1] == b[1]), ("fuzzy", lambda a, b: _distance(a[1], b[1], close_edits) <= close_edits), ("spatial", near))
 
     def match(left: pa.Table, right: pa.Table) -> pa.Table:
-        refs, out = pages(right, "ref_id"), []
-        for page, rows in pages(left, "item_id").items():
+        refs, out = pages(right), []
+        for page, rows in pages(left).items():
             free = refs.get(page, [])
             for row in rows:
                 hit = next(((k, how) for how, test in rules for k, r in enumerate(free) if test(row, r)), None)
@@ -54,9 +52,10 @@ def greedy_one_to_one(items: DataFrame, references: DataFrame, key: str, close_e
         return pa.Table.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], [key, "item_id", "ref_id", "how"])
 
     n = 4 * int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bucket = F.pmod(F.xxhash64(key), F.lit(n)).alias("bucket")
-    left = items.select(bucket, key, "item_id", "text", "x", "y").groupBy("bucket")
-    right = references.select(bucket, key, "ref_id", "text", "x", "y").groupBy("bucket")
+    bucket = F.pmod(F.xxhash64(key), F.lit(n))
+    left = items.select(bucket.alias("bucket"), key, "item_id", "text", "x", "y").groupBy("bucket")
+    # other names than on the left: a column that both sides have from one table can be lost in a cogroup
+    right = references.select(bucket.alias("_bucket"), *[F.col(c).alias(f"_{c}") for c in (key, "ref_id", "text", "x", "y")]).groupBy("_bucket")
     return left.cogroup(right).applyInArrow(match, f"{key} long, item_id long, ref_id long, how string")
 
 

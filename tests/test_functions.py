@@ -291,3 +291,27 @@ def test_cascade_and_upsert(spark):
     results = spark.createDataFrame([(1, 10), (2, 10), (3, 11)], "result_id int, drawing_id int")
     left = relational.cascade(results.where("result_id = 1"), results, {"metrics": spark.createDataFrame([(1,), (3,)], "result_id int")})
     assert [r.result_id for r in left["results"].collect()] == [3] and left["metrics"].count() == 1
+
+
+def test_champions_have_a_value(spark):
+    from quoin.operators.aggregates import champions
+
+    stats = spark.createDataFrame([("a", None, 3.0), ("b", 2.0, 3.0), ("c", 1.0, None)], "tool string, rate double, cost double")
+    got = champions(stats, {"most": ("rate", True), "least": ("rate", False), "cheapest": ("cost", False)}).first()
+    assert tuple(got) == ("b", "c", "a")
+
+
+def test_edit_distance_by_bits():
+    rng = np.random.default_rng(5)
+
+    def plain(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    for _ in range(300):
+        a, b = ("".join(rng.choice(list("abé😀"), rng.integers(0, 90))) for _ in range(2))
+        assert text._bits(a, b) == plain(a, b)
