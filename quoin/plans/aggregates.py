@@ -50,7 +50,7 @@ def _(t):
     return t.fx_objects.groupBy("method").agg(F.count("*").alias("n"))
 
 
-@query("a7_grouped_walls", "select coalesce(sub_type, 'unknown') as sub_type, count(*) as n, string_agg(cast(result_id as string), ',' order by result_id) as ids from fx_objects where object_type = 'wall' and result_id < 400 group by 1", {"fx_objects": lambda t: t.fx_objects.where("result_id < 400")})
+@query("a7_grouped_walls", "select coalesce(sub_type, 'unknown') as sub_type, count(*) as n, string_agg(cast(result_id as string), ',' order by result_id) as ids from fx_objects where object_type = 'wall' group by 1")
 def _(t):
     ids = F.array_join(F.transform(F.array_sort(F.collect_list("result_id")), lambda v: v.cast("string")), ",")
     return t.fx_objects.where("object_type = 'wall'").groupBy(d.nvl_default("sub_type", "unknown").alias("sub_type")).agg(F.count("*").alias("n"), ids.alias("ids"))

@@ -47,10 +47,6 @@ VIEWS = {
     "fx_llm": """select conv_id, turn, role, text, concat('Extracted text: ', text, chr(10), 'Note: x') as answer from conversations""",
 }
 
-#: What SQL on texts covers: the prefixes in fx_text.
-PREFIXES = {"texts": lambda t: t.fx_text}
-
-
 def texts(documents: DataFrame) -> DataFrame:
     """Like fx_text, of the whole texts of all documents."""
     read = F.replace(F.replace("text", F.lit("th"), F.lit("t")), F.lit("e "), F.lit("c "))

@@ -7,7 +7,6 @@ from pyspark.sql import Window as W
 
 from ..functions import defaults as d
 from ..operators import relational as r
-from .fixtures import PREFIXES
 from .registry import query
 
 

@@ -8,7 +8,6 @@ from ..functions import defaults as d
 from ..functions import labels as l
 from ..functions import parsing as p
 from ..functions import text as x
-from .fixtures import PREFIXES
 from .registry import query
 
 PLAIN = "strlen(truth) = length(truth) and strlen(raw_text) = length(raw_text) and doc_id % 4 = 0"

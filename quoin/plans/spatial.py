@@ -83,10 +83,6 @@ def _(t):
     return t.fx_boxes.select("result_id", "bbox_index", d.js_round(g.intersection_over_union(a, b), 4).alias("iou"))
 
 
-#: What the SQL on points in boxes covers: no box with an edge on the point.
-NO_EDGE = {"fx_boxes": lambda t: t.fx_boxes.where("500 <> x and 500 <> x + w * 20 and 400 <> y and 400 <> y + h * 20")}
-
-
 @query("g11_inside", "select result_id, bbox_index, 500 >= x and 500 < x + w * 20 and 400 >= y and 400 < y + h * 20 as inside from fx_boxes")
 def _(t):
     box = g.rectangle("x", "y", F.col("w") * 20, F.col("h") * 20)
