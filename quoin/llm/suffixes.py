@@ -93,29 +93,32 @@ def runs_of(x: np.ndarray):
 # ---------------------------------------------------------------- the index
 
 
-def suffix_ranks(text: np.ndarray, length: int) -> np.ndarray:
-    """For each place of each row that has ``length`` bytes from it on: the rank of these bytes among those
-    of all places, equal ones alike. Prefix doubling: words of up to eight bytes, then pairs of ranks."""
-    rank, size = text.astype(np.uint64), 1
+def doubled(text: np.ndarray, counts: np.ndarray, length: int) -> np.ndarray:
+    """For each place of each row: a number by which the ``length`` bytes from it on compare with those of all
+    places. Prefix doubling: words of up to eight bytes, then pairs of ranks. Only places that one of a
+    row's first ``counts`` windows covers are ranked; what stands elsewhere means nothing."""
+    key, size = text.astype(np.uint64), 1
     while size < 8 and 2 * size <= length:
-        rank = rank[:, :-size] << U(8 * size) | rank[:, size:]
+        key = key[:, :-size] << U(8 * size) | key[:, size:]
         size *= 2
-    rank = _dense(rank)
     while size < length:
+        rank = _ranked(key, np.arange(key.shape[1]) < (counts + length - size)[:, None])
         step = min(size, length - size)
-        rank = _dense(rank[:, :-step] << U(32) | rank[:, step:])
+        key = rank[:, :-step] << U(32) | rank[:, step:]
         size += step
-    return rank
+    return key
 
 
-def _dense(x: np.ndarray) -> np.ndarray:
-    flat = x.ravel()
+def _ranked(key: np.ndarray, on: np.ndarray) -> np.ndarray:
+    flat = key[on]
     order = np.argsort(flat)
     put = np.zeros(len(flat), np.uint64)
     put[1:] = flat[order][1:] != flat[order][:-1]
-    out = np.empty(len(flat), np.uint64)
-    out[order] = np.cumsum(put, dtype=np.uint64)
-    return out.reshape(x.shape)
+    ranks = np.empty(len(flat), np.uint64)
+    ranks[order] = np.cumsum(put, dtype=np.uint64)
+    out = np.zeros(key.shape, np.uint64)
+    out[on] = ranks
+    return out
 
 
 class SuffixArray:
@@ -128,10 +131,10 @@ class SuffixArray:
     def __init__(self, text: np.ndarray, counts: np.ndarray, docs: np.ndarray, length: int):
         windows = np.lib.stride_tricks.sliding_window_view(text, length, axis=1)
         self.places = np.nonzero(np.arange(windows.shape[1]) < counts[:, None])
-        rank = suffix_ranks(text, length)[self.places]
-        order = np.argsort(rank, kind="stable")  # of equal ones the least document comes first
+        key = doubled(text, counts, length)[self.places]
+        order = np.argsort(key, kind="stable")  # of equal ones the least document comes first
         first = np.ones(len(order), bool)
-        first[1:] = rank[order][1:] != rank[order][:-1]
+        first[1:] = key[order][1:] != key[order][:-1]
         self.group = np.empty(len(order), np.int64)
         self.group[order] = np.cumsum(first) - 1
         row, column = (p[order[first]] for p in self.places)
