@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 
 from ..functions import defaults as d
 from ..operators import relational as r
+from .fixtures import spread
 from .registry import query
 
 
@@ -230,7 +231,7 @@ def _(t):
 def _(t):
     from ..functions.text import chars
 
-    one = lambda c, s: t.texts.select("doc_id", F.explode(chars(c)).alias("character"), F.lit(s).alias("s"))
+    one = lambda c, s: spread(t.texts).select("doc_id", F.explode(chars(c)).alias("character"), F.lit(s).alias("s"))
     return one("truth", 1).unionByName(one("raw_text", -1)).groupBy("doc_id", "character").agg(F.sum("s").alias("missing")).where("missing <> 0")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import records as rec
 from ..operators import reports as r
+from .fixtures import spread
 from .registry import query
 
 STATS = "select run_id, tool, count(*) as n, cast(sum(cost_cents) as bigint) as total_cost, max(time_ms) as longest from fx_results group by run_id, tool"
@@ -30,7 +31,7 @@ def _(t):
 
 @query("k3_differences")
 def _(t):
-    rows = t.texts.where("truth is not null").select("doc_id", "tool", rec.character_analysis("raw_text", "truth").alias("analysis"))
+    rows = spread(t.texts.where("truth is not null")).select("doc_id", "tool", rec.character_analysis("raw_text", "truth").alias("analysis"))
     return r.difference_sections(rows, "doc_id", "tool")
 
 

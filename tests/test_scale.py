@@ -1,13 +1,16 @@
 """What keeps work in proportion to the input: partitions, exchanges, bands and batches, with the same results."""
 
+import random
 import re
 
 import numpy as np
-import pytest
+import pyarrow as pa
+from pyspark.sql import functions as F
 from tests.test_oracles import DIR
 
+from quoin.functions import text
 from quoin.operators import raster
-from quoin.plans import ordered
+from quoin.plans import catalog, ordered
 from quoin.plans.fixtures import Tables
 
 
@@ -34,3 +37,30 @@ def test_rooms_of_equal_and_other_images(spark, monkeypatch):
     for held, polygon in ((None, {}), (outlines, {i: [(0, 0), (30, 0), (30, 60), (0, 60)] for i in (0, 3)})):
         want = [(i, k, *r.values()) for i, g in enumerate(grids) for k, r in enumerate(raster.found_rooms(g, polygon.get(i, ())), 1)]
         assert want and sorted(map(tuple, raster.rooms(images, held).collect())) == sorted(want)
+
+
+def test_bands_of_edits_equal_the_whole():
+    pick = random.Random(7)
+    for _ in range(600):
+        letters = pick.choice(("ab", "abcdefg \u00e9\U0001f600"))
+        a = "".join(pick.choice(letters) for _ in range(pick.randint(1, 60)))
+        b = "".join(c if pick.random() < 0.85 else pick.choice(("", c + c, "z")) for c in a) or "a"
+        a, b = (a, b) if len(a) >= len(b) else (b, a)
+        for most in range(max(1, len(a) - len(b)), len(b)):
+            far = text._banded(a, b, most)
+            assert far == text._bits(a, b) or far > most < text._bits(a, b)
+    for n, share in ((2000, 0.02), (2000, 0.2), (3000, 0.9)):
+        a = "".join(pick.choice("abcdefgh ") for _ in range(n))
+        b = "".join(c if pick.random() > share else pick.choice(("", c + c, "z")) for c in a)
+        assert text.edits(a, b) == text._bits(a, b)
+
+
+def test_texts_are_spread_and_stand_as_objects_by_slices(spark, tmp_path, monkeypatch):
+    rows = [(i, f"caf\u00e9 {i} " * 40) for i in range(500)] + [(500, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").withColumn("lang", F.lit("en")).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("leaderboard", "f1_nfkc", "f2_edit_distance", "f8_order_free", "f19_character_differences", "f22_similarity", "k3_differences"):
+        assert "REPARTITION" in plan(catalog.QUERIES[name](spark, str(tmp_path)))
+    most = []
+    out = text.sliced(lambda v: most.append(v) or v * 2, pa.int64(), pa.array([1, None, 3] * 100), none=0)
+    assert out.to_pylist() == [2, 0, 6] * 100 and len(most) == 200
+    assert text.sliced(len, pa.int64(), pa.array([], pa.string())).to_pylist() == []
