@@ -123,8 +123,7 @@ def self_calibrated(items: DataFrame, references: DataFrame, key: str, width: fl
 
 def last_association(points: DataFrame, objects: DataFrame, key: str, point_id: str, object_id: str, reach: float = 200.0) -> DataFrame:
     """Of the dimensions nearest to an object the last, by id: key, object id, point id, distance."""
-    rows = spatial.nearest(points, objects, key, point_id, object_id, reach)
-    last = ranked(rows, [key, object_id], [F.desc(point_id)])
+    last = spatial.nearest(points, objects, key, point_id, object_id, reach, then=lambda rows: ranked(rows, [key, object_id], [F.desc(point_id)]))
     return last.select(key, object_id, point_id, "distance")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from ..functions import boxes as b
 from ..functions import geometry as g
 from ..functions.defaults import js_round
-from .spatial import candidates
+from .spatial import by_page
 
 CHARACTER = (20.0, 30.0)
 
@@ -51,8 +51,11 @@ def associations(dimensions: DataFrame, elements: DataFrame, key: str, dimension
 
     dimensions: key, id, px, py, hint; elements: lines x1, y1, x2, y2. Distances are rounded before they are
     held against ``reach``; grid cells are a little wider for that."""
-    rows = candidates(dimensions, elements, key, reach + 1)
-    rows = rows.withColumn("distance", js_round(g.segment_distance("px", "py", "x1", "y1", "x2", "y2"), 2)).where(F.col("distance") <= reach)
+    return by_page(dimensions, elements, key, reach + 1, lambda pairs: _sure(pairs, key, dimension_id, element_id, reach))
+
+
+def _sure(pairs: DataFrame, key: str, dimension_id: str, element_id: str, reach: float) -> DataFrame:
+    rows = pairs.withColumn("distance", js_round(g.segment_distance("px", "py", "x1", "y1", "x2", "y2"), 2)).where(F.col("distance") <= reach)
     rows = rows.withColumn("orientation_match", orientation_matches("hint", "x1", "y1", "x2", "y2")).where("hint = 'any' or orientation_match")
     share = F.col("distance") / reach
     sure = F.lit(1.0) - share * share
@@ -65,9 +68,12 @@ def associations(dimensions: DataFrame, elements: DataFrame, key: str, dimension
 def association_counts(dimensions: DataFrame, elements: DataFrame, key: str, dimension_id: str, reach: float = 200.0) -> DataFrame:
     """How many elements a dimension's page has, how many are too far, and how many lie the wrong way."""
     total = elements.groupBy(key).agg(F.count("*").alias("n"))
-    rows = candidates(dimensions, elements, key, reach + 1)
-    rows = rows.where(js_round(g.segment_distance("px", "py", "x1", "y1", "x2", "y2"), 2) <= reach)
-    wrong = (F.col("hint") != "any") & ~orientation_matches("hint", "x1", "y1", "x2", "y2")
-    near = rows.groupBy(key, dimension_id).agg(F.count("*").alias("near"), F.count_if(F.coalesce(wrong, F.lit(False))).alias("wrong"))
+
+    def counted(pairs: DataFrame) -> DataFrame:
+        rows = pairs.where(js_round(g.segment_distance("px", "py", "x1", "y1", "x2", "y2"), 2) <= reach)
+        wrong = (F.col("hint") != "any") & ~orientation_matches("hint", "x1", "y1", "x2", "y2")
+        return rows.groupBy(key, dimension_id).agg(F.count("*").alias("near"), F.count_if(F.coalesce(wrong, F.lit(False))).alias("wrong"))
+
+    near = by_page(dimensions, elements, key, reach + 1, counted)
     out = dimensions.select(key, dimension_id).join(total, key, "left").join(near, [key, dimension_id], "left").na.fill(0, ["n", "near", "wrong"])
     return out.select(key, dimension_id, F.col("n").alias("total"), (F.col("n") - F.col("near")).alias("too_far"), F.col("wrong").alias("wrong_way"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tests.test_oracles import DIR
 
 from quoin.functions import text
-from quoin.operators import raster
+from quoin.operators import raster, spatial
 from quoin.plans import catalog, ordered
 from quoin.plans.fixtures import Tables
 
@@ -64,3 +64,22 @@ def test_texts_are_spread_and_stand_as_objects_by_slices(spark, tmp_path, monkey
     out = text.sliced(lambda v: most.append(v) or v * 2, pa.int64(), pa.array([1, None, 3] * 100), none=0)
     assert out.to_pylist() == [2, 0, 6] * 100 and len(most) == 200
     assert text.sliced(len, pa.int64(), pa.array([], pa.string())).to_pylist() == []
+
+
+def test_small_and_large_pages_have_the_same_pairs(spark, monkeypatch):
+    pick = random.Random(2)
+    place = lambda: (pick.randint(0, 900), pick.randint(0, 700))
+    points = [(k, i, *place()) for k, n in ((1, 6), (2, 90), (3, 4), (4, 0)) for i in range(n)]
+    objects = [(k, i, *place(), *place()) for k, n in ((1, 5), (2, 80), (4, 3)) for i in range(n)]
+    p = spark.createDataFrame(points, "k long, i long, px long, py long")
+    o = spark.createDataFrame(objects, "k long, j long, x1 long, y1 long, x2 long, y2 long")
+    want = {}
+    for k, i, x, y in points:
+        far = sorted((((x - (a + c) / 2) ** 2 + (y - (b + d) / 2) ** 2) ** 0.5, j) for m, j, a, b, c, d in objects if m == k)
+        for r, (_, j) in enumerate([v for v in far if v[0] < 200][:3], 1):
+            want[k, i, j] = r
+    for small in (64, 0, 1000):
+        monkeypatch.setattr(spatial, "SMALL", small)
+        rows = spatial.nearest(p, o, "k", "i", "j", 200.0, 3).select("k", "i", "j", "rank")
+        assert {tuple(r)[:3]: r["rank"] for r in rows.collect()} == want
+    assert plan(spatial.nearest(p, o, "k", "i", "j", 200.0, 3)).count("explode") == 2  # of the large pages alone
