@@ -55,7 +55,9 @@ def associations(dimensions: DataFrame, elements: DataFrame, key: str, dimension
 
 
 def _sure(pairs: DataFrame, key: str, dimension_id: str, element_id: str, reach: float) -> DataFrame:
-    rows = pairs.withColumn("distance", js_round(g.segment_distance("px", "py", "x1", "y1", "x2", "y2"), 2)).where(F.col("distance") <= reach)
+    # a generator is not merged with what follows, so a distance is taken once and not wherever it is named
+    far = F.explode(F.array(js_round(g.segment_distance("px", "py", "x1", "y1", "x2", "y2"), 2)))
+    rows = pairs.withColumn("distance", far).where(F.col("distance") <= reach)
     rows = rows.withColumn("orientation_match", orientation_matches("hint", "x1", "y1", "x2", "y2")).where("hint = 'any' or orientation_match")
     share = F.col("distance") / reach
     sure = F.lit(1.0) - share * share

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from tests.test_oracles import DIR
 
 from quoin.functions import text
-from quoin.operators import raster, spatial
-from quoin.plans import catalog, ordered
+from quoin.operators import raster, spatial, synthesis
+from quoin.plans import boxes, catalog, ordered
 from quoin.plans.fixtures import Tables
 
 
@@ -83,3 +83,9 @@ def test_small_and_large_pages_have_the_same_pairs(spark, monkeypatch):
         rows = spatial.nearest(p, o, "k", "i", "j", 200.0, 3).select("k", "i", "j", "rank")
         assert {tuple(r)[:3]: r["rank"] for r in rows.collect()} == want
     assert plan(spatial.nearest(p, o, "k", "i", "j", 200.0, 3)).count("explode") == 2  # of the large pages alone
+
+
+def test_a_distance_is_taken_once_for_each_pair(spark):
+    t = Tables(spark, DIR)
+    rows = synthesis.associations(boxes._dimensions(t), boxes._elements(t), "result_id", "bbox_index", "object_id")
+    assert plan(rows).upper().count("SQRT(") == 2  # on small and on large pages
