@@ -4,7 +4,8 @@ A document is the set of its n-word shingles. All sets are ordered by one global
 many documents of a batch share come last, by how often they were seen, all others first, by their hash.
 Two sets that link share m shingles among the first n - ceil(t n) + m of each (their prefixes, m = 4 or
 what a small set needs at least). Prefix entries meet by shingle; pairs that meet m times and whose sizes
-allow a link go on to prefix trees. A tree holds its sets sorted by the global order, so that neighbours
+allow a link are held against each other by small sketches, and those that these do not rule out go on to
+prefix trees. A tree holds its sets sorted by the global order, so that neighbours
 share their beginnings, and knows how long these are; it is built once and searched for any number of
 queries. The overlap with a query is carried along a shared beginning and computed once, and a subtree is
 pruned as soon as the overlap so far and the remaining lengths cannot reach what its smallest set needs.
@@ -234,25 +235,29 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, frequent_
     classes = sigs.where("n > 0").groupBy("cls").agg(F.min("row_key").alias("row_key"), F.min("doc_id").alias("least_id"), F.count("*").alias("copies"))
     classes = materialize(classes, "classes")
 
-    def sets_of(batches):
-        seen = set()  # of copies in a partition one is enough
-        for batch in batches:
-            trim()
-            found = {int(_class(s).view(np.int64)): s for _, s in shingle_sets(batch.column("text"), n)}
-            found = {c: ordered(s, frequent.value).tobytes() for c, s in found.items() if c not in seen}
-            seen |= found.keys()
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())], ["cls", "keys"])
+    def sets_for(wanted: DataFrame, form=lambda s: ordered(s, frequent.value).tobytes(), tag: str = "sets") -> DataFrame:
+        """The sets of classes, one for each, made from one document of each and written as ``form`` says."""
+
+        def sets_of(batches):
+            seen = set()  # of copies in a partition one is enough
+            for batch in batches:
+                trim()
+                found = {int(_class(s).view(np.int64)): s for _, s in shingle_sets(batch.column("text"), n)}
+                found = {c: form(s) for c, s in found.items() if c not in seen}
+                seen |= found.keys()
+                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())], ["cls", "keys"])
 
-    def sets_for(wanted: DataFrame) -> DataFrame:
-        """The sets of classes, one for each, made from one document of each."""
         keys = materialize(classes.join(wanted.distinct(), "cls", "left_semi").select("row_key"), "wanted")
         # up to 8 MB of keys go to the texts, more meet them in a shuffle
         few = F.broadcast(keys) if keys.count() <= 1_000_000 else keys
         made = rows.join(few, "row_key", "left_semi").select("text").mapInArrow(sets_of, "cls long, keys binary")
-        made = materialize(made.dropDuplicates(["cls"]), "sets")
+        made = materialize(made.dropDuplicates(["cls"]), tag)
         discard(keys)
         return made
 
+    def sketches_for(wanted: DataFrame) -> DataFrame:
+        return sets_for(wanted, _sketch, "sketches")
+
     def linking(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """The pairs (q, m) that link: the sets of their classes go into trees."""
         return materialize(verify(pairs, sets, percent), "linked")
@@ -269,7 +274,10 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, frequent_
     in_pairs = lambda p: p.select(F.col("q").alias("cls")).unionByName(p.select(F.col("m").alias("cls")))
     first = met.where("cls <> least").where(near("size", "least_size"))
     first = first.select(F.col("least").alias("q"), F.col("cls").alias("m"), F.least("size", "least_size").alias("size"))
-    first = materialize(often_enough(first), "stars")
+    stars = materialize(often_enough(first), "stars")
+    sketches = sketches_for(in_pairs(stars))
+    first = materialize(likely(stars, sketches, percent), "likely")
+    discard(stars)
     sets = sets_for(in_pairs(first))
     linked = linking(first, sets)
     comps = components(linked.select(F.col("q").alias("a"), F.col("m").alias("b")))
@@ -289,8 +297,11 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, frequent_
     other = cold.select("key", *[F.col(c).alias(f"{c}_b") for c in ("cls", "size", "comp")])
     pairs = cold.join(other, "key").where("cls < cls_b and comp <> comp_b").where(near("size", "size_b"))
     pairs = pairs.select(F.col("cls").alias("q"), F.col("cls_b").alias("m"), F.least("size", "size_b").alias("size"))
-    pairs = materialize(often_enough(pairs), "pairs")
+    met = materialize(often_enough(pairs), "pairs")
     discard(own)
+    sketches = sketches.unionByName(sketches_for(in_pairs(met).distinct().join(sketches.select("cls"), "cls", "left_anti")))
+    pairs = materialize(likely(met, sketches, percent), "likely")
+    discard(met)
     missing = in_pairs(pairs).unionByName(members.select("cls")).distinct().join(sets.select("cls"), "cls", "left_anti")
     sets = sets.unionByName(sets_for(missing))
     more = linking(pairs, sets)
@@ -315,6 +326,30 @@ def _class(s: np.ndarray) -> np.uint64:
     return mix(h + np.array([len(s)], np.uint64) * _MIX[3])[0]
 
 
+def _sketch(s: np.ndarray) -> bytes:
+    """How many keys fall in each of ``SPREAD`` buckets, a byte each; empty where a byte does not hold it."""
+    counts = _spread([s])[0]
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
+
+
+def likely(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs (q, m) whose sketches allow a link: the sum of smaller counts bounds an overlap from above. Sets,
+    which are many times as large, are sent only for these. A pair without one of its sketches stays."""
+    side = lambda c: sketches.select(F.col("cls").alias(c), F.col("keys").alias(f"_{c}"))
+    both = pairs.join(side("q"), "q").join(side("m"), "m").select("q", "m", "_q", "_m")
+
+    def run(batches):
+        for batch in batches:
+            known = np.array([len(a) == len(b) == SPREAD for a, b in zip(*[batch.column(c).to_pylist() for c in ("_q", "_m")])], bool)
+            on, has = ~known, pa.array(known)
+            a, b = (np.frombuffer(b"".join(batch.column(c).filter(has).to_pylist()), np.uint8).reshape(-1, SPREAD) for c in ("_q", "_m"))
+            total = a.sum(1, dtype=np.int64) + b.sum(1, dtype=np.int64)
+            on[known] = np.minimum(a, b).sum(1, dtype=np.int64) * (100 + percent) >= percent * total
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(on)) for c in ("q", "m")], ["q", "m"])
+
+    return both.mapInArrow(run, "q long, m long")
+
+
 def verify(pairs: DataFrame, sets: DataFrame, percent: int, chunk: int = 128) -> DataFrame:
     """The pairs (q, m) that link. A query's set goes once to each chunk of at most about ``chunk`` sets
     it is held against."""

@@ -541,3 +541,16 @@ def test_components(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: root(x) for a, b in edges if a != b for x in (a, b)}
     assert not components(spark.createDataFrame([], "a long, b long")).count()
+
+
+def test_ngram_join_makes_sets_only_of_pairs_that_may_link(spark, monkeypatch):
+    made = []
+    materialize = ngram_join.materialize
+    monkeypatch.setattr(ngram_join, "materialize", lambda df, tag: made.append((tag, out := materialize(df, tag))) or out)
+    words = lambda k, n: " ".join(f"{k}{i}" for i in range(n))
+    rows = [(i, words(f"own{i}x", 150) + " " + words("common", 150)) for i in range(20)]  # meet, but share a half
+    rows += [(30, words("near", 200)), (31, words("near", 200) + " more"), (40, words("long", 70_000)), (41, words("long", 70_000) + " more")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = ngram_join.jaccard_components(docs, 4, 85, frequent_max=0)
+    assert tuples(got, "doc_id", "n_shingles", "component_id") == brute_join(rows, 4, 85)
+    assert [df.count() for tag, df in made if tag == "sets"] == [4, 0]
