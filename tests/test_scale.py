@@ -89,3 +89,29 @@ def test_a_distance_is_taken_once_for_each_pair(spark):
     t = Tables(spark, DIR)
     rows = synthesis.associations(boxes._dimensions(t), boxes._elements(t), "result_id", "bbox_index", "object_id")
     assert plan(rows).upper().count("SQRT(") == 2  # on small and on large pages
+
+
+def test_fuzzy_matches_take_few_distances_of_long_texts(monkeypatch):
+    pick, taken = random.Random(4), []
+    monkeypatch.setattr(spatial, "within", lambda a, b, most: taken.append(1) or text.within(a, b, most))
+    pairs = ("th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "at", "en", "es", "of", "or", "nt", "ea", "ti", "to", "it", "st", " ", " ", " ")
+    texts = ["".join(pick.choice(pairs) for _ in range(pick.randint(2900, 3000))) for _ in range(30)]
+    read = ["".join(c if pick.random() < 0.93 else "#" for c in t) for t in texts]
+    left = pa.table({"a": range(30), "n": [len(t) for t in read], "least": [0.92] * 30, "far": [-1] * 30, "mark": [""] * 30, "text": read})
+    right = pa.table({"_b": range(30), "_n": [len(t) for t in texts], "_mark": [str(i) for i in range(30)], "_text": texts})
+    got = spatial._best(left, right).sort_by("a")
+    want = [1 - text.edits(a, b) / max(len(a), len(b)) for a, b in zip(read, texts)]
+    assert dict(zip(got["a"].to_pylist(), zip(got["b"].to_pylist(), got["similarity"].to_pylist()))) == {i: (i, w) for i, w in enumerate(want) if w >= 0.92}
+    assert 20 < len(taken) <= 30  # of 900 pairs
+
+
+def test_fuzzy_matches_in_tiles_are_the_same(spark, monkeypatch):
+    pick = random.Random(6)
+    texts = ["".join(pick.choice("abc ") for _ in range(pick.choice((0, 3, 40, 41, 300)))) for _ in range(60)]
+    texts += [t[:-1] + "z" for t in texts if t]
+    left = spark.createDataFrame([(i, t.replace("ab", "a")) for i, t in enumerate(texts)], "i long, text string")
+    right = spark.createDataFrame(list(enumerate(texts)), "j long, other string")
+    have = lambda: sorted(map(tuple, spatial.fuzzy_nearest(left, right, "i", "j", 0.65).collect()))
+    whole = have()
+    monkeypatch.setattr(spatial, "TILE", 500)
+    assert whole and have() == whole
