@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from .common import byte_runs, discard, materialize, mix, partitions, release, row_key, table, text_buffers, trim
 
 U = np.uint64
+LEVEL = 6  # of the compression of documents, which go through two exchanges and a table
 _P = U(0x9E3779B97F4A7C15)
 
 
@@ -216,7 +217,7 @@ def packed_groups(rows: DataFrame, groups: int) -> DataFrame:
     def pack(docs: pa.Table) -> pa.Table:
         grp, sink = docs.column("grp")[0].as_py(), pa.BufferOutputStream()
         docs = docs.drop_columns(["grp"]).sort_by([("doc_id", "ascending"), ("row_key", "ascending")]).combine_chunks()
-        with pa.ipc.new_stream(sink, docs.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        with pa.ipc.new_stream(sink, docs.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", LEVEL))) as out:
             out.write_table(docs)
         return pa.table({"grp": pa.array([grp], pa.int64()), "docs": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
 
@@ -317,7 +318,7 @@ def repeated_spans(packed: DataFrame, buckets: int, length: int, k: int, hot_fro
         lead = ids[doc[order[np.flatnonzero(head)[np.cumsum(head) - 1]]]]
         known = np.zeros(len(order), bool)
         known[order] = lead < ids[doc[order]]
-        send, pack = np.flatnonzero(~known), zstandard.ZstdCompressor(level=1).compress
+        send, pack = np.flatnonzero(~known), zstandard.ZstdCompressor(level=3).compress
         send = send[np.argsort(bucket[send], kind="stable")]
         there = np.flatnonzero(known)
         spans = [doc[there].astype(np.int32), start[there].astype(np.int64), start[there] + n[there].astype(np.int64) + length - 1]
@@ -328,8 +329,8 @@ def repeated_spans(packed: DataFrame, buckets: int, length: int, k: int, hot_fro
             "bytes": [pack(cut[x].tobytes()) for _, x in out],
             "doc_ids": [pack(np.diff(ids[doc[x]], prepend=0).tobytes()) for _, x in out],
             "places": [pack(np.diff(doc[x], prepend=0).astype(np.int32).tobytes()) for _, x in out],
-            "starts": [start[x].astype(np.int64).tobytes() for _, x in out],
-            "counts": [n[x].tobytes() for _, x in out],
+            "starts": [pack(np.diff(start[x], prepend=0).astype(np.int32).tobytes()) for _, x in out],
+            "counts": [pack(n[x].tobytes()) for _, x in out],
             "known": [b""] * len(out),
         }
         if len(there):  # what is known here goes along, to come out with the rest
@@ -345,12 +346,13 @@ def repeated_spans(packed: DataFrame, buckets: int, length: int, k: int, hot_fro
     def match(parts: pa.Table) -> pa.Table:
         out = [(g, s) for g, s in zip(parts.column("grp").to_pylist(), parts.column("known").to_pylist()) if s]
         column = lambda c: [v for v in parts.column(c).to_pylist() if v]
-        grps = np.repeat(parts.column("grp").to_numpy(), [len(c) for c in parts.column("counts").to_pylist()])
         unpack = zstandard.ZstdDecompressor().decompress
+        counts = [unpack(c) if c else b"" for c in parts.column("counts").to_pylist()]
+        grps = np.repeat(parts.column("grp").to_numpy(), [len(c) for c in counts])
         gaps = lambda c, t: np.concatenate([np.cumsum(np.frombuffer(unpack(v), t)) for v in column(c)] or [np.zeros(0, t)])
         cut = np.frombuffer(b"".join(map(unpack, column("bytes"))), np.uint8).reshape(-1, width)
         ids, places = gaps("doc_ids", np.int64), gaps("places", np.int32).astype(np.int32)
-        starts, n = np.frombuffer(b"".join(column("starts")), np.int64), np.frombuffer(b"".join(column("counts")), np.uint8)
+        starts, n = gaps("starts", np.int32).astype(np.int64), np.frombuffer(b"".join(counts), np.uint8)
         order = np.argsort(ids, kind="stable")
         hits = list(repeated_windows(cut[order], n[order].astype(np.int64), ids[order], length, batch))
         del cut

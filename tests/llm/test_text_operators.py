@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from quoin.llm import bpe, classifier, licenses, ngram_join, packing, pieces, rules, suffixes, wavelet
@@ -554,3 +555,14 @@ def test_ngram_join_makes_sets_only_of_pairs_that_may_link(spark, monkeypatch):
     got = ngram_join.jaccard_components(docs, 4, 85, frequent_max=0)
     assert tuples(got, "doc_id", "n_shingles", "component_id") == brute_join(rows, 4, 85)
     assert [df.count() for tag, df in made if tag == "sets"] == [4, 0]
+
+
+def test_suffix_dedup_packs_documents_tightly(spark):
+    rng = random.Random(12)
+    rows = [(i, i, " ".join(rng.choice(WORDS) + str(rng.randrange(40)) for _ in range(900))) for i in range(60)]
+    packed = suffixes.packed_groups(spark.createDataFrame(rows, "doc_id long, row_key long, text string"), 1).first()["docs"]
+    sink = pa.BufferOutputStream()
+    docs = suffixes._documents(packed)
+    with pa.ipc.new_stream(sink, docs.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(docs)
+    assert docs.num_rows == 60 and len(packed) < 0.98 * sink.getvalue().size
