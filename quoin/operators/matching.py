@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+@lru_cache(1 << 16)  # texts of drawings are few and short
 def _distance(a: str, b: str, most: int) -> int:
     """Edit distance, or ``most`` + 1 above ``most``."""
     if abs(len(a) - len(b)) > most:

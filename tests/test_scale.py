@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tests.test_oracles import DIR
 
 from quoin.functions import text
-from quoin.operators import raster, spatial, synthesis
+from quoin.operators import matching, raster, spatial, synthesis
 from quoin.plans import boxes, catalog, ordered
 from quoin.plans.fixtures import Tables
 
@@ -115,3 +115,9 @@ def test_fuzzy_matches_in_tiles_are_the_same(spark, monkeypatch):
     whole = have()
     monkeypatch.setattr(spatial, "TILE", 500)
     assert whole and have() == whole
+
+
+def test_greedy_matching_takes_the_distance_of_two_texts_once():
+    matching._distance.cache_clear()
+    assert [matching._distance("4550", "4550x", 2) for _ in range(50)] == [1] * 50
+    assert matching._distance.cache_info().misses == 1 and matching._distance.cache_info().maxsize
