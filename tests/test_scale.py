@@ -109,8 +109,8 @@ def test_fuzzy_matches_in_tiles_are_the_same(spark, monkeypatch):
     pick = random.Random(6)
     texts = ["".join(pick.choice("abc ") for _ in range(pick.choice((0, 3, 40, 41, 300)))) for _ in range(60)]
     texts += [t[:-1] + "z" for t in texts if t]
-    left = spark.createDataFrame([(i, t.replace("ab", "a")) for i, t in enumerate(texts)], "i long, text string")
-    right = spark.createDataFrame(list(enumerate(texts)), "j long, other string")
+    left = spark.createDataFrame([(i, t.replace("ab", "a")) for i, t in enumerate(texts)] + [(None, "no id")], "i long, text string")
+    right = spark.createDataFrame([*enumerate(texts), (None, "no id")], "j long, other string")
     have = lambda: sorted(map(tuple, spatial.fuzzy_nearest(left, right, "i", "j", 0.65).collect()))
     whole = have()
     monkeypatch.setattr(spatial, "TILE", 500)
