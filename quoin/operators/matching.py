@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -25,41 +25,69 @@ def _distance(a: str, b: str, most: int) -> int:
     return min(prev[-1], most + 1)
 
 
-def greedy_one_to_one(items: DataFrame, references: DataFrame, key: str, close_edits: int = 2, near_edits: int = 5, near_pixels: float = 50.0) -> DataFrame:
-    """Each item, by id, takes the first free reference it matches: equal text, else at most
-    ``close_edits`` apart, else within ``near_pixels`` and ``near_edits``. A reference is used once.
+def _boxes(box: Column, name: str) -> Column:
+    return F.sort_array(F.collect_list(box)).alias(name)
+
+
+def pages(rows: DataFrame, key: str, item: Column, reference: Column) -> DataFrame:
+    """A row for each page: key, items and refs, the structs ``item`` and ``reference`` of its rows where they are
+    not null, in the order of their fields. Rows without a key are no references. Rows that are spread by their
+    key already are not sent again."""
+    return rows.groupBy(key).agg(_boxes(item, "items"), _boxes(F.when(F.col(key).isNotNull(), reference), "refs"))
 
-    items: key, item_id, text, x, y; references: key, ref_id, text, x, y. A page's boxes are matched
-    together, and pages go to tasks by hash, many to a task."""
 
-    def pages(table: pa.Table) -> dict:
-        out: dict = {}
-        for k, i, text, x, y in sorted(zip(*[table.column(c).to_pylist() for c in table.column_names[1:]]), key=lambda r: r[:2]):
-            out.setdefault(k, []).append((i, text, x, y))
-        return out
+def paged(items: DataFrame, references: DataFrame, key: str, columns: tuple[str, ...] = ("text", "x", "y")) -> DataFrame:
+    """``pages`` of two frames: structs of item_id or ref_id and ``columns``; refs are null on a page without one."""
+    refs = references.groupBy(key).agg(_boxes(F.struct("ref_id", *columns), "refs"))
+    return items.groupBy(key).agg(_boxes(F.struct("item_id", *columns), "items")).join(refs, key, "left")
+
+
+def greedy_pages(rows: DataFrame, close_edits: int = 2, near_edits: int = 5, near_pixels: float = 50.0) -> DataFrame:
+    """``pages`` (text, x and y in both structs) with ``matches``: for each item the struct ref (place of its
+    reference in ``refs``) and how, both null where it matches none. See ``greedy_one_to_one``."""
 
     def near(a, b) -> bool:
-        return ((a[2] - b[2]) ** 2 + (a[3] - b[3]) ** 2) ** 0.5 < near_pixels and _distance(a[1], b[1], near_edits) <= near_edits
-
-    rules = (("exact", lambda a, b: a[1] == b[1]), ("fuzzy", lambda a, b: _distance(a[1], b[1], close_edits) <= close_edits), ("spatial", near))
-
-    def match(left: pa.Table, right: pa.Table) -> pa.Table:
-        refs, out = pages(right), []
-        for page, rows in pages(left).items():
-            free = refs.get(page, [])
-            for row in rows:
-                hit = next(((k, how) for how, test in rules for k, r in enumerate(free) if test(row, r)), None)
-                if hit:
-                    out.append((page, row[0], free.pop(hit[0])[0], hit[1]))
-        types = (pa.int64(), pa.int64(), pa.int64(), pa.string())
-        return pa.Table.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], [key, "item_id", "ref_id", "how"])
-
-    n = 4 * int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bucket = F.pmod(F.xxhash64(key), F.lit(n))
-    left = items.select(bucket.alias("bucket"), key, "item_id", "text", "x", "y").groupBy("bucket")
-    # other names than on the left: a column that both sides have from one table can be lost in a cogroup
-    right = references.select(bucket.alias("_bucket"), *[F.col(c).alias(f"_{c}") for c in (key, "ref_id", "text", "x", "y")]).groupBy("_bucket")
-    return left.cogroup(right).applyInArrow(match, f"{key} long, item_id long, ref_id long, how string")
+        return ((a[1] - b[1]) ** 2 + (a[2] - b[2]) ** 2) ** 0.5 < near_pixels and _distance(a[0], b[0], near_edits) <= near_edits
+
+    rules = (("exact", lambda a, b: a[0] == b[0]), ("fuzzy", lambda a, b: _distance(a[0], b[0], close_edits) <= close_edits), ("spatial", near))
+
+    def boxes(lists: pa.Array) -> tuple[list, list]:
+        flat = lists.flatten()
+        return lists.value_lengths().fill_null(0).to_pylist(), list(zip(*[flat.field(n).to_pylist() for n in ("text", "x", "y")]))
+
+    def match(items: pa.Array, refs: pa.Array) -> pa.Array:
+        (n_items, left), (n_refs, right) = boxes(items), boxes(refs)
+        places, hows, ends, at = [], [], [0], 0
+        for n, m in zip(n_items, n_refs):
+            free = list(enumerate(right[at : at + m]))
+            for row in left[ends[-1] : ends[-1] + n]:
+                hit = next(((k, how) for how, test in rules for k, r in enumerate(free) if test(row, r[1])), None)
+                places.append(free.pop(hit[0])[0] if hit else None)
+                hows.append(hit and hit[1])
+            ends.append(ends[-1] + n)
+            at += m
+        found = pa.StructArray.from_arrays([pa.array(places, pa.int32()), pa.array(hows, pa.string())], ["ref", "how"])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), found)
+
+    # of one evaluation: a filter that the optimizer infers from a later explode does not match all once more
+    matched = F.arrow_udf(match, "array<struct<ref int, how string>>").asNondeterministic()
+    slim = lambda c: F.transform(c, lambda b: F.struct(b["text"].alias("text"), b["x"].alias("x"), b["y"].alias("y")))
+    return rows.withColumn("matches", matched(slim("items"), slim("refs")))
+
+
+def greedy_pairs(rows: DataFrame, key: str) -> DataFrame:
+    """The pairs of ``greedy_pages``: key, item_id, ref_id, how."""
+    pair = F.zip_with("items", "matches", lambda i, m: F.struct(i["item_id"].alias("item_id"), m["ref"].alias("ref"), m["how"].alias("how")))
+    out = rows.select(key, "refs", F.inline(F.filter(pair, lambda p: p["ref"].isNotNull())))
+    return out.select(key, "item_id", F.get("refs", F.col("ref"))["ref_id"].alias("ref_id"), "how")
+
+
+def greedy_one_to_one(items: DataFrame, references: DataFrame, key: str, close_edits: int = 2, near_edits: int = 5, near_pixels: float = 50.0) -> DataFrame:
+    """Each item, by id, takes the first free reference it matches: equal text, else at most
+    ``close_edits`` apart, else within ``near_pixels`` and ``near_edits``. A reference is used once.
+
+    items: key, item_id, text, x, y; references: key, ref_id, text, x, y. A page's boxes are matched together."""
+    return greedy_pairs(greedy_pages(paged(items, references, key), close_edits, near_edits, near_pixels), key)
 
 
 def interpolated(words: DataFrame, key: str) -> DataFrame:

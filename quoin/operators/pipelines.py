@@ -100,25 +100,38 @@ def validated_reading(reports: DataFrame, boxes: DataFrame, key: str, width: flo
     return synthesis.synthesised(texts, boxes, key, "line", width, height)
 
 
+BOX = ("text", "x", "y", "w", "h")
+
+
 def self_calibrated(items: DataFrame, references: DataFrame, key: str, width: float, height: float) -> DataFrame:
     """A reader's boxes corrected by another's: boxes matched one to one teach the offsets, unmatched ones are
     placed by these. Returns key, item_id, text, x, y, width, height, source (matched takes the reference's
     place; text is the item's where they are equal, else the reference's).
 
     items: key, item_id, text, x, y, w, h; references: the same with ref_id."""
-    pairs = matching.greedy_one_to_one(items, references, key)
-    r = references.select(key, "ref_id", F.col("text").alias("text_b"), *[F.col(c).alias(f"{c}_b") for c in ("x", "y", "w", "h")])
-    matched = pairs.join(items, [key, "item_id"]).join(r, [key, "ref_id"])
-    offsets = scaling.calibration(matched, [key])
-    offset = F.struct(F.coalesce("dx", F.lit(0.0)).alias("left"), F.coalesce("dy", F.lit(0.0)).alias("top"), F.coalesce("s_x", F.lit(1.0)).alias("scale_x"), F.coalesce("s_y", F.lit(1.0)).alias("scale_y"), F.coalesce("sure", F.lit(0.3)).alias("confidence"))
-    offsets = offsets.select(key, "dx", "dy", F.nullif("scale_x", F.lit(0.0)).alias("s_x"), F.nullif("scale_y", F.lit(0.0)).alias("s_y"), F.col("confidence").alias("sure"))
-    alone = items.join(pairs.select(key, "item_id"), [key, "item_id"], "left_anti")
-    alone = scaling.with_anchor(alone, references, key, "item_id").join(offsets, key, "left")
-    placed = alone.select(key, "item_id", "text", b.calibrated("x", "y", "w", "h", offset, "anchor_distance", width, height).alias("c"))
-    placed = placed.select(key, "item_id", "text", "c.x", "c.y", "c.width", "c.height", F.lit("calibrated").alias("source"))
-    text = F.when(F.col("how") == "exact", F.col("text")).otherwise(F.col("text_b"))
-    sure = matched.select(key, "item_id", text.alias("text"), *[F.col(f"{c}_b").cast("double").alias(n) for c, n in (("x", "x"), ("y", "y"), ("w", "width"), ("h", "height"))], F.lit("matched").alias("source"))
-    return sure.unionByName(placed)
+    return self_calibrated_pages(matching.paged(items, references, key, BOX), key, width, height)
+
+
+def self_calibrated_pages(pages: DataFrame, key: str, width: float, height: float) -> DataFrame:
+    """``self_calibrated`` of ``matching.pages``: what a page needs is in its row, so nothing is sent."""
+    rows = matching.greedy_pages(pages)
+    boxes = F.zip_with("items", "matches", lambda i, m: F.struct(i.alias("i"), F.get("refs", m["ref"]).alias("r"), m["how"].alias("how")))
+    rows = rows.select(key, "refs", boxes.alias("boxes"))
+    sides = lambda b: [b["i"][c].alias(c) for c in BOX[1:]] + [b["r"][c].alias(f"{c}_b") for c in BOX[1:]]
+    rows = rows.withColumn("pairs", F.transform(F.filter("boxes", lambda b: b["how"].isNotNull()), lambda b: F.struct(*sides(b))))
+    rows = rows.select(key, "refs", "boxes", scaling.page_calibration("pairs").alias("o"))
+    one = lambda c, default: F.coalesce(c, F.lit(default))
+    scale = lambda c: one(F.nullif(F.col(c), F.lit(0.0)), 1.0)
+    offset = F.struct(one(F.col("o.dx"), 0.0).alias("left"), one(F.col("o.dy"), 0.0).alias("top"), scale("o.scale_x").alias("scale_x"), scale("o.scale_y").alias("scale_y"), one(F.col("o.confidence"), 0.3).alias("confidence"))
+    rows = rows.select(key, "refs", offset.alias("offset"), F.explode("boxes").alias("b")).select(key, "refs", "offset", "b.i", "b.r", "b.how")
+    placed = b.calibrated(*[F.col(f"i.{c}") for c in BOX[1:]], F.col("offset"), scaling.page_anchor(F.col("i"), "refs"), width, height)
+    matched = F.col("how").isNotNull()
+    side = lambda c, name: F.when(matched, F.col(f"r.{c}").cast("double")).otherwise(placed[name]).alias(name)
+    text = F.when(matched & (F.col("how") != "exact"), F.col("r.text")).otherwise(F.col("i.text"))
+    return rows.select(
+        key, F.col("i.item_id").alias("item_id"), text.alias("text"), *[side(c, n) for c, n in zip(BOX[1:], ("x", "y", "width", "height"))],
+        F.when(matched, F.lit("matched")).otherwise(F.lit("calibrated")).alias("source"),
+    )
 
 
 def last_association(points: DataFrame, objects: DataFrame, key: str, point_id: str, object_id: str, reach: float = 200.0) -> DataFrame:

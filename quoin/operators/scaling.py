@@ -43,16 +43,41 @@ def robust_factor(rows: DataFrame, keys: list[str]) -> DataFrame:
     return sums.select(*keys, "n", scale.alias("scale"), F.when(cv > 20, F.lit("median")).otherwise(F.lit("weighted_average")).alias("method"), js_round(F.col("sure") * few, 2).alias("confidence"), js_round("sd", 3).alias("sd"))
 
 
+def _offsets(mean, spread) -> list[Column]:
+    """Of matched boxes (x, y, w, h and their counterparts _b). ``mean`` and ``spread`` take a function of a
+    function that gives a pair's column by name."""
+    ratio = lambda a, b: mean(lambda c: F.when(c(b) > 0, c(a) / c(b)).otherwise(0.0))
+    dy = lambda c: c("y") - c("y_b")
+    sure = F.greatest(F.lit(0.3), F.least(F.lit(0.9), F.lit(1.0) - spread(dy) / 100))
+    return [
+        js_round(mean(lambda c: c("x") - c("x_b")), 4).alias("dx"), js_round(mean(dy), 4).alias("dy"), js_round(ratio("w", "w_b"), 4).alias("scale_x"),
+        js_round(ratio("h", "h_b"), 4).alias("scale_y"), js_round(sure, 4).alias("confidence"),
+    ]
+
+
 def calibration(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """Mean offsets and scale ratios of matched boxes (x, y, w, h and their counterparts _b); a box
     without width or height adds nothing to the ratios but counts."""
-    ratio = lambda a, b: F.avg(F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0))
-    dy = F.col("y") - F.col("y_b")
-    sure = F.greatest(F.lit(0.3), F.least(F.lit(0.9), F.lit(1.0) - F.stddev_pop(dy) / 100))
-    return pairs.groupBy(*keys).agg(
-        js_round(F.avg(F.col("x") - F.col("x_b")), 4).alias("dx"), js_round(F.avg(dy), 4).alias("dy"), js_round(ratio("w", "w_b"), 4).alias("scale_x"),
-        js_round(ratio("h", "h_b"), 4).alias("scale_y"), js_round(sure, 4).alias("confidence"), F.count("*").alias("n"),
-    )
+    offsets = _offsets(lambda v: F.avg(v(F.col)), lambda v: F.stddev_pop(v(F.col)))
+    return pairs.groupBy(*keys).agg(*offsets, F.count("*").alias("n"))
+
+
+def page_calibration(pairs: str) -> Column:
+    """``calibration`` of an array of structs, as a struct without n; null for an empty array."""
+
+    def average(values: Column) -> Column:
+        total = F.aggregate(values, F.lit(0.0), lambda s, v: s + v)
+        return F.when(F.size(values) > 0, total / F.size(values))
+
+    def each(v) -> Column:
+        return F.array_compact(F.transform(pairs, lambda p: v(lambda n: p[n]).cast("double")))
+
+    def spread(v) -> Column:
+        centre = average(each(v))
+        return F.sqrt(average(F.transform(each(v), lambda d: (d - centre) * (d - centre))))
+
+    # greatest and least pass over nulls: an empty array would be sure
+    return F.when(F.size(pairs) > 0, F.struct(*_offsets(lambda v: average(each(v)), spread)))
 
 
 WEIGHTS = {"has_coordinates": 3.0, "has_length": 2.0, "has_text": 2.0, "has_thickness": 1.5, "has_height": 1.5, "has_level": 1.0}
@@ -103,6 +128,18 @@ def with_anchor(boxes: DataFrame, anchors: DataFrame, key: str, box_id: str) ->
     return boxes.join(near, [key, box_id], "left")
 
 
+def page_anchor(box: Column, anchors: str) -> Column:
+    """``with_anchor``'s distance of a struct (x, y, w, h) to an array of them."""
+    centre = lambda b: (b["x"] + b["w"] / 2.0, b["y"] + b["h"] / 2.0)
+    cx, cy = centre(box)
+
+    def far(a: Column) -> Column:
+        ax, ay = centre(a)
+        return F.sqrt((cx - ax) * (cx - ax) + (cy - ay) * (cy - ay))
+
+    return F.array_min(F.transform(anchors, far))
+
+
 # What an element needs, and what is put where it has none (mm).
 REQUIRED = {"wall": ("length", "thickness", "height"), "door": ("width", "height"), "window": ("width", "height"), "room": ("label",)}
 USUAL = {"wall": {"thickness": 150, "height": 2700}, "door": {"width": 900, "height": 2000}, "window": {"width": 1200, "height": 1200}}

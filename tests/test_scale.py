@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tests.test_oracles import DIR
 
 from quoin.functions import text
-from quoin.operators import matching, raster, spatial, synthesis
+from quoin.operators import matching, pipelines, raster, scaling, spatial, synthesis
 from quoin.plans import boxes, catalog, ordered
 from quoin.plans.fixtures import Tables
 
@@ -121,3 +121,62 @@ def test_greedy_matching_takes_the_distance_of_two_texts_once():
     matching._distance.cache_clear()
     assert [matching._distance("4550", "4550x", 2) for _ in range(50)] == [1] * 50
     assert matching._distance.cache_info().misses == 1 and matching._distance.cache_info().maxsize
+
+
+def test_boxes_are_sent_once_and_matched_once(spark):
+    for name in ("x20_self_calibrated", "j15_greedy_match"):
+        steps = plan(catalog.QUERIES[name](spark, DIR))
+        assert len(re.findall(r"Exchange ", steps)) == 1 and steps.count("InArrow") + steps.count("ArrowEvalPython") == 1
+
+
+def test_self_calibration_by_pages_equals_brute_force(spark):
+    pick = random.Random(9)
+    text = lambda: "".join(pick.choice("ab") for _ in range(pick.randint(1, 9)))
+    box = lambda i: (i, text(), pick.randint(0, 990), pick.randint(0, 790), pick.choice((0, 20, 33)), pick.choice((0, 15, 41)))
+    items = [(k, *box(i)) for k, n in ((1, 9), (2, 1), (3, 4), (5, 40), (None, 3)) for i in range(n)]
+    refs = [(k, *box(i * 10)) for k, n in ((1, 5), (2, 1), (4, 3), (5, 25)) for i in range(n)]
+    want, hows = [], set()
+    for page in dict.fromkeys(r[0] for r in items):
+        free, pairs, alone = [r[1:] for r in refs if r[0] == page], [], []
+        for i in (r[1:] for r in items if r[0] == page):
+            far = lambda r: matching._distance(i[1], r[1], 9)  # noqa: B023, E731
+            tests = (("exact", lambda r: i[1] == r[1]), ("fuzzy", lambda r: far(r) <= 2), ("spatial", lambda r: ((i[2] - r[2]) ** 2 + (i[3] - r[3]) ** 2) ** 0.5 < 50 and far(r) <= 5))  # noqa: B023
+            r, how = next(((r, how) for how, test in tests for r in free if test(r)), (None, None))
+            if how:
+                free.remove(r)
+                pairs.append((i, r))
+                want.append((page, i[0], i[1] if how == "exact" else r[1], *map(float, r[2:]), "matched"))
+            else:
+                alone.append(i)
+            hows.add(how)
+        mean = lambda v: np.floor(sum(v) / len(v) * 10000 + 0.5) / 10000 if v else 0.0
+        dx, dy = (mean([i[c] - r[c] for i, r in pairs]) for c in (2, 3))
+        sx, sy = (mean([i[c] / r[c] if r[c] > 0 else 0.0 for i, r in pairs]) or 1.0 for c in (4, 5))
+        for i in alone:
+            w, h = i[4] * sx, i[5] * sy
+            x, y = max(0.0, min(i[2] - dx, 1000.0 - w)), max(0.0, min(i[3] - dy, 800.0 - h))
+            w, h = max(10.0, min(w, 1000.0 - x)), max(10.0, min(h, 800.0 - y))
+            want.append((page, i[0], i[1], *(float(np.floor(v + 0.5)) for v in (x, y, w, h)), "calibrated"))
+    assert hows >= {"exact", "fuzzy", None}
+    pick.shuffle(items)
+    left = spark.createDataFrame(items, "k long, item_id long, text string, x long, y long, w long, h long")
+    right = spark.createDataFrame(refs, "k long, ref_id long, text string, x long, y long, w long, h long")
+    got = pipelines.self_calibrated(left, right, "k", 1000.0, 800.0)
+    order = lambda rows: sorted(rows, key=lambda r: (r[0] or 0, r[1]))
+    assert got.columns == ["k", "item_id", "text", "x", "y", "width", "height", "source"]
+    assert order(map(tuple, got.collect())) == order(want)
+    columns = ("text", "x", "y", "w", "h")
+    both = left.withColumnRenamed("item_id", "id").withColumn("item", F.lit(True)).unionByName(right.withColumnRenamed("ref_id", "id").withColumn("item", F.lit(False)))
+    item, ref = (F.when(F.col("item") == side, F.struct(F.col("id").alias(n), *columns)) for side, n in ((True, "item_id"), (False, "ref_id")))
+    whole = pipelines.self_calibrated_pages(matching.pages(both, "k", item, ref), "k", 1000.0, 800.0)
+    assert order(map(tuple, whole.collect())) == order(want)
+
+
+def test_offsets_of_a_page_are_those_of_its_group(spark):
+    names = ("x", "y", "w", "h", "x_b", "y_b", "w_b", "h_b")
+    pick = random.Random(1)
+    rows = [(k, *[pick.randint(0, 60) for _ in names]) for k, n in ((1, 1), (2, 7), (3, 30)) for _ in range(n)] + [(2, 5, None, 3, 4, 1, 2, None, 0), (4, *[None] * 8)]
+    pairs = spark.createDataFrame(rows, "k long, " + ", ".join(f"{n} long" for n in names))
+    pages = pairs.groupBy("k").agg(F.collect_list(F.struct(*names)).alias("p")).select("k", scaling.page_calibration("p").alias("o"))
+    want = scaling.calibration(pairs, ["k"]).drop("n").orderBy("k").collect()
+    assert pages.select("k", "o.*").orderBy("k").collect() == want
