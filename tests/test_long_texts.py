@@ -48,3 +48,7 @@ def test_precision_and_recall_of_long_texts(spark, folder):
     right = {i: max(len(t), len(read(t))) - distance(read(t), t) for i, t in LONG.items()}
     assert max(map(len, LONG.values())) > 10_000
     assert got(spark, folder, "f21_precision_recall") == [(i, near(right[i] / len(read(t))), near(right[i] / len(t))) for i, t in LONG.items()]
+
+
+def test_edit_distance_of_long_texts(spark, folder):
+    assert got(spark, folder, "f2_edit_distance") == [(i, distance(read(t), t)) for i, t in LONG.items()]
