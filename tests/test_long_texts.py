@@ -52,3 +52,8 @@ def test_precision_and_recall_of_long_texts(spark, folder):
 
 def test_edit_distance_of_long_texts(spark, folder):
     assert got(spark, folder, "f2_edit_distance") == [(i, distance(read(t), t)) for i, t in LONG.items()]
+
+
+def test_order_free_rate_of_long_texts(spark, folder):
+    forms = [(i, form(read(t)), form(t)) for i, t in LONG.items()]
+    assert got(spark, folder, "f8_order_free") == [(i, near(distance(a, b) / max(len(a), len(b)))) for i, a, b in forms]
