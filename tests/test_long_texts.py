@@ -57,3 +57,9 @@ def test_edit_distance_of_long_texts(spark, folder):
 def test_order_free_rate_of_long_texts(spark, folder):
     forms = [(i, form(read(t)), form(t)) for i, t in LONG.items()]
     assert got(spark, folder, "f8_order_free") == [(i, near(distance(a, b) / max(len(a), len(b)))) for i, a, b in forms]
+
+
+def test_error_rates_of_long_texts(spark, folder):
+    rates = {i: distance(read(t), t) / len(t) for i, t in LONG.items()}
+    assert got(spark, folder, "f3_error_rate") == [(i, near(r)) for i, r in rates.items()]
+    assert got(spark, folder, "leaderboard") == [("tool1", 2, near((rates[1] + rates[6]) / 2), 0), ("tool2", 1, near(rates[2]), 0)]
