@@ -18,6 +18,8 @@ any bound on the list of frequent shingles, gives the same links.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -216,8 +218,8 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, frequent_
     packed = rows.select("text").mapInArrow(prefixes, "bucket long, keys binary, cls binary, size binary")
 
     def meet(table: pa.Table) -> pa.Table:
-        """Entries whose shingle another class has too, with the least class of the shingle."""
-        keys, cls, size = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("keys", U), ("cls", U), ("size", np.uint32)))
+        """Entries whose shingle another class has too, in order; a row holds all entries of its shingles."""
+        keys, cls, size = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in ENTRY)
         order = np.lexsort((cls, keys))
         keys, cls, size = keys[order], cls[order], size[order]
         fresh = np.ones(len(keys), bool)
@@ -225,12 +227,14 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, frequent_
         keys, cls, size = keys[fresh], cls[fresh], size[fresh]
         at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         n_of = np.diff(np.append(at, len(keys)))
-        first = np.repeat(at, n_of)
         on = np.repeat(n_of, n_of) > 1
-        cols = [keys[on].view(np.int64), cls[on].view(np.int64), size[on].astype(np.int64), cls[first][on].view(np.int64), size[first][on].astype(np.int64)]
-        return pa.Table.from_arrays([pa.array(c) for c in cols], ["key", "cls", "size", "least", "least_size"])
+        keys, cls, size = keys[on], cls[on], size[on]
+        at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+        cuts = np.searchsorted(at, np.arange(0, len(keys), ENTRIES))
+        cuts = [*np.unique(at[cuts[cuts < len(at)]]).tolist(), len(keys)]
+        return pa.table({name: pa.array([x[i:j].tobytes() for i, j in zip(cuts, cuts[1:])], pa.binary()) for name, x in (("keys", keys), ("cls", cls), ("size", size))})
 
-    met = materialize(packed.groupBy("bucket").applyInArrow(meet, "key long, cls long, size long, least long, least_size long"), "met")
+    met = materialize(packed.groupBy("bucket").applyInArrow(meet, "keys binary, cls binary, size binary"), "met")
     release(spark)
     classes = sigs.where("n > 0").groupBy("cls").agg(F.min("row_key").alias("row_key"), F.min("doc_id").alias("least_id"), F.count("*").alias("copies"))
     classes = materialize(classes, "classes")
@@ -249,9 +253,12 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, frequent_
 
         keys = materialize(classes.join(wanted.distinct(), "cls", "left_semi").select("row_key"), "wanted")
         # up to 8 MB of keys go to the texts, more meet them in a shuffle
-        few = F.broadcast(keys) if keys.count() <= 1_000_000 else keys
+        n_keys = keys.count()
+        few = _few(keys, n_keys)
         made = rows.join(few, "row_key", "left_semi").select("text").mapInArrow(sets_of, "cls long, keys binary")
-        made = materialize(made.dropDuplicates(["cls"]), tag)
+        if sigs.join(few, "row_key", "left_semi").count() > n_keys:  # rows that repeat an id and text
+            made = made.dropDuplicates(["cls"])
+        made = materialize(made, tag)
         discard(keys)
         return made
 
@@ -262,49 +269,75 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, frequent_
         """The pairs (q, m) that link: the sets of their classes go into trees."""
         return materialize(verify(pairs, sets, percent), "linked")
 
-    def near(a: str, b: str):
-        return (F.col(a) * 100 >= F.col(b) * percent) & (F.col(b) * 100 >= F.col(a) * percent)
-
     def often_enough(pairs: DataFrame) -> DataFrame:
-        """Pairs (q, m, size) that meet as often as the smaller needs; sizes are the smaller one's."""
-        count = pairs.groupBy("q", "m").agg(F.count("*").alias("met"), F.min("size").alias("size"))
-        least = F.least(F.lit(MEET), F.ceil(F.col("size") * percent / 100))
-        return count.where(F.col("met") >= least).select("q", "m")
+        """Pairs (q, m, weight) that meet as often as the smaller needs."""
+        return pairs.groupBy("q", "m").agg(F.sum("weight").alias("weight")).where(F.col("weight") >= ENOUGH).select("q", "m")
 
     in_pairs = lambda p: p.select(F.col("q").alias("cls")).unionByName(p.select(F.col("m").alias("cls")))
-    first = met.where("cls <> least").where(near("size", "least_size"))
-    first = first.select(F.col("least").alias("q"), F.col("cls").alias("m"), F.least("size", "least_size").alias("size"))
-    stars = materialize(often_enough(first), "stars")
+
+    def with_least(batches):
+        """Each class of a shingle with its least class."""
+        for batch in batches:
+            for cls, size, at, n_of in _shingles(batch):
+                least = np.repeat(at, n_of)
+                yield _weighed(cls, size, least, np.arange(len(cls)), percent)
+
+    stars = materialize(often_enough(met.mapInArrow(with_least, PAIR)), "stars")
     sketches = sketches_for(in_pairs(stars))
     first = materialize(likely(stars, sketches, percent), "likely")
     discard(stars)
+    release(spark)
     sets = sets_for(in_pairs(first))
     linked = linking(first, sets)
     comps = components(linked.select(F.col("q").alias("a"), F.col("m").alias("b")))
+    release(spark)
 
     # Pairs of different components that meet. Shingles with many classes make no pairs: their classes are
     # clusters, held against each other in tiles of blocks. A pair with such a shingle is in one cluster.
-    own = met.select("key", "cls", "size", "least").join(comps.select(F.col("node").alias("cls"), F.col("root").alias("comp")), "cls", "left")
-    own = own.withColumn("comp", F.coalesce("comp", "cls"))
-    per_key = own.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n")).where("low <> high")
-    own = materialize(own.join(per_key.select("key", "n"), "key"), "mixed")
+    # Components that are not known here only let more pairs meet.
+    held = comps.limit(COMPONENTS).toArrow()
+    node, root = (held.column(c).to_numpy() for c in ("node", "root"))
+    by_node = np.argsort(node)
+    known = spark.sparkContext.broadcast(np.stack([node[by_node], root[by_node]]))
+
+    def mixed(batch):
+        """Shingles whose classes are of several components."""
+        for cls, size, at, n_of in _shingles(batch):
+            comp = _looked_up(cls, known.value)
+            yield cls, size, comp, at, n_of, np.minimum.reduceat(comp, at) != np.maximum.reduceat(comp, at)
+
+    def hot_classes(batches):
+        for batch in batches:
+            for cls, _, comp, at, n_of, on in mixed(batch):
+                of = np.repeat(on & (n_of > hot_from), n_of)
+                yield pa.RecordBatch.from_arrays([pa.array(x[of]) for x in (cls, comp, cls[np.repeat(at, n_of)])], ["cls", "comp", "least"])
+
+    def cold_pairs(batches):
+        for batch in batches:
+            for cls, size, comp, at, n_of, on in mixed(batch):
+                # how many classes of its shingle come after an entry
+                after = np.repeat(np.where(on & (n_of <= hot_from), at + n_of, 0), n_of) - np.arange(len(cls)) - 1
+                for step in range(1, int(after.max()) + 1):
+                    a = np.flatnonzero(after >= step)
+                    a = a[comp[a] != comp[a + step]]
+                    yield _weighed(cls, size, a, a + step, percent)
+
+    hot = materialize(met.mapInArrow(hot_classes, "cls long, comp long, least long").distinct(), "hot")
+    pairs = materialize(often_enough(met.mapInArrow(cold_pairs, PAIR)), "pairs")
     discard(met, first)
-    hot = own.where(F.col("n") > hot_from)
+    release(spark)
     cluster = components(hot.select(F.col("cls").alias("a"), F.col("least").alias("b")))
     members = hot.select("cls", "comp").distinct().join(cluster.select(F.col("node").alias("cls"), F.col("root").alias("cluster")), "cls")
     members = materialize(members, "members")
-    cold = own.where(F.col("n") <= hot_from).drop("least", "n")
-    other = cold.select("key", *[F.col(c).alias(f"{c}_b") for c in ("cls", "size", "comp")])
-    pairs = cold.join(other, "key").where("cls < cls_b and comp <> comp_b").where(near("size", "size_b"))
-    pairs = pairs.select(F.col("cls").alias("q"), F.col("cls_b").alias("m"), F.least("size", "size_b").alias("size"))
-    met = materialize(often_enough(pairs), "pairs")
-    discard(own)
+    discard(hot)
+    met = pairs
     sketches = sketches.unionByName(sketches_for(in_pairs(met).distinct().join(sketches.select("cls"), "cls", "left_anti")))
     pairs = materialize(likely(met, sketches, percent), "likely")
     discard(met)
     missing = in_pairs(pairs).unionByName(members.select("cls")).distinct().join(sets.select("cls"), "cls", "left_anti")
     sets = sets.unionByName(sets_for(missing))
     more = linking(pairs, sets)
+    release(spark)
     within = materialize(verify_clusters(members, sets, percent), "linked")
     discard(pairs, members)
     comps = components(linked.unionByName(more).unionByName(within).select(F.col("q").alias("a"), F.col("m").alias("b")))
@@ -320,6 +353,45 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, frequent_
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", "row_key")
 
 
+#: An entry of the index, entries of a row, nodes whose component is sent along (32 MB), rows that are broadcast
+ENTRY = (("keys", U), ("cls", np.int64), ("size", np.uint32))
+ENTRIES, COMPONENTS, FEW = 1 << 18, 2_000_000, 1_000_000
+PAIR = "q long, m long, weight long"
+ENOUGH = math.lcm(*range(1, MEET + 1))
+
+
+def _few(df: DataFrame, n: int) -> DataFrame:
+    """``df``, sent to the other side of a join where its ``n`` rows are few: what it meets stays in place."""
+    return F.broadcast(df) if n <= FEW else df
+
+
+def _shingles(batch: pa.RecordBatch):
+    """Of each row of the index: classes and sizes, and where each shingle's begin and how many they are."""
+    for r in range(batch.num_rows):
+        keys, cls, size = (np.frombuffer(batch.column(c)[r].as_buffer(), t) for c, t in ENTRY)
+        at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        yield cls, size, at, np.diff(np.append(at, len(keys)))
+
+
+def _looked_up(cls: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """The component of each class, itself where it is in none."""
+    if not known.shape[1]:
+        return cls
+    k = np.searchsorted(known[0], cls)
+    k[k == known.shape[1]] = 0
+    return np.where(known[0][k] == cls, known[1][k], cls)
+
+
+def _weighed(cls: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> pa.RecordBatch:
+    """Pairs of the entries a and b whose sizes allow a link. The weights of as many as the smaller one needs
+    sum up to ``ENOUGH``."""
+    low, high = np.minimum(size[a], size[b]).astype(np.int64), np.maximum(size[a], size[b]).astype(np.int64)
+    on = (cls[a] != cls[b]) & (low * 100 >= high * percent)
+    a, b = a[on], b[on]
+    weight = ENOUGH // np.minimum(MEET, -(-percent * low[on] // 100))
+    return pa.RecordBatch.from_arrays([pa.array(cls[a]), pa.array(cls[b]), pa.array(weight)], ["q", "m", "weight"])
+
+
 def _class(s: np.ndarray) -> np.uint64:
     """The hash of a set, of its sorted shingles and their number."""
     h = np.bitwise_xor.reduce(mix(s * _MIX[0] + U(1)), keepdims=True) * _MIX[1] + np.add.reduce(mix(s ^ _MIX[2]), keepdims=True)
@@ -356,9 +428,10 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int, chunk: int = 128) ->
     spark = pairs.sparkSession
     sized = pairs.groupBy("q").count().select("q", F.greatest(F.ceil(F.col("count") / chunk), F.lit(1)).cast("int").alias("chunks"))
     split = F.pmod(F.xxhash64("m"), F.col("chunks").cast("long"))
-    members = pairs.join(sized, "q").select("q", split.alias("part"), "m")
+    n = pairs.count()
+    members = _few(pairs.join(sized, "q").select("q", split.alias("part"), "m"), n)
     members = members.join(sets.withColumnRenamed("cls", "m"), "m").select("q", "part", "m", "keys")
-    heads = sized.join(sets.withColumnRenamed("cls", "q"), "q").select("q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks").cast("long") - 1)).alias("part"), F.lit(None).cast("long").alias("m"), "keys")
+    heads = _few(sized, n).join(sets.withColumnRenamed("cls", "q"), "q").select("q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks").cast("long") - 1)).alias("part"), F.lit(None).cast("long").alias("m"), "keys")
     both = members.unionByName(heads).repartition(partitions(spark), "q", "part").sortWithinPartitions("q", "part", "m")
 
     def run(batches):
@@ -392,14 +465,16 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int, chunk: int = 128) ->
 def verify_clusters(members: DataFrame, sets: DataFrame, percent: int, block_rows: int = 256) -> DataFrame:
     """Links (q, m) that join the components within each cluster. members: cls, comp, cluster.
 
-    A cluster is cut into blocks of about ``block_rows`` sets, and each pair of blocks is a tile: one
+    A cluster is cut into blocks of about ``block_rows`` sets (of up to 16 times as many where it has more than 64
+    blocks, as each block is sent to as many tiles), and each pair of blocks is a tile: one
     block's sets are the trees, the other's the queries. Sets whose components are already joined, or were
     joined earlier in the tile, are not compared, so a tile returns at most a forest of its sets.
     """
     spark = members.sparkSession
-    sized = members.groupBy("cluster").agg(F.ceil(F.count("*") / block_rows).alias("blocks"))
+    least, most = F.ceil(F.count("*") / block_rows), F.ceil(F.count("*") / (16 * block_rows))
+    sized = members.groupBy("cluster").agg(F.least(least, F.greatest(F.lit(64), most)).alias("blocks"))
     placed = members.join(sized, "cluster").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")))
-    placed = placed.join(sets, "cls").select("cluster", "block", "cls", "comp", "keys")
+    placed = _few(placed, members.count()).join(sets, "cls").select("cluster", "block", "cls", "comp", "keys")
 
     def packed(table: pa.Table) -> pa.Table:
         keys = table.column("keys").to_pylist()

@@ -566,3 +566,19 @@ def test_suffix_dedup_packs_documents_tightly(spark):
     with pa.ipc.new_stream(sink, docs.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
         out.write_table(docs)
     assert docs.num_rows == 60 and len(packed) < 0.98 * sink.getvalue().size
+
+
+@pytest.mark.parametrize("few", [1_000_000, 0])
+def test_ngram_join_sends_little(spark, docs, rows, monkeypatch, few):
+    docs = spark.createDataFrame(docs.dropDuplicates(["doc_id", "text"]).collect(), docs.schema)
+    plans = {}
+    materialize = ngram_join.materialize
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(ngram_join, "materialize", lambda df, tag: plans.setdefault(tag, []).append(plan(df)) or materialize(df, tag))
+    for name, value in (("ENTRIES", 5), ("COMPONENTS", 1), ("FEW", few)):
+        monkeypatch.setattr(ngram_join, name, value, raising=False)
+    got = ngram_join.jaccard_components(docs, 3, 50, frequent_max=50, hot_from=4)
+    assert set(tuples(got, "doc_id", "n_shingles", "component_id")) == set(brute_join(rows, 3, 50))
+    assert [p.count("Exchange hashpartitioning") for p in plans["pairs"]] == [1]  # pairs; entries stay in place
+    if few:
+        assert all("Exchange hashpartitioning" not in p for p in plans["sets"])
