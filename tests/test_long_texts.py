@@ -63,3 +63,18 @@ def test_error_rates_of_long_texts(spark, folder):
     rates = {i: distance(read(t), t) / len(t) for i, t in LONG.items()}
     assert got(spark, folder, "f3_error_rate") == [(i, near(r)) for i, r in rates.items()]
     assert got(spark, folder, "leaderboard") == [("tool1", 2, near((rates[1] + rates[6]) / 2), 0), ("tool2", 1, near(rates[2]), 0)]
+
+
+def test_accuracy_records_take_all_measures_of_a_pair_together(spark):
+    from quoin.functions import records, text
+
+    pairs = [(read(t), t) for t in LONG.values()] + [("a b　\x0b", "ba\x85﻿\x1c"), ("", ""), ("", "x\U0001f600y"), ("x", ""), (None, "x y"), ("x", None)]
+    rows = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "id int, a string, b string")
+    have = records.accuracy_records(rows, "a", "b")
+    assert "levenshtein" not in have._jdf.queryExecution().optimizedPlan().toString()  # distances are taken with all else
+    got = [[r.id, m.distance, m.order_free_distance, m.read_length, m.truth_length, m.character_accuracy, m.coverage, m.differences] for r in have.orderBy("id").collect() for m in [r.record]]
+    a, b = text.normalized("a"), text.normalized("b")
+    forms = [text.sorted_form(v) for v in (a, b)]
+    two = lambda c: records.js_round(c, 2)
+    one = rows.select("id", text.edit_distance(a, b), text.edit_distance(*forms), *map(records.F.length, forms), two(text.position_accuracy(a, b)), two(text.charset_coverage(a, b)), text.character_differences(a, b))
+    assert got == [list(r) for r in one.orderBy("id").collect()]
